@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from assayer.llm.personal import op10_personal
 from assayer.llm.pieces import op1_pieces
+from assayer.llm.secrets import op2_secrets
 
-QUERIES = {"op1_pieces": op1_pieces}
+QUERIES = {"op1_pieces": op1_pieces, "op2_secrets": op2_secrets, "op10_personal": op10_personal}
 ORACLE_SQL: dict[str, str] = {}
