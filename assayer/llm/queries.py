@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from assayer.llm.language import op6_language
+from assayer.llm.media import op8_media
+from assayer.llm.mixing import OP5_SQL, op5_mixing
 from assayer.llm.personal import op10_personal
 from assayer.llm.pieces import op1_pieces
 from assayer.llm.secrets import op2_secrets
 
-QUERIES = {"op1_pieces": op1_pieces, "op2_secrets": op2_secrets, "op10_personal": op10_personal}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {"op1_pieces": op1_pieces, "op2_secrets": op2_secrets, "op5_mixing": op5_mixing, "op6_language": op6_language, "op8_media": op8_media, "op10_personal": op10_personal}
+ORACLE_SQL = {"op5_mixing": OP5_SQL}
