@@ -6,9 +6,10 @@ from assayer.llm.hosts import OP9_SQL, op9_hosts
 from assayer.llm.language import op6_language
 from assayer.llm.media import op8_media
 from assayer.llm.mixing import OP5_SQL, op5_mixing
+from assayer.llm.neardup import op4_neardup
 from assayer.llm.personal import op10_personal
 from assayer.llm.pieces import op1_pieces
 from assayer.llm.secrets import op2_secrets
 
-QUERIES = {"op1_pieces": op1_pieces, "op2_secrets": op2_secrets, "op5_mixing": op5_mixing, "op6_language": op6_language, "op8_media": op8_media, "op9_hosts": op9_hosts, "op10_personal": op10_personal}
+QUERIES = {"op1_pieces": op1_pieces, "op2_secrets": op2_secrets, "op4_neardup": op4_neardup, "op5_mixing": op5_mixing, "op6_language": op6_language, "op8_media": op8_media, "op9_hosts": op9_hosts, "op10_personal": op10_personal}
 ORACLE_SQL = {"op5_mixing": OP5_SQL, "op9_hosts": OP9_SQL}
