@@ -10,6 +10,8 @@ from assayer.llm.neardup import op4_neardup
 from assayer.llm.personal import op10_personal
 from assayer.llm.pieces import op1_pieces
 from assayer.llm.secrets import op2_secrets
+from assayer.llm.tokens import op7_tokens
+from assayer.llm.topk import OP3_SQL, op3_topk
 
-QUERIES = {"op1_pieces": op1_pieces, "op2_secrets": op2_secrets, "op4_neardup": op4_neardup, "op5_mixing": op5_mixing, "op6_language": op6_language, "op8_media": op8_media, "op9_hosts": op9_hosts, "op10_personal": op10_personal}
-ORACLE_SQL = {"op5_mixing": OP5_SQL, "op9_hosts": OP9_SQL}
+QUERIES = {"op1_pieces": op1_pieces, "op2_secrets": op2_secrets, "op3_topk": op3_topk, "op4_neardup": op4_neardup, "op5_mixing": op5_mixing, "op6_language": op6_language, "op7_tokens": op7_tokens, "op8_media": op8_media, "op9_hosts": op9_hosts, "op10_personal": op10_personal}
+ORACLE_SQL = {"op3_topk": OP3_SQL, "op5_mixing": OP5_SQL, "op9_hosts": OP9_SQL}
