@@ -53,10 +53,11 @@ def targets(totals: DataFrame) -> DataFrame:
     return levels.withColumn("target", F.coalesce(F.least("cap", level * F.col("weight")), F.col("cap"))).select("source", "source_size", "target")
 
 
-def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """(doc_id, size, source_size, target, taken, virtual_finish) of every row."""
+def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", whole: bool = False) -> DataFrame:
+    """(doc_id, size, source_size, target, taken, virtual_finish) of every row; ``whole`` adds the row itself as ``row``."""
+    rest = [F.struct(*df.columns).alias("row")] if whole else []
     digest = F.md5(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("null")), F.lit(SEED)))
-    docs = df.select(F.col(key).alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(text).alias("size"), digest.alias("shuffled"), F.xxhash64(text).alias("tie"))
+    docs = df.select(F.col(key).alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(text).alias("size"), digest.alias("shuffled"), F.xxhash64(text).alias("tie"), *rest)
     docs = docs.withColumn("slice", F.conv(F.substring("shuffled", 1, 4), 16, 10).cast("int") % BUCKETS)
     docs = docs.withColumn("source_key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")))
     slices = docs.groupBy("source_key", "source", "slice").agg(F.sum("size").alias("slice_size"))
@@ -69,7 +70,29 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "s
     end = F.col("slice_start") + F.col("within")
     cut = F.floor(F.col("target"))
     taken = sum((F.greatest(F.lit(0), F.least(F.col("size"), cut - (end - F.col("size") + F.col("source_size") * e))) for e in range(EPOCHS)), F.lit(0))
-    return laid.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), F.when(F.col("target") > 0, end / F.col("target")).alias("virtual_finish"))
+    return laid.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), F.when(F.col("target") > 0, end / F.col("target")).alias("virtual_finish"), *(["row"] if whole else []))
+
+
+def first_words(text: Column, n: Column) -> Column:
+    """The text up to the end of its n-th word."""
+    parts = F.split(F.concat(F.lit(" "), text), r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
+    return F.regexp_replace(F.substring(F.array_join(F.slice(parts, F.lit(1), n.cast("int") + 1), ""), 2, 2**31 - 1), r"[\x20\x09-\x0D]+$", "")
+
+
+def mixed(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """The mix itself: rows of ``df``, repeated as often as they are taken, in the order of virtual time.
+
+    A document that the cut falls in comes once more with as many of its first words as fit.
+    """
+    rows = mix(df, key, text, source, whole=True).filter("taken > 0")
+    copies = F.floor((F.col("taken") + F.col("size") - 1) / F.col("size"))
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), copies - 1)))
+    own = F.least(F.col("size"), F.col("taken") - F.col("copy") * F.col("size"))
+    rows = rows.withColumn("own", own).withColumn("at", F.col("virtual_finish") + F.col("copy") * F.col("source_size") / F.col("target"))
+    rows = rows.orderBy("at", "doc_id", "copy")
+    shown = F.col("row").getField(text)
+    short = F.when(F.col("own") < F.col("size"), first_words(shown, F.col("own"))).otherwise(shown)
+    return rows.select(*((short if c == text else F.col("row").getField(c)).alias(c) for c in df.columns))
 
 
 def op5_mixing(spark, sf_dir: str) -> DataFrame:

@@ -26,6 +26,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from assayer.llm.batches import bounded
@@ -208,6 +209,18 @@ def link(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = WI
     return named.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def deduplicated(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """Rows of ``df`` without near-duplicates: the smallest id of each group stays, once.
+
+    Rows without an id or without a word are near-duplicates of nothing; rows of one id are one document.
+    """
+    chosen = link(df, key, text, width, percent).filter("kept and doc_id is not null").select(F.col("doc_id").alias(key)).distinct()
+    once = W.partitionBy(key).orderBy(F.xxhash64(text))
+    named = df.filter(F.col(key).isNotNull()).join(chosen, key, "left_semi")
+    named = named.withColumn("__nth", F.row_number().over(once)).filter("__nth = 1").select(*df.columns)
+    return named.unionByName(df.filter(F.col(key).isNull()))
+
+
 def op4_neardup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return link(docs, width=2)

@@ -289,17 +289,18 @@ def digests(df: DataFrame, model: str, key: str = "doc_id", text: str = "text")
 
 
 def with_token_ids(df: DataFrame, model: str, text: str = "text") -> DataFrame:
-    """All columns of ``df`` with ``token_ids`` (array<int>) added, or replaced if it was there."""
-    kept = df.drop("token_ids")
+    """All columns of ``df`` with ``token_ids``, ``n_tokens`` and ``decoded_sha256`` added, or replaced if they were there."""
+    kept = df.drop("token_ids", "n_tokens", "decoded_sha256")
     names = kept.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields) + ", token_ids array<int>"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields) + ", token_ids array<int>, n_tokens long, decoded_sha256 string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = encoder(model)
         for b in bounded(batches, text):
             ids, counts = tool.encode_all([t or "" for t in b.column(text).to_pylist()])
             offsets = pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(offsets, pa.array(ids))], [*names, "token_ids"])
+            decoded = pa.array([hashlib.sha256(t.encode()).hexdigest() for t in tool.model.decode_all(ids, counts)], pa.string())
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(offsets, pa.array(ids)), pa.array(counts), decoded], [*names, "token_ids", "n_tokens", "decoded_sha256"])
 
     return kept.mapInArrow(run, schema)
 
