@@ -8,9 +8,10 @@ at the similarity of 0.8, five rows and 40 bands miss a pair with a chance of ab
 
 Copies first fall into classes of equal sets. In a band's bucket the member with the most bucket-mates is
 the centre; every other member is compared with it, on the full sets. Components of these links leave some
-buckets with members in several components: there, and only there, pairs across components are compared
-as well, unless 200 one-bit samples of their sketches put them far below the threshold. A bucket never becomes
-all its pairs, and no pair of candidates that could join two components is left out.
+buckets with members in several components: there, and only there, pairs across components that may be similar
+by what each shares with the centre are compared as well, unless 200 one-bit samples of their sketches put them
+far below the threshold. A bucket never becomes all its pairs, and no pair of candidates that could join two
+components is left out.
 
 Null and empty texts, and texts without words, have empty sets and are linked with nothing. A text with
 fewer words than a shingle is one shingle. A null id takes no part in links: its component is null and it is
@@ -172,6 +173,43 @@ def close_in_size(x: str, y: str, percent: int):
     return (F.col(x) * 100 >= F.col(y) * percent) & (F.col(y) * 100 >= F.col(x) * percent)
 
 
+def measured(around: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``common`` with the centre, ``own`` members that the centre lacks, and whether the two are linked."""
+    centre = sets.select(F.col("id").alias("centre"), F.col("n").alias("n_centre"), F.col("members").alias("members_centre"))
+    both = around.join(centre, "centre").join(sets.select("id", "members"), "id").withColumn("own", F.array_except("members", "members_centre"))
+    both = both.withColumn("common", F.col("n") - F.size("own"))
+    linked = F.col("common") * 100 >= (F.col("n") + F.col("n_centre") - F.col("common")) * percent
+    return both.select("centre", "id", "n", "component", "bits", "common", "own", linked.alias("linked"))
+
+
+def across(around: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs of different components around a centre that may be similar enough, by exact bounds.
+
+    Such a pair needs a common part of ``least`` members. At most the smaller of their parts in common with the
+    centre lies inside it; where that is less than ``least``, they must share members that the centre lacks, which
+    are rare: pairs meet by these, and only in the number needed. Where it isn't, one of the two is no link
+    of the centre, so the other is smaller than the centre: pairs meet by steps of size. Two links of the centre
+    are of one component.
+    """
+    names = ("id", "n", "component", "bits", "common")
+    x = around.filter("not linked").select("centre", *(F.col(c).alias(f"{c}_x") for c in names), F.col("own").alias("own_x"))
+    y = around.select("centre", *names, "own")
+    least = F.ceil((F.col("n") + F.col("n_x")) * percent / (100 + percent) - 1e-9)
+    inside = F.least("common", "common_x")
+    agree = sum((F.bit_count(F.col("bits")[i].bitwiseXOR(F.col("bits_x")[i])) for i in range(4)), F.lit(0)) <= 200 - AGREE
+    open_pair = (F.col("component") != F.col("component_x")) & close_in_size("n", "n_x", percent) & agree
+    shared = x.withColumn("shingle", F.explode("own_x")).drop("own_x").join(y.withColumn("shingle", F.explode("own")).drop("own"), ["centre", "shingle"])
+    outside = F.least(F.col("n") - F.col("common"), F.col("n_x") - F.col("common_x"))
+    shared = shared.filter(open_pair & (inside < least) & (inside + outside >= least))
+    shared = shared.groupBy("centre", F.least("id", "id_x").alias("a"), F.greatest("id", "id_x").alias("b"), F.when(F.col("id") < F.col("id_x"), 0).otherwise(1).alias("way")).agg(F.count("*").alias("met"), F.max(least - inside).alias("needed")).filter("met >= needed").select("a", "b")
+    step = lambda c: F.floor(F.log(c.cast("double")) / F.lit(np.log(1.02)))
+    most = F.floor((F.col("common_x") * (100 + percent) + percent) / F.lit(percent)) - F.col("n_x")
+    low = F.ceil(F.col("n_x") * percent / 100)
+    sized = x.drop("own_x").filter(most >= low).withColumn("step", F.explode(F.sequence(step(low), step(F.least(most, F.floor(F.col("n_x") * 100 / percent) + 1)))))
+    direct = sized.join(y.drop("own").withColumn("step", step(F.col("n"))), ["centre", "step"]).filter(open_pair & (inside >= least))
+    return shared.union(direct.select(F.least("id", "id_x").alias("a"), F.greatest("id", "id_x").alias("b"))).distinct()
+
+
 def link(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row."""
     seen = kept(features(df, key, text, width), "features")
@@ -190,16 +228,13 @@ def link(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = WI
     sets = kept(full_sets(df.select(F.col(key).cast("long").alias(key), text).join(wanted.withColumnRenamed("id", key), key, "left_semi"), key, text, width), "sets")
     links = kept(verified(pairs, sets, percent), "links")
     found = kept(components(links), "components")
-    # Buckets that still hold several components: pairs across them.
+    # Buckets that still hold several components: their members against their centre, once for each centre.
     named = members.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     several = named.groupBy("band").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).filter("c1 < c2").select("band")
-    split = kept(named.join(several, "band").select("band", "id", "n", "component", "bits"), "split")
-    other = split.select("band", *(F.col(c).alias(f"{c}_b") for c in ("id", "n", "component", "bits")))
-    agree = sum((F.bit_count(F.col("bits")[i].bitwiseXOR(F.col("bits_b")[i])) for i in range(4)), F.lit(0))
-    across = split.join(other, "band").filter((F.col("component") != F.col("component_b")) & (F.col("id") < F.col("id_b")) & close_in_size("n", "n_b", percent) & (agree <= 200 - AGREE))
-    across = across.select(F.col("id").alias("a"), F.col("id_b").alias("b")).distinct()
+    around = named.join(several, "band").join(centres.select("band", F.col("b").alias("centre")), "band").filter("id <> centre")
+    around = kept(measured(around.select("centre", "id", "n", "component", "bits").distinct(), sets, percent), "around")
     tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = kept(verified(across.join(tried, ["a", "b"], "left_anti"), sets, percent), "links")
+    more = kept(verified(across(around, percent).join(tried, ["a", "b"], "left_anti"), sets, percent), "links")
     if not more.isEmpty():
         upper = found.select(F.col("node").alias("a"), F.col("component").alias("b")).filter("a <> b")
         found = kept(components(upper.union(more)), "components")
