@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from assayer.plans import ledger, marking, paper, scoring
+
+QUERIES = scoring.QUERIES | ledger.QUERIES | paper.QUERIES | marking.QUERIES
+ORACLE_SQL = scoring.SQL | ledger.SQL | paper.SQL | marking.SQL
