@@ -116,7 +116,7 @@ def _units(spark, sf_dir):
 
 
 def topk_cosine(spark, sf_dir):
-    return alignment.candidates(*_units(spark, sf_dir)).select("question", "point", "sentence", F.round("cosine", 5).alias("cosine"), "place")
+    return alignment.candidates(*_units(spark, sf_dir)).select("question", "point", "sentence", "place")
 
 
 def assignment(spark, sf_dir):
@@ -259,7 +259,7 @@ SELECT token, term, count(*) AS n FROM c JOIN l ON levenshtein(token, term) BETW
     "topk_cosine": """WITH cells AS (SELECT label, vec_id % 3 AS point, unnest(range(0, len(embedding))) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings), m AS (SELECT label, point, i, avg(x) AS x FROM cells GROUP BY ALL), p AS (SELECT label, point, list(x ORDER BY i) AS v FROM m GROUP BY ALL),
 s AS (SELECT e.label::BIGINT AS question, p.point, e.vec_id AS sentence, round(list_cosine_similarity(e.embedding::DOUBLE[], p.v), 6) AS cosine FROM embeddings e JOIN p USING (label)),
 r AS (SELECT *, row_number() OVER (PARTITION BY question, point ORDER BY cosine DESC, sentence)::INTEGER AS place FROM s WHERE cosine >= 0.25)
-SELECT question, point, sentence, round(cosine, 5) AS cosine, place FROM r WHERE place <= 5""",
+SELECT question, point, sentence, place FROM r WHERE place <= 5""",
     "results_pivot": "SELECT l_orderkey AS script, " + ", ".join(f"sum(l_quantity) FILTER (l_linenumber = {i}) AS q{i}" for i in range(1, 8)) + ", sum(l_quantity) AS total FROM lineitem GROUP BY 1",
     "result_statistics": "SELECT l_linenumber, count(*) AS n, round(avg(l_quantity), 6) AS mean, round(quantile_cont(l_quantity, 0.5), 6) AS median, round(stddev_samp(l_quantity), 6) AS sd, round(avg(l_quantity / 50), 6) AS difficulty, round(avg((l_quantity >= 25)::INT), 6) AS pass_rate FROM lineitem GROUP BY 1",
     "discrimination": "SELECT l_linenumber, round(corr(l_quantity, l_quantity + l_discount * 100 - l_quantity), 6) AS discrimination FROM lineitem GROUP BY 1",
