@@ -24,7 +24,7 @@ from assayer.llm.batches import bounded, ragged
 SPACE = "▁"
 NONE = np.int32(2**31 - 1)
 #: Distinct words that a worker remembers between batches.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 250_000
 
 
 class PieceModel:
