@@ -22,10 +22,10 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -38,81 +38,104 @@ SHARD_IDS = 1 << 18
 #: A pair must occur so often in a shard to become a rule; passes over a shard.
 LEAST_COUNT = 24
 PASSES = 6
-CACHE_WORDS = 500_000
+CACHE_WORDS = 1_000_000
+#: Closing marks of a word: all ASCII marks, which are one word to the tokenizer where they follow letters.
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 MAGIC = b"RPG1"
 
 
 class WordEncoder:
-    """A tokenizer whose words end at blanks, and a bounded memory of the words it met."""
+    """A tokenizer whose words end at blanks, and a bounded memory of the words it met.
+
+    It normalises by NFC, blanks and lower case, so that lower-casing A-Z beforehand changes nothing (but where a
+    text spells a special token), and words of the letters a-z need no normalising at all.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers
 
-        self.tool = Tokenizer.from_file(path)
+        self.tool, self.bare = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.bare.normalizer = normalizers.Sequence([])
         self.vocabulary = self.tool.get_vocab_size(with_added_tokens=True)
         self.ends = np.zeros(self.vocabulary, bool)
         self.ends[[i for s, i in self.tool.get_vocab(with_added_tokens=False).items() if s.endswith("</w>")]] = True
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[str, int] = {"": 0}
-        self.ids, self.start, self.count = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.index: dict[str, int] = {}
+        self.ids, self.start, self.count = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
         self.used = 0
 
     @staticmethod
-    def plain(word: str) -> int:
-        """How many tokenizer words a text of letters with closing marks makes; 0 if that isn't certain."""
-        core = word.rstrip(".,")
-        if core.isalpha() and (core.isascii() or max(core) < "ɐ" and "İ" not in core):
-            return 1 + (core != word)
-        return 0
-
-    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and counts: plain words many to a call, cut at the ends of words, and the others one by one."""
-        parts = np.fromiter(map(self.plain, words), np.int64, len(words))
-        easy, hard = np.flatnonzero(parts), np.flatnonzero(parts == 0)
-        lists = [[words[i] for i in easy[k : k + 64]] for k in range(0, len(easy), 64)]
-        joined = np.array([i for e in self.tool.encode_batch_fast(list(map(" ".join, lists)), add_special_tokens=False) for i in e.ids], np.uint32)
-        stops = np.flatnonzero(self.ends[joined]) + 1
-        last = np.cumsum(parts[easy])
-        if len(stops) != (last[-1] if len(last) else 0) or len(joined) != (stops[-1] if len(stops) else 0):
-            easy, hard, joined, stops, last = easy[:0], np.arange(len(words)), joined[:0], stops[:0], last[:0]
-        counts = np.zeros(len(words), np.int64)
-        counts[easy] = np.diff(np.r_[0, stops[last - 1]])
-        single = [np.array(e.ids, np.uint32) for e in self.tool.encode_batch_fast([words[i] for i in hard], add_special_tokens=False)]
-        counts[hard] = [len(x) for x in single]
-        source = np.zeros(len(words), np.int64)
-        source[easy] = np.cumsum(counts[easy]) - counts[easy]
-        source[hard] = len(joined) + np.cumsum(counts[hard]) - counts[hard]
-        return np.concatenate([joined, *single])[ragged(counts, source)], counts
+    def latin(word: str) -> bool:
+        """Letters of the Latin blocks alone, none of which falls apart when normalised."""
+        return word.isalpha() and max(word) < "ɐ" and "İ" not in word
+
+    def encode_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and counts. A word of letters with closing marks is one or two words to the tokenizer, so many of
+        them go in one call that is cut at the ends of words; the others go one by one."""
+        core = pc.ascii_rtrim(words, MARKS)
+        marked = pc.not_equal(pc.binary_length(core), pc.binary_length(words)).to_numpy(zero_copy_only=False)
+        small = pc.and_(pc.string_is_ascii(core), pc.and_(pc.ascii_is_alpha(core), pc.ascii_is_lower(core))).to_numpy(zero_copy_only=False)
+        text = words.to_numpy(zero_copy_only=False).tolist()
+        easy = small.copy()
+        rest = np.flatnonzero(~small)
+        latin = rest[[self.latin(c) for c in core.take(pa.array(rest)).to_pylist()]]
+        easy[latin] = True
+        for i in latin.tolist():
+            text[i] = text[i].lower()
+        at = np.flatnonzero(easy)
+        joined = [text[i] for i in at.tolist()]
+        lines = [" ".join(joined[k : k + 256]) for k in range(0, len(at), 256)]
+        got = [np.array(e.ids, np.uint32) for e in self.bare.encode_batch_fast(lines, add_special_tokens=False)]
+        ids = np.concatenate([*got, np.zeros(0, np.uint32)])
+        stops, last = np.flatnonzero(self.ends[ids]) + 1, np.cumsum(1 + marked[at])
+        if len(stops) != (last[-1] if len(at) else 0) or len(ids) != (stops[-1] if len(at) else 0):
+            at, ids, stops, last = at[:0], ids[:0], stops[:0], last[:0]  # ends don't tell these words apart
+        counts, source = np.zeros(len(text), np.int64), np.zeros(len(text), np.int64)
+        counts[at] = np.diff(np.r_[0, stops[last - 1]])
+        source[at] = np.cumsum(counts[at]) - counts[at]
+        hard = np.ones(len(text), bool)
+        hard[at] = False
+        at = np.flatnonzero(hard)
+        got = [np.array(e.ids, np.uint32) for e in self.tool.encode_batch_fast(words.take(pa.array(at)).to_pylist(), add_special_tokens=False)]
+        counts[at] = [len(x) for x in got]
+        source[at] = len(ids) + np.cumsum(counts[at]) - counts[at]
+        return np.concatenate([ids, *got])[ragged(counts, source)], counts
 
     def learn(self, words: list[str]) -> None:
-        ids, counts = self.encode_words(words)
+        ids, counts = self.encode_words(pa.array(words, pa.string()))
         base, n = self.used, len(self.index)
         while base + len(ids) > len(self.ids):
             self.ids = np.r_[self.ids, np.zeros(len(self.ids), np.uint32)]
         while n + len(words) > len(self.start):
-            self.start, self.count = (np.r_[x, np.zeros(len(x), np.int64)] for x in (self.start, self.count))
+            self.start, self.count = (np.r_[x, np.zeros(len(x), x.dtype)] for x in (self.start, self.count))
         self.ids[base : base + len(ids)] = ids
         self.count[n : n + len(words)] = counts
         self.start[n : n + len(words)] = base + np.cumsum(counts) - counts
         self.used = base + len(ids)
         self.index.update(zip(words, range(n, n + len(words))))
 
-    def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts, one after the other, and how many each has."""
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after the other, and how many each has; nulls have none."""
         if len(self.index) > CACHE_WORDS or self.used > 16 * CACHE_WORDS:
             self.clear()
-        words = [t.replace("\n", " ").split(" ") for t in texts]
-        fresh = list(set(chain.from_iterable(words)).difference(self.index))
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        if not pc.any(pc.match_substring(texts, "<|")).as_py():
+            texts = pc.ascii_lower(texts)
+        lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        coded = lists.flatten().dictionary_encode()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        fresh = [w for w in words if w not in self.index]
         if fresh:
             self.learn(fresh)
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
-        flat = np.fromiter(map(self.index.__getitem__, chain.from_iterable(words)), np.int64, int(sizes.sum()))
-        lengths = self.count[flat]
-        ids = self.ids[ragged(lengths, self.start[flat])]
-        return ids, np.diff(np.r_[0, np.r_[0, np.cumsum(lengths)][np.cumsum(sizes)]])
+        own = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+        at = coded.indices.to_numpy()
+        lengths = self.count[own][at].astype(np.int64)
+        ids = self.ids[ragged(lengths, self.start[own][at])]
+        ends = np.r_[0, np.cumsum(lengths)][np.cumsum(pc.list_value_length(lists).to_numpy())]
+        return ids, np.diff(np.r_[0, ends])
 
 
 @lru_cache(maxsize=2)
@@ -243,7 +266,7 @@ def write(df: DataFrame, tokenizer: str, folder: str, end_id: int = 1, key: str
             return pa.RecordBatch.from_pylist([{"part": part, "seq": seq, "keys": keys, "n_ids": int(counts.sum()), "shard": pack(np.concatenate(held), counts, tool.vocabulary)}], out)
 
         for b in bounded(batches, text, 1 << 20):
-            ids, counts = tool.encode_all([t or "" for t in b.column(text).to_pylist()])
+            ids, counts = tool.encode_all(b.column(text))
             stops = np.cumsum(counts)
             ids = np.insert(ids, stops, np.uint32(end_id))
             held.append(ids)
