@@ -148,6 +148,8 @@ class ArchiveReader(DataSourceReader):
         return [Range(x.path, s, s + self.step) for x in files for s in range(0, x.size, self.step)]
 
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # no archive at all
+            return
         fs, _ = pafs.FileSystem.from_uri(self.folder)
         with fs.open_input_file(partition.path) as f:
             with zipfile.ZipFile(f) as archive:

@@ -1,0 +1,212 @@
+"""Operators that look at one text at a time."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers as P
+import pyarrow as pa
+import pytest
+import sentencepiece
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from tokenizers import Tokenizer
+
+from assayer.llm import language, media, personal, pieces, secrets, tokens
+
+SMALL = "/root/testdata/sf0.001"
+ALPHABET = "ab the▁ \n\té日😀-_=0123.,'AZß́"
+
+
+@pytest.fixture(scope="module")
+def encoder():
+    return pieces.Encoder(P.path("piece_bpe_32k.model"))
+
+
+@pytest.fixture(scope="module")
+def library():
+    return sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(ALPHABET, max_size=60), min_size=1, max_size=20))
+def test_pieces_equal_the_library(encoder, library, texts):
+    texts = [*texts, "a" * 300, "ab" * 150, " " * 99, "=" * 77]
+    ids, counts = encoder.encode_all(texts)
+    want = library.encode(texts, num_threads=1)
+    assert ids.tolist() == [i for w in want for i in w] and counts.tolist() == list(map(len, want))
+    assert encoder.model.decode_all(ids, counts) == library.decode(want)
+
+
+def test_decoding_any_ids(encoder, library):
+    rng = random.Random(2)
+    rows = [[rng.choice([0, 1, 2, 3, 100, 131, 200, 230, 259, 260, 29871, 500]) for _ in range(rng.randint(0, 7))] for _ in range(500)]
+    assert encoder.model.decode_all(np.array([i for r in rows for i in r]), np.array(list(map(len, rows)))) == library.decode(rows)
+
+
+def test_pieces_query(spark, library):
+    got = {r.doc_id: r for r in pieces.op1_pieces(spark, SMALL).collect()}
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").collect()
+    assert len(got) == len(docs)
+    for d in docs:
+        ids = library.encode(d.text)
+        assert got[d.doc_id].n_tokens == len(ids)
+        assert got[d.doc_id].ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        assert got[d.doc_id].decoded_sha256 == hashlib.sha256(library.decode(ids).encode()).hexdigest()
+
+
+def test_pieces_odd(odd_documents, no_documents):
+    model = P.path("piece_bpe_32k.model")
+    assert sorted(r.n_tokens == 0 for r in pieces.digests(odd_documents, model).collect()).count(True) == 2
+    assert pieces.digests(no_documents, model).count() == 0
+    coded = pieces.encode(odd_documents, model)
+    assert sorted(r.text for r in pieces.decode(coded, model).collect()) == sorted(r.text or "" for r in odd_documents.collect())
+    assert pieces.with_token_ids(odd_documents, model).columns[-3:] == ["token_ids", "n_tokens", "decoded_sha256"]
+
+
+def plain_secrets(t):
+    out = [("assign", *m.span()) for m in re.finditer(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", t, re.I | re.A) if len(m[2]) >= 6]
+    out += [("access", *m.span()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
+    return sorted(out + [("hex", *m.span()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24])
+
+
+def plain_personal(t):
+    digits = lambda s: re.sub("[^0-9]", "", s)
+    luhn = lambda d: sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(d[::-1])) % 10 == 0
+    out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(p) <= 255 for p in m[0].split("."))]
+    out += [("card", *m.span()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t) if 13 <= len(digits(m[0])) <= 19 and luhn(digits(m[0]))]
+    return sorted(out + [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 9 <= len(digits(m[0])) <= 15])
+
+
+SECRET_BITS = ["password", "Token", "api_key", "=", ":", " ", "'", '"', "abc", "0123456789abcdef", "AKIA", "ABCDEFGH", "ſecret", "K", "-", "deadbeef"]
+PERSON_BITS = ["a", "b@", "@", "c.d", "1", "2.", "55.", "+", "-", " ", "(", ")", "_", "x", "4111111111111111", "%"]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(SECRET_BITS), max_size=30), st.lists(st.sampled_from(PERSON_BITS), max_size=40))
+def test_base_spans_against_plain_patterns(a, b):
+    s, p = "".join(a), "".join(b)
+    assert sorted(secrets.spans(s)[0]) == plain_secrets(s)
+    assert sorted(personal.spans(p)[0]) == plain_personal(p)
+
+
+def test_guess_costs():
+    cost = secrets.guess_cost
+    assert cost("password") < cost("letmein1999") < cost("b7db7aa4a5fcc78305")
+    assert cost("qwertyuiop") < 4 and cost("aaaaaaaaaaaa") < 4 and cost("abcabcabcabc") < 7
+    assert cost("20240131") < 5 < cost("83a0f1d7")
+
+
+def test_added_secrets_and_masking(spark):
+    t = "pwd: Xk29vQz81mPw and pwd: password1 at https://u:9fK2mmQ77z@h password=abc123def"
+    base, both = secrets.spans(t)
+    assert [k for k, _, _ in base] == ["assign"] and [t[s:e] for k, s, e in both if k == "guess"] == ["Xk29vQz81mPw", "9fK2mmQ77z"]
+    out = [r.text for r in secrets.redact(spark.createDataFrame([(t, 1), (None, 2), ("clean", 3)], "text string, text2 int")).collect()]
+    assert out == ["pwd: [secret] and pwd: password1 at https://u:[secret]@h [secret]", None, "clean"]
+
+
+def test_added_personal_data():
+    t = "IBAN DE89 3704 0044 0532 0130 00, bad DE89 3704 0044 0532 0130 01, ssn 123-45-6789 and 123-45-6789x, born 1990-02-03; dated 1990-02-03"
+    base, both = personal.spans(t)
+    kinds = [k for k, _, _ in both]
+    assert kinds.count("iban") == 1 and kinds.count("ssn") >= 1 and "birth" in kinds and base == [x for x in both if x[0] in personal.BASE]
+    assert personal.spans("call 021000021 wire routing")[1][0][0] == "routing" and personal.spans("n 021000021 n")[1] == []
+
+
+@pytest.mark.parametrize("module,query", [(secrets, secrets.op2_secrets), (personal, personal.op10_personal)])
+def test_span_queries(spark, odd_documents, no_documents, module, query):
+    docs = {d.doc_id: d.text for d in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    plain = plain_secrets if module is secrets else plain_personal
+    for r in query(spark, SMALL).collect():
+        want = plain(docs[r.doc_id])
+        want.sort(key=(lambda x: (x[1], secrets.ORDER[x[0]])) if module is secrets else (lambda x: (personal.ORDER[x[0]], x[1])))
+        assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{s}:{e}" for k, s, e in want).encode()).hexdigest()
+    assert module.digests(odd_documents).count() == 8 and module.digests(no_documents).count() == 0
+
+
+def test_language_held_out_and_odd(spark, odd_documents, no_documents):
+    got = language.op6_language(spark, "/root/testdata/sf0.01").toPandas()
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang").toPandas()
+    assert (got.held_out == got.doc_id.map(lambda i: zlib.crc32(str(i).encode()) % 5 == 0)).all()
+    both = got[got.held_out].merge(docs)
+    assert (both.lang == both.lang_pred).mean() > 0.98 and got.score.between(0, 1).all()
+    model = language.fit(odd_documents)
+    assert model.names == ["de", "en", "fr"] or model.names == ["en", "fr"]
+    rows = [(r.doc_id, r.lang_pred) for r in language.classify(odd_documents, model).collect()]
+    assert dict(rows)[2] == dict(rows)[3] == dict(rows)[5] == "und" and len(rows) == 8
+    assert language.fit(no_documents).names == []
+    assert {r.lang_pred for r in language.classify(odd_documents, language.fit(no_documents)).collect()} == {"und"}
+
+
+@pytest.mark.parametrize("k", [1, 2, 4, 7, 12])
+def test_codewords_are_apart(k):
+    code = language.codewords(k)
+    assert len(code) == k and len({tuple(r) for r in code.tolist()}) == k
+
+
+@settings(max_examples=50, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 5), max_size=60), min_size=1, max_size=8))
+def test_grammar_round_trip(rows):
+    counts = np.array([len(r) for r in rows] + [400], np.int64)
+    ids = np.array([i for r in rows for i in r] + [0, 1, 1, 1] * 100, np.uint32)
+    shard = tokens.Shard(tokens.pack(ids, counts, 100))
+    assert np.concatenate([shard.ids(k) for k in range(shard.documents)]).tolist() == ids.tolist()
+    whole = shard.ids(len(rows)).tolist()
+    assert all(shard.ids(len(rows), a, b).tolist() == whole[a:b] for a, b in ((0, 3), (7, 50), (399, 400), (20, 20)))
+    assert len(shard.rules)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(ALPHABET + "İŉ$*<|>", max_size=50), min_size=1, max_size=20))
+def test_words_equal_the_library(texts):
+    tool = tokens.word_encoder(P.path("word_bpe_49k.json"))
+    texts = [*texts, "<|endoftext|> x", "<|ENDOFTEXT|> Y", "Étude, Über... don't ***"]
+    ids, counts = tool.encode_all(pa.array(texts))
+    want = [e.ids for e in tool.tool.encode_batch(texts, add_special_tokens=False)]
+    assert ids.tolist() == [i for w in want for i in w] and counts.tolist() == list(map(len, want))
+
+
+def test_tokens_query(spark, odd_documents, no_documents, tmp_path):
+    tool = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    start = 0
+    got = sorted(tokens.op7_tokens(spark, SMALL).collect())
+    for r, d in zip(got, sorted(spark.read.parquet(f"{SMALL}/documents.parquet").collect(), key=lambda d: d.doc_id), strict=True):
+        ids = np.array([*tool.encode(d.text, add_special_tokens=False).ids, 1], "<u4")
+        assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (d.doc_id, start, len(ids), zlib.crc32(ids.tobytes()))
+        start += len(ids)
+    tokens.write(odd_documents, P.path("word_bpe_49k.json"), f"file://{tmp_path}/odd")
+    rows = sorted(tokens.read(spark, f"file://{tmp_path}/odd").collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in rows] == [None, 1, 2, 3, 4, 4, 5, 6] and rows[2].ids == [1]
+    tokens.write(no_documents, P.path("word_bpe_49k.json"), f"file://{tmp_path}/none")
+    assert tokens.read(spark, f"file://{tmp_path}/none").count() == 0
+
+
+def test_media(spark, odd_documents, no_documents, tmp_path):
+    got = {r.doc_id: r for r in media.op8_media(spark, SMALL).collect()}
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").collect()
+    assert len(got) == len(docs)
+    for d in docs:
+        p = d.text.encode() + b"\xff" * (-len(d.text.encode()) % 576 or (0 if d.text else 576))
+        r = got[d.doc_id]
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(d.text.encode()), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]))
+        assert media.from_png(media.to_png(p)) == p and r.feature == media.feature_of(p)
+    for name, df, n in (("odd", odd_documents, 8), ("none", no_documents, 0)):
+        media.save(df, f"file://{tmp_path}/{name}")
+        rows = media.digests(media.load(spark, f"file://{tmp_path}/{name}")).collect()
+        assert len(rows) == n and all(r.payload_bytes >= 576 for r in rows)
+
+
+def test_a_damaged_member_loses_no_other(spark, odd_documents, tmp_path):
+    folder = f"file://{tmp_path}/m"
+    media.save(odd_documents.coalesce(1), folder)
+    path = next(tmp_path.glob("m/*.zip"))
+    data = bytearray(path.read_bytes())
+    data[60] ^= 255
+    path.write_bytes(bytes(data))
+    rows = media.load(spark, folder).collect()
+    assert len(rows) == 8 and sum(r.error is not None for r in rows) == 1
