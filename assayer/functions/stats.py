@@ -29,11 +29,11 @@ def clamp01(x: Column) -> Column:
 
 def line_confidence(words: Column) -> Column:
     """Mean of word confidences, but no more than 1 - 2 sample deviations; 0 without words."""
-    return F.coalesce(clamp01(F.least(F.avg(words), 1 - 2 * F.coalesce(F.stddev_samp(words), F.lit(0.0)))), F.lit(0.0))
+    return F.when(F.count(words) == 0, 0.0).otherwise(clamp01(F.least(F.avg(words), 1 - 2 * F.coalesce(F.stddev_samp(words), F.lit(0.0)))))
 
 
 def page_confidence(lines: Column) -> Column:
-    return F.coalesce(clamp01(F.avg(lines)), F.lit(0.0))
+    return F.when(F.count(lines) == 0, 0.0).otherwise(clamp01(F.avg(lines)))
 
 
 def overall_confidence(*parts: Column) -> Column:

@@ -40,8 +40,9 @@ def test_character_errors(spark):
 @given(st.lists(st.tuples(st.text("ab é -.", max_size=12), st.text("ab é -.", max_size=12)), min_size=1, max_size=30))
 def test_errors_against_a_plain_model(spark, pairs):
     df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, a string, b string")
-    a, b = text.normalise(F.col("a")), text.normalise(F.col("b"))
-    got = df.select("i", text.char_errors(a, b).alias("c"), text.word_errors(text.tokens(a), text.tokens(b)).alias("w")).orderBy("i").collect()
+    plain = df.select("i", text.normalise(F.col("a")).alias("a"), text.normalise(F.col("b")).alias("b"))
+    plain = plain.select("i", text.char_errors(F.col("a"), F.col("b")).alias("c"), text.tokens(F.col("a")).alias("a"), text.tokens(F.col("b")).alias("b"))
+    got = plain.select("i", "c", text.word_errors(F.col("a"), F.col("b")).alias("w")).orderBy("i").collect()
     norm = lambda s: " ".join(unicodedata.normalize("NFKC", s).lower().split())
     assert [(r.c, r.w) for r in got] == [(distance(norm(x), norm(y)), distance(norm(x).split(), norm(y).split())) for x, y in pairs]
 
