@@ -192,16 +192,17 @@ def across(around: DataFrame, percent: int) -> DataFrame:
     are of one component.
     """
     names = ("id", "n", "component", "bits", "common")
+    once = F.col("linked") | (F.col("id") < F.col("id_x"))  # two that are no links would meet either way round
     x = around.filter("not linked").select("centre", *(F.col(c).alias(f"{c}_x") for c in names), F.col("own").alias("own_x"))
-    y = around.select("centre", *names, "own")
+    y = around.select("centre", *names, "own", "linked")
     least = F.ceil((F.col("n") + F.col("n_x")) * percent / (100 + percent) - 1e-9)
     inside = F.least("common", "common_x")
     agree = sum((F.bit_count(F.col("bits")[i].bitwiseXOR(F.col("bits_x")[i])) for i in range(4)), F.lit(0)) <= 200 - AGREE
-    open_pair = (F.col("component") != F.col("component_x")) & close_in_size("n", "n_x", percent) & agree
+    open_pair = once & (F.col("component") != F.col("component_x")) & close_in_size("n", "n_x", percent) & agree
     shared = x.withColumn("shingle", F.explode("own_x")).drop("own_x").join(y.withColumn("shingle", F.explode("own")).drop("own"), ["centre", "shingle"])
     outside = F.least(F.col("n") - F.col("common"), F.col("n_x") - F.col("common_x"))
     shared = shared.filter(open_pair & (inside < least) & (inside + outside >= least))
-    shared = shared.groupBy("centre", F.least("id", "id_x").alias("a"), F.greatest("id", "id_x").alias("b"), F.when(F.col("id") < F.col("id_x"), 0).otherwise(1).alias("way")).agg(F.count("*").alias("met"), F.max(least - inside).alias("needed")).filter("met >= needed").select("a", "b")
+    shared = shared.groupBy("centre", F.least("id", "id_x").alias("a"), F.greatest("id", "id_x").alias("b")).agg(F.count("*").alias("met"), F.max(least - inside).alias("needed")).filter("met >= needed").select("a", "b")
     step = lambda c: F.floor(F.log(c.cast("double")) / F.lit(np.log(1.02)))
     most = F.floor((F.col("common_x") * (100 + percent) + percent) / F.lit(percent)) - F.col("n_x")
     low = F.ceil(F.col("n_x") * percent / 100)
