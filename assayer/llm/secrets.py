@@ -24,8 +24,8 @@ from assayer.llm.batches import bounded
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
-CREDENTIAL = re.compile(r"(?<![A-Za-z])(?:pwd|pass_?phrase|credentials?|auth(?:_?token)?|bearer|private_?key|client_?id|access_?key|login|passcode|pin)[\"']?(?:\x20{0,8}[:=]\x20{0,8}|\x20)[\"']?([^\s\"'<>,;]{8,128})", re.I | re.A)
-URL_LOGIN = re.compile(r"://[^\s/:@]{1,64}:([^\s/@]{6,128})@")
+CREDENTIAL = re.compile(r"(?<![A-Za-z])(?:pwd|pass_?phrase|credentials?|auth(?:_?token)?|bearer|private_?key|client_?id|access_?key|login|passcode|pin)[\"']?(?:\x20{0,8}[:=]\x20{0,8}|\x20)[\"']?([^\s\"'<>,;]{8,})", re.I | re.A)
+URL_LOGIN = re.compile(r"://[^\s/:@]+:([^\s/@]{6,})@")
 ORDER = {"assign": 0, "access": 1, "hex": 2, "guess": 3}
 HINTS = (b"passw", b"secret", b"token", b"api")
 MORE_HINTS = (b"pwd", b"passp", b"passc", b"pass_p", b"credential", b"auth", b"bearer", b"private", b"client", b"access", b"login", b"pin")
@@ -37,7 +37,8 @@ ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm", "abcdefghijklmnopqrs
 NEXT = {(a, b) for row in ROWS for r in (row, row[::-1]) for a, b in zip(r, r[1:])}
 DATE = re.compile(r"(?:19|20)\d\d(?:[-./]?[01]?\d[-./]?[0-3]?\d)?|[0-3]?\d[-./][01]?\d[-./](?:19|20)?\d\d")
 LEET = str.maketrans("013457@$", "oieastas")
-VALUE_LIMIT = 128
+#: The longest block that counts as said twice or more; part of the guessing model, not a limit on values.
+LONGEST_BLOCK = 64
 
 
 def guess_cost(value: str) -> float:
@@ -49,6 +50,7 @@ def guess_cost(value: str) -> float:
     char = math.log10(max(pool, 2))
     best = [0.0] + [math.inf] * n
     walk = repeat = 0  # start of the run that ends here
+    alike = [0] * (LONGEST_BLOCK + 1)  # for each size, how many characters up to here equal the one that far before
     dates = {(m.start(), m.end()) for i in range(n) if (m := DATE.match(value, i))}
     for e in range(1, n + 1):
         i = e - 1
@@ -61,11 +63,10 @@ def guess_cost(value: str) -> float:
             best[e] = min(best[e], best[walk] + math.log10(40 * (e - walk)))
         if e - repeat >= 3:
             best[e] = min(best[e], best[repeat] + math.log10(pool * (e - repeat)))
-        for size in range(1, e // 2 + 1):  # a block said twice or more
-            block, times = low[e - size : e], 1
-            while times * size + size <= e and low[e - (times + 1) * size : e - times * size] == block:
-                times += 1
-            if times > 1 and size > 1:
+        for size in range(2, min(i, LONGEST_BLOCK) + 1):  # a block said twice or more
+            alike[size] = alike[size] + 1 if low[i] == low[i - size] else 0
+            if alike[size] >= size:
+                times = alike[size] // size + 1
                 best[e] = min(best[e], best[e - times * size] + size * char + math.log10(times))
         for s in range(max(0, e - LONGEST), e - 2):
             for shape in (low, plain):
@@ -101,7 +102,7 @@ def guess_spans(text: str, low: bytes, base: list[tuple[str, int, int]], thresho
             s, e = m.span(1)
             if any(taken[s:e]):
                 continue
-            value = m[1][:VALUE_LIMIT]
+            value = m[1]
             mixed = sum(bool(re.search(p, value)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
             if mixed >= 2 and re.search("[0-9]", value) and guess_cost(value) >= threshold:
                 out.append(("guess", s, e))
@@ -125,7 +126,7 @@ def costs(text: str, found: list[tuple[str, int, int]]) -> list[float | None]:
     for k, s, e in found:
         m = ASSIGN.match(text, s, e) if k == "assign" else None
         value = m[2] if m else text[s:e] if k == "guess" else None
-        out.append(round(guess_cost(value[:VALUE_LIMIT]), 6) if value else None)
+        out.append(round(guess_cost(value), 6) if value else None)
     return out
 
 

@@ -102,6 +102,22 @@ def test_guess_costs():
     assert cost("20240131") < 5 < cost("83a0f1d7")
 
 
+def test_guess_cost_of_repeated_blocks_and_long_values():
+    """The count of equal characters tells the same repeats as comparing blocks, and no length is too long."""
+    rng = random.Random(5)
+    for _ in range(200):
+        block = "".join(rng.choice("xk7") for _ in range(rng.randint(2, 6)))
+        value = "".join(rng.choice("xk7") for _ in range(rng.randint(0, 3))) + block * rng.randint(2, 4)
+        char = np.log10(36 if re.search("[0-9]", value) and re.search("[a-z]", value) else 26 if re.search("[a-z]", value) else 10)
+        times = next(n for n in range(len(value) // len(block), 0, -1) if value.endswith(block * n))
+        lead = len(value) - len(block) * times
+        assert secrets.guess_cost(value) <= lead * char + len(block) * char + np.log10(times) + 1e-9
+    odd = "".join(rng.choice("qXz7Rm2KpV") for _ in range(5000))
+    assert secrets.guess_cost("a" * 5000) < 6 and secrets.guess_cost("a" * 200 + odd) > 1000
+    both = secrets.spans(f"pwd: {'z' * 200}{odd} and https://{'u' * 100}:{odd}@h")[1]
+    assert [(k, e - s) for k, s, e in both] == [("guess", 5200), ("guess", 5000)]
+
+
 def test_added_secrets_and_masking(spark):
     t = "pwd: Xk29vQz81mPw and pwd: password1 at https://u:9fK2mmQ77z@h password=abc123def"
     base, both = secrets.spans(t)
