@@ -137,12 +137,17 @@ def classify(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text
     return df.select(key, text).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, lang_pred string, score double, ambiguous boolean")
 
 
+def has_letter(text: str) -> bool:
+    """Fractions and numerals that are word characters, such as ½ or Ⅷ, are no letters."""
+    return any(m[0].isalpha() for m in LETTER.finditer(text))
+
+
 def judged(column: pa.Array, m: Model) -> list[pa.Array]:
     body, at = text_bytes(column)
     bins = grams(body)
     out = []
     for i, t in enumerate(column.to_pylist()):
-        if not t or not m.names or not LETTER.search(t):
+        if not t or not m.names or not has_letter(t):
             out.append(("und", 0.0, True))
             continue
         counts = document_counts(bins, int(at[i]), int(at[i + 1]))

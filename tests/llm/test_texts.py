@@ -145,6 +145,10 @@ def test_span_queries(spark, odd_documents, no_documents, module, query):
     assert module.digests(odd_documents).count() == 8 and module.digests(no_documents).count() == 0
 
 
+def test_numerals_are_no_letters():
+    assert not any(map(language.has_letter, ["", "12 ½ Ⅷ ² _", "!?😀"])) and all(map(language.has_letter, ["é", "日", "12a"]))
+
+
 def test_language_held_out_and_odd(spark, odd_documents, no_documents):
     got = language.op6_language(spark, "/root/testdata/sf0.01").toPandas()
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang").toPandas()
