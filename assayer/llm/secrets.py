@@ -3,8 +3,10 @@
 The guess cost of a value is the least, over all ways to cut it into parts, of the product of the parts'
 guesses: a part is a word of a list (by its place in it), a date, a repeat, a run along the keyboard or the
 alphabet, or a brute-force span of characters. Values whose log10 cost reaches ``threshold`` are spans of
-kind ``guess``. Values of the base patterns keep their base span whatever their cost, and no guess span
-overlaps one. A null text counts as empty and has no spans. Other columns are ignored; repeated rows are
+kind ``guess``, of any length and of any characters. A value in quotes ends with them, another before blanks, quotes
+and ``<>,;``. After a name and blanks alone, without ``:`` or ``=``, a plain word is no value. Values of the base
+patterns keep their base span whatever their cost, and no guess span overlaps one: what a base span leaves of its value is
+a guess span of its own if the whole value's cost or its own reaches ``threshold``. A null text counts as empty and has no spans. Other columns are ignored; repeated rows are
 each judged.
 """
 
@@ -24,11 +26,16 @@ from assayer.llm.batches import bounded
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
-CREDENTIAL = re.compile(r"(?<![A-Za-z])(?:pwd|pass_?phrase|credentials?|auth(?:_?token)?|bearer|private_?key|client_?id|access_?key|login|passcode|pin)[\"']?(?:\x20{0,8}[:=]\x20{0,8}|\x20)[\"']?([^\s\"'<>,;]{8,})", re.I | re.A)
-URL_LOGIN = re.compile(r"://[^\s/:@]+:([^\s/@]{6,})@")
+#: The value is looked at and not consumed: a name inside it is a context of its own.
+VALUE = r"""(?=(?:"([^\s"]+)"|'([^\s']+)'|["']?([^\s"'<>,;]+)))"""
+NAME = r"(?:password|passwd|secret|token|api[_-]?key|(?<![A-Za-z])(?:pwd|pass[_-]?phrase|credentials?|auth|bearer|private[_-]?key|client[_-]?id|access[_-]?key|login|passcode|pin))[\"']?"
+CREDENTIAL = re.compile(NAME + r"(?:[\x20\t]*+[:=][\x20\t]*+|([\x20\t]++))" + VALUE, re.I | re.A)
+URL_LOGIN = re.compile(r"://[^\s/:@]+:([^\s/@]+)@")
+#: After blanks alone, a plain word is the next word of a sentence; its letters may change case after the first only.
+PROSE = re.compile(r"[(\[{*]*([^\W\d_]+(?:[-'’/][^\W\d_]+)*)[.:!?)\]}*…]*")
 ORDER = {"assign": 0, "access": 1, "hex": 2, "guess": 3}
 HINTS = (b"passw", b"secret", b"token", b"api")
-MORE_HINTS = (b"pwd", b"passp", b"passc", b"pass_p", b"credential", b"auth", b"bearer", b"private", b"client", b"access", b"login", b"pin")
+MORE_HINTS = (*HINTS, b"pwd", b"passp", b"passc", b"pass_p", b"pass-p", b"credential", b"auth", b"bearer", b"private", b"client", b"access", b"login", b"pin")
 #: Common words, the most frequent first.
 WORDS = "password pass admin welcome login secret letmein monkey dragon master hello freedom shadow summer winter spring autumn test user root default changeme token key love money computer internet access server public private example sample none null true false the and for with from value string your this that here name data code file".split()
 RANK = {w: i + 1 for i, w in enumerate(WORDS)}
@@ -89,24 +96,44 @@ def base_spans(text: str, low: bytes) -> list[tuple[str, int, int]]:
     return found
 
 
+def is_prose(value: str) -> bool:
+    m = PROSE.fullmatch(value)
+    return bool(m) and all(w[1:] == w[1:].lower() or w == w.upper() for w in re.split("[-'’/]", m[1]))
+
+
+def contexts(text: str, low: bytes) -> Iterator[tuple[int, int]]:
+    """Where the values stand that a name or a login of a URL makes credentials."""
+    if any(h in low for h in MORE_HINTS):
+        for m in CREDENTIAL.finditer(text):
+            s, e = m.span(m.lastindex)
+            if not (m[1] and is_prose(text[s:e])):
+                yield s, e
+    if b"://" in low:
+        for m in URL_LOGIN.finditer(text):
+            yield m.span(1)
+
+
 def guess_spans(text: str, low: bytes, base: list[tuple[str, int, int]], threshold: float) -> list[tuple[str, int, int]]:
-    ways = ([CREDENTIAL] if any(h in low for h in MORE_HINTS) else []) + ([URL_LOGIN] if b"://" in low else [])
-    if not ways:
-        return []
+    """Values that no base span covers, and what base spans leave of a value, by cost alone."""
     out: list[tuple[str, int, int]] = []
-    taken = bytearray(len(text))
-    for _, s, e in base:
-        taken[s:e] = b"1" * (e - s)
-    for way in ways:
-        for m in way.finditer(text):
-            s, e = m.span(1)
-            if any(taken[s:e]):
-                continue
-            value = m[1]
-            mixed = sum(bool(re.search(p, value)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
-            if mixed >= 2 and re.search("[0-9]", value) and guess_cost(value) >= threshold:
-                out.append(("guess", s, e))
-                taken[s:e] = b"1" * (e - s)
+    taken: bytearray | None = None
+    for s, e in contexts(text, low):
+        if taken is None:
+            taken = bytearray(len(text))
+            for _, a, b in base:
+                taken[a:b] = b"\1" * (b - a)
+        rests = [m.span() for m in re.finditer(b"\0+", taken[s:e])]
+        if not rests:
+            continue
+        value = text[s:e]
+        whole = guess_cost(value) >= threshold
+        for a, b in rests:
+            rest = value[a:b]
+            if b - a < e - s and not rest.strip(")]}") and not re.search(r"[(\[{]", value):
+                continue  # closes a bracket around the assignment
+            if whole or guess_cost(rest) >= threshold:
+                out.append(("guess", s + a, s + b))
+                taken[s + a : s + b] = b"\1" * (b - a)
     return out
 
 

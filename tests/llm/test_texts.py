@@ -126,6 +126,25 @@ def test_added_secrets_and_masking(spark):
     assert out == ["pwd: [secret] and pwd: password1 at https://u:[secret]@h [secret]", None, "clean"]
 
 
+@pytest.mark.parametrize(
+    "t,base,guess",
+    [
+        ("password=P@9x!Qm2#Lw8", [], ["P@9x!Qm2#Lw8"]),
+        ("password=Tr0ub4dor&3xK!q", ["password=Tr0ub4dor"], ["&3xK!q"]),
+        ("password=Tr0ub4dor&3x end", ["password=Tr0ub4dor"], ["&3x"]),
+        ("api-key: Zk39fkQm20xl", [], ["Zk39fkQm20xl"]),
+        ("access-key =\t\tZk39fkQm20xl", [], ["Zk39fkQm20xl"]),
+        ("private-key:" + " " * 12 + "Zk39fkQm20xl", [], ["Zk39fkQm20xl"]),
+        ("passcode: qzkvbnwtrrplm and pin: 8301749265", [], ["qzkvbnwtrrplm", "8301749265"]),
+        ("pwd: 'ab;c9!Kx2#', auth: bearer Xk29vQz81mPw", [], ["ab;c9!Kx2#", "Xk29vQz81mPw"]),
+        ("(token=abc123def456) password=aaa the secret ingredients; login required. password: pw", ["token=abc123def456"], []),
+    ],
+)
+def test_every_credential_context_is_judged_by_cost(t, base, guess):
+    got, both = secrets.spans(t)
+    assert [t[s:e] for _, s, e in got] == base and [t[s:e] for k, s, e in both if k == "guess"] == guess
+
+
 def test_added_personal_data():
     t = "IBAN DE89 3704 0044 0532 0130 00, bad DE89 3704 0044 0532 0130 01, ssn 123-45-6789 and 123-45-6789x, born 1990-02-03; dated 1990-02-03"
     base, both = personal.spans(t)
