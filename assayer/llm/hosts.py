@@ -2,9 +2,12 @@
 
 DataFrame operations only. Links in a page's html make host edges, one row for each pair of hosts. Trusted
 seeds are hosts by the share of their pages that an allow rule takes, blocked seeds by the share that a block
-rule takes. Personalised PageRank spreads trust along links and distrust against them; both are scaled so
-that a full seed without links scores 1. A page without a rule is blocked if its host's distrust exceeds its
-trust by ``threshold``.
+rule takes. A host's distrust is its own seed and the damped mean of the distrust of the hosts it links to, its trust
+the same over the hosts that link to it, links counted: what personalised PageRank from that host meets of the
+seeds, along links for distrust and against them for trust. Both are relative to the host, so they don't shrink with the
+number of links of a seed, and a full seed without links scores 1. Rounds go on until no score changes
+by more than ``tolerance``; scores are then within 5.7 times that of their limits at the damping of 0.85. A page without a rule is blocked if
+its host's distrust exceeds its trust by ``threshold``.
 
 A null url, or one without ``://``, has an empty host and path, fits no rule and is judged by the scores of the
 empty host, which has no seed and no links: it is allowed. Null html has no links. Repeated rows each count
@@ -21,7 +24,9 @@ from assayer.llm.places import kept
 #: Verdict, host and path of each rule.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 DAMPING = 0.85
+#: Of the SQL alone, which cannot test for convergence; it equals the query where no page links to another host.
 ROUNDS = 8
+TOLERANCE = 1e-6
 CUT_EVERY = 4
 THRESHOLD = 0.5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -63,25 +68,27 @@ def host_edges(df: DataFrame, url: str = "url", html: str = "html") -> DataFrame
     return links.filter("src <> dst and src <> ''").groupBy("src", "dst").agg(F.count("*").alias("links"))
 
 
-def propagate(seeds: DataFrame, edges: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
+def propagate(seeds: DataFrame, edges: DataFrame, tolerance: float = TOLERANCE, damping: float = DAMPING) -> DataFrame:
     """(host, trust, distrust) from seeds (host, trust, distrust) and edges (src, dst, links)."""
     out = edges.groupBy("src").agg(F.sum("links").alias("all")).withColumnRenamed("src", "origin")
     back = edges.groupBy("dst").agg(F.sum("links").alias("all")).withColumnRenamed("dst", "origin")
-    forth = edges.join(out, edges.src == out.origin).select(F.lit("trust").alias("kind"), "src", "dst", (F.col("links") / F.col("all")).alias("share"))
-    against = edges.join(back, edges.dst == back.origin).select(F.lit("distrust"), F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("links") / F.col("all"))
+    # Shares of all links of the host that receives.
+    forth = edges.join(back, edges.dst == back.origin).select(F.lit("trust").alias("kind"), "src", "dst", (F.col("links") / F.col("all")).alias("share"))
+    against = edges.join(out, edges.src == out.origin).select(F.lit("distrust"), F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("links") / F.col("all"))
     ways = kept(forth.union(against), "ways")
     hosts = seeds.select("host", F.expr("stack(2, 'trust', trust, 'distrust', distrust) as (kind, seed)"))
     reached = ways.select(F.col("dst").alias("host"), "kind", F.lit(0.0).alias("seed"))
     state = hosts.union(reached).groupBy("host", "kind").agg(F.sum("seed").alias("seed")).withColumn("score", F.col("seed"))
     state = kept(state, "hosts")
-    if ways.isEmpty():
-        rounds = 0
-    for k in range(1, rounds + 1):
-        sent = state.select("kind", F.col("host").alias("src"), "score").filter("score > 0").join(ways, ["kind", "src"])
-        got = sent.groupBy("kind", F.col("dst").alias("host")).agg(F.sum(F.col("score") * F.col("share")).alias("got"))
-        state = state.join(got, ["kind", "host"], "left").select("host", "kind", "seed", (F.col("seed") + damping * F.coalesce("got", F.lit(0.0))).alias("score"))
-        if k % CUT_EVERY == 0 or k == rounds:
-            state = kept(state, "hosts")
+    moving = not ways.isEmpty()
+    while moving:
+        for _ in range(CUT_EVERY):
+            sent = state.select("kind", F.col("host").alias("src"), "score").filter("score > 0").join(ways, ["kind", "src"])
+            got = sent.groupBy("kind", F.col("dst").alias("host")).agg(F.sum(F.col("score") * F.col("share")).alias("got"))
+            after = F.col("seed") + damping * F.coalesce("got", F.lit(0.0))
+            state = state.join(got, ["kind", "host"], "left").select("host", "kind", "seed", after.alias("score"), F.abs(after - F.col("score")).alias("change"))
+        state = kept(state, "hosts")
+        moving = state.filter(F.col("change") > tolerance).limit(1).count() > 0
     one = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("score"))), F.lit(0.0)).alias(kind)
     return state.groupBy("host").agg(one("trust"), one("distrust"))
 

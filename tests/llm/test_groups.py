@@ -148,6 +148,30 @@ def test_link_graph(spark):
     assert hosts.judge(df.limit(0)).count() == 0
 
 
+def test_distrust_of_many_linkers_and_long_chains(spark):
+    import numpy as np
+
+    names = ["bad.net", "good.org", *(f"l{i}.com" for i in range(20)), *(f"c{i}.com" for i in range(12)), "x.com", "y.com"]
+    edges = [(f"l{i}.com", "bad.net", 1) for i in range(20)] + [("c0.com", "bad.net", 3)] + [(f"c{i + 1}.com", f"c{i}.com", 1) for i in range(11)]
+    edges += [("x.com", "y.com", 2), ("y.com", "x.com", 1), ("y.com", "bad.net", 1), ("good.org", "l3.com", 1), ("l4.com", "x.com", 3)]
+    at = {h: i for i, h in enumerate(names)}
+    links = np.zeros((len(names), len(names)))
+    for a, b, n in edges:
+        links[at[a], at[b]] = n
+    mean = lambda m: m / np.maximum(m.sum(axis=1, keepdims=True), 1)
+    unit = np.eye(len(names))
+    distrust, trust = (np.linalg.solve(unit - 0.85 * mean(m), unit[k]) for m, k in ((links, 0), (links.T, 1)))
+    seeds = spark.createDataFrame([(h, float(h == "good.org"), float(h == "bad.net")) for h in names], "host string, trust double, distrust double")
+    got = {r.host: r for r in hosts.propagate(seeds, spark.createDataFrame(edges, "src string, dst string, links long")).collect()}
+    for h in names:
+        assert abs(got[h].distrust - distrust[at[h]]) < 6e-6 and abs(got[h].trust - trust[at[h]]) < 6e-6
+    assert abs(got["c11.com"].distrust - 0.85**12) < 6e-6 and got["l19.com"].distrust > 0.8
+    link = lambda h: f'<a href="https://{h}/x">t</a>'
+    pages = [(i, f"http://l{i}.com/", link("bad.net")) for i in range(20)] + [(20, "http://half.com/", link("bad.net") + link("far.com")), (21, "http://bad.net/", "")]
+    verdicts = {r.page_id: r.verdict for r in hosts.judge(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert verdicts == {i: "allow" if i == 20 else "block" for i in range(22)}
+
+
 def test_pipeline_stages(spark, odd_documents, no_documents):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     names = docs.columns
