@@ -9,8 +9,11 @@ skipped; a low threshold is met by length alone, as a prefix of the block sorted
 query's largest coordinates, each of which limits the same coordinate of any vector at that cosine to a range.
 What is left is verified with exact products.
 
-A vector that is null, or holds a null or non-finite component, or one of 2**22 or more (beyond exact sums),
-takes no part; vectors of other dimensions than the query's are no candidates. A repeated query id asks once,
+Scores are exact whatever the components: products are taken in doubles while their sums stay below 2**53, in 64-bit
+integers below 2**63, else in Python's integers. Components that don't fit 64 bits, and scores that don't, have no exact value of the
+result's type: the query fails there and drops nothing.
+
+A vector that is null, or holds a null or non-finite component, takes no part; vectors of other dimensions than the query's are no candidates. A repeated query id asks once,
 with the greatest of its vectors; repeated candidate rows each count. Rows of a query's own id are no
 candidates. A row with a null id takes no part. Other columns are ignored.
 """
@@ -29,7 +32,6 @@ from pyspark.sql import functions as F
 from assayer.llm.places import kept
 
 SCALE = 256.0
-LIMIT = 1 << 22
 RATIO = 1.05
 BLOCK_ROWS = 8192
 QUERY_ROWS = 1024
@@ -39,19 +41,27 @@ FOCUS = 4
 
 
 def scaled(vector: Column) -> Column:
-    return F.transform(vector, lambda x: F.floor(x.cast("double") * F.lit(SCALE)))
+    def whole(x: Column) -> Column:
+        y = x.cast("double") * F.lit(SCALE)
+        beyond = finite(x) & (F.abs(y) >= F.lit(2.0**63))
+        return F.when(beyond, F.raise_error(F.lit("a component times 256 is beyond 64 bits")).cast("long")).otherwise(F.floor(y))
+
+    return F.transform(vector, whole)
+
+
+def finite(x: Column) -> Column:
+    return x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < F.lit(float("inf")))
 
 
 def usable(vector: Column) -> Column:
-    fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < F.lit(LIMIT / SCALE))
-    return vector.isNotNull() & (F.size(vector) > 0) & F.forall(vector, lambda x: F.coalesce(fine(x), F.lit(False)))
+    return vector.isNotNull() & (F.size(vector) > 0) & F.forall(vector, lambda x: F.coalesce(finite(x), F.lit(False)))
 
 
 def prepared(df: DataFrame, key: str, vector: str) -> DataFrame:
-    """(id, v array<int>, dim, squared, bucket)."""
-    own = df.filter(F.col(key).isNotNull() & usable(F.col(vector))).select(F.col(key).cast("long").alias("id"), scaled(F.col(vector)).cast("array<int>").alias("v"))
-    own = own.withColumn("squared", F.aggregate("v", F.lit(0).cast("long"), lambda s, x: s + x.cast("long") * x)).withColumn("dim", F.size("v"))
-    return own.withColumn("bucket", F.when(F.col("squared") > 0, F.floor(F.log(F.col("squared").cast("double")) / F.lit(2 * np.log(RATIO)))).otherwise(-1).cast("int"))
+    """(id, v array<long>, dim, squared, bucket); squared is rounded beyond 2**53."""
+    own = df.filter(F.col(key).isNotNull() & usable(F.col(vector))).select(F.col(key).cast("long").alias("id"), scaled(F.col(vector)).alias("v"))
+    own = own.withColumn("squared", F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))).withColumn("dim", F.size("v"))
+    return own.withColumn("bucket", F.when(F.col("squared") > 0, F.floor(F.log("squared") / F.lit(2 * np.log(RATIO)))).otherwise(-1).cast("int"))
 
 
 def blocks(rows: DataFrame, by: list[str], size: int) -> DataFrame:
@@ -59,11 +69,12 @@ def blocks(rows: DataFrame, by: list[str], size: int) -> DataFrame:
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["squared", "id"], ascending=[False, True], kind="stable")
-        matrix = np.stack(pdf["v"].to_numpy()).astype("<i4")
-        return pd.DataFrame({**{c: [pdf[c].iloc[0]] for c in by}, "ids": [pdf["id"].to_numpy("<i8").tobytes()], "matrix": [matrix.tobytes()], "squared": [int(pdf["squared"].iloc[0])]})
+        matrix = np.stack(pdf["v"].to_numpy())
+        matrix = matrix.astype("<i4" if np.abs(matrix).max(initial=0) < 2**31 else "<i8")
+        return pd.DataFrame({**{c: [pdf[c].iloc[0]] for c in by}, "ids": [pdf["id"].to_numpy("<i8").tobytes()], "matrix": [matrix.tobytes()], "squared": [float(pdf["squared"].iloc[0])]})
 
     names = {"dim": "int", "bucket": "int", "sub": "long"}
-    return rows.groupBy(*by).applyInPandas(pack, ", ".join(f"{c} {names[c]}" for c in by) + ", ids binary, matrix binary, squared long")
+    return rows.groupBy(*by).applyInPandas(pack, ", ".join(f"{c} {names[c]}" for c in by) + ", ids binary, matrix binary, squared double")
 
 
 def dealt(rows: DataFrame, by: list[str], size: int) -> DataFrame:
@@ -74,6 +85,8 @@ def dealt(rows: DataFrame, by: list[str], size: int) -> DataFrame:
 
 def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Places of the k highest scores, ties to the smaller id."""
+    if scores.dtype == object:
+        return np.array(sorted(range(len(ids)), key=lambda i: (-scores[i], ids[i]))[:k], np.int64)
     if len(scores) > 8 * k:
         floor = np.partition(scores, -k)[-k]
         near = np.flatnonzero(scores >= floor)
@@ -82,10 +95,18 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 
 
 def products(matrix: np.ndarray, vector: np.ndarray) -> np.ndarray:
-    """Exact inner products: in doubles while sums stay below 2**53, else in 64-bit integers."""
-    if float(np.abs(matrix).max(initial=0)) * float(np.abs(vector).max(initial=0)) * len(vector) < 2**53:
+    """Exact inner products: in doubles while sums stay below 2**53, in 64-bit integers below 2**63, else in Python's."""
+    most = int(np.abs(matrix).max(initial=0)) * int(np.abs(vector).max(initial=0)) * len(vector)
+    if most < 2**53:
         return (matrix.astype(np.float64) @ vector.astype(np.float64)).astype(np.int64)
-    return matrix.astype(np.int64) @ vector.astype(np.int64)
+    if most < 2**63:
+        return matrix.astype(np.int64) @ vector.astype(np.int64)
+    return matrix.astype(object) @ vector.astype(object)
+
+
+def rows_of(block: bytes, count: int, dim: int) -> np.ndarray:
+    """The matrix of a block, in 4 or 8 bytes a component."""
+    return np.frombuffer(block, f"<i{len(block) // (count * dim)}").reshape(count, dim)
 
 
 def meet(queries: tuple, candidates: tuple, bounds: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -149,15 +170,14 @@ def scored(queries: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
         for b in batches:
             for i in range(b.num_rows):
                 r = {c: b.column(c)[i].as_py() for c in b.schema.names}
-                shape = (-1, r["dim"])
-                asked = np.frombuffer(r["q_ids"], "<i8"), np.frombuffer(r["q_matrix"], "<i4").reshape(shape)
-                given = np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["matrix"], "<i4").reshape(shape)
+                asked = (ids := np.frombuffer(r["q_ids"], "<i8")), rows_of(r["q_matrix"], len(ids), r["dim"])
+                given = (ids := np.frombuffer(r["ids"], "<i8")), rows_of(r["matrix"], len(ids), r["dim"])
                 found = list(meet(asked, given, np.frombuffer(r["bounds"], "<f8"), k))
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(np.repeat([q for q, _, _ in found], [len(x) for _, x, _ in found]), pa.int64()), pa.array(np.concatenate([x for _, x, _ in found]), pa.int64()), pa.array(np.concatenate([s for _, _, s in found]), pa.int64())], schema=PAIRED)
 
     # A copy of a query block goes to each candidate block that its bound leaves in: blocks meet by number.
-    numbers = candidates.select("dim", "bucket", "sub", F.col("squared").cast("double").alias("most"))  # a row for each BLOCK_ROWS vectors
+    numbers = candidates.select("dim", "bucket", "sub", F.col("squared").alias("most"))  # a row for each BLOCK_ROWS vectors
     sent = queries.join(F.broadcast(numbers), "dim").filter((F.col("low") <= 0) | (F.col("low") * F.col("low") <= F.col("q_squared") * F.col("most") * 1.000001)).drop("most")
     pairs = candidates.join(sent, ["dim", "bucket", "sub"])
     return pairs.select("dim", "q_ids", "q_matrix", "bounds", "ids", "matrix").mapInArrow(run, "query_id long, vec_id long, score long")
@@ -175,7 +195,7 @@ def search(queries: DataFrame, candidates: DataFrame, k: int = 5, key: str = "ve
     given = kept(blocks(dealt(rows, ["dim", "bucket"], BLOCK_ROWS), ["dim", "bucket", "sub"], BLOCK_ROWS), "blocks")
     asked = prepared(queries, key, vector).groupBy("id").agg(F.max(F.struct("v", "squared", "dim")).alias("x")).select("id", "x.v", "x.squared", "x.dim")
     asked = kept(blocks(dealt(asked, ["dim"], QUERY_ROWS), ["dim", "sub"], QUERY_ROWS), "queries")
-    asked = asked.select("dim", F.col("sub").alias("q_sub"), F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"), F.col("squared").cast("double").alias("q_squared"))
+    asked = asked.select("dim", F.col("sub").alias("q_sub"), F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"), F.col("squared").alias("q_squared"))
     # First round: the block of the greatest length for each dimension.
     lead = given.groupBy("dim").agg(F.max(F.struct("squared", "bucket", F.col("sub").alias("s"))).alias("x")).select("dim", F.col("x.bucket").alias("bucket"), F.col("x.s").alias("sub"))
     first = given.join(F.broadcast(lead), ["dim", "bucket", "sub"], "left_semi")
@@ -206,6 +226,7 @@ def with_bounds(asked: DataFrame, kth: DataFrame) -> DataFrame:
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         bounds = pdf.sort_values("place")["bound"].astype(float).fillna(-np.inf).to_numpy("<f8")
+        bounds = np.where(np.abs(bounds) < 2**53, bounds, np.nextafter(bounds, -np.inf))  # rounded scores: never above the k-th
         return pd.DataFrame({"dim": [pdf["dim"].iloc[0]], "q_sub": [pdf["q_sub"].iloc[0]], "bounds": [bounds.tobytes()], "low": [max(0.0, float(bounds.min()))]})
 
     return asked.join(flat.groupBy("dim", "q_sub").applyInPandas(pack, "dim int, q_sub long, bounds binary, low double"), ["dim", "q_sub"])

@@ -136,6 +136,32 @@ def test_top_k_of_odd_vectors(spark):
     assert topk.search(df.limit(0), df, 5).count() == 0
 
 
+def test_top_k_of_large_components(spark):
+    import numpy as np
+
+    rng = random.Random(6)
+    data = [(i, [rng.uniform(-1, 1) * rng.choice([1.0, 16384.0, 3e6]) for _ in range(6)]) for i in range(300)]
+    data += [(i, [3e6 + (i % 4) / 256, 16384.0, 0.0, 0.0, 0.0, 1.0]) for i in range(300, 340)] + [(400, [float("inf")] * 6), (401, [-20000.0] + [0.0] * 5)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    topk.BLOCK_ROWS, topk.QUERY_ROWS, old = 40, 3, (topk.BLOCK_ROWS, topk.QUERY_ROWS)
+    try:
+        got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in topk.search(df.filter("vec_id % 50 = 0"), df, 5).collect()}
+    finally:
+        topk.BLOCK_ROWS, topk.QUERY_ROWS = old
+    ok = [(i, [int(np.floor(256 * x)) for x in v]) for i, v in data if np.isfinite(v).all()]
+    want = {}
+    for q, v in ok:
+        if q % 50 == 0:
+            best = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in ok if i != q)[:5]
+            want |= {(q, k): (i, -s) for k, (s, i) in enumerate(best, 1)}
+    assert got == want and any(s > 2**53 for _, s in want.values())
+    matrix, vector = np.array([[2**40, -(2**40), 3], [2**40, -(2**40) + 1, 0]]), np.array([2**40, 2**40, 5])
+    scores = topk.products(matrix, vector)
+    assert scores.tolist() == [15, 2**40] and topk.best(scores, np.array([7, 9]), 1).tolist() == [1]
+    with pytest.raises(Exception, match="beyond 64 bits"):
+        topk.search(df, spark.createDataFrame([(1, [1e30])], df.schema), 5).collect()
+
+
 def test_link_graph(spark):
     link = lambda *hs: " ".join(f'<a class="l" href="https://{h}/x">t</a>' for h in hs)
     data = [(1, "http://Bad.net/", link("friend.com")), (2, "https://friend.com/a", link("bad.net", "bad.net")), (3, "http://good.org/fr/1", link("fine.com")), (4, "http://fine.com/?q", None), (5, "http://lone.com", ""), (6, None, None), (7, "no scheme", "x"), (7, "no scheme", "x"), (8, "http://a.example.net/en/q", ""), (9, "http://a.example.net/de/q", "")]
