@@ -79,16 +79,19 @@ def first_words(text: Column, n: Column) -> Column:
     return F.regexp_replace(F.substring(F.array_join(F.slice(parts, F.lit(1), n.cast("int") + 1), ""), 2, 2**31 - 1), r"[\x20\x09-\x0D]+$", "")
 
 
-def mixed(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+def mixed(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", parts: bool = True) -> DataFrame:
     """The mix itself: rows of ``df``, repeated as often as they are taken, in the order of virtual time.
 
-    A document that the cut falls in comes once more with as many of its first words as fit.
+    A document that the cut falls in comes once more with as many of its first words as fit; without ``parts`` it
+    comes whole if at least half of it fits, else not, so a source is within half a document of its words.
     """
     rows = mix(df, key, text, source, whole=True).filter("taken > 0")
     copies = F.floor((F.col("taken") + F.col("size") - 1) / F.col("size"))
     rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), copies - 1)))
     own = F.least(F.col("size"), F.col("taken") - F.col("copy") * F.col("size"))
     rows = rows.withColumn("own", own).withColumn("at", F.col("virtual_finish") + F.col("copy") * F.col("source_size") / F.col("target"))
+    if not parts:
+        rows = rows.filter(F.col("own") * 2 >= F.col("size")).withColumn("own", F.col("size"))
     rows = rows.orderBy("at", "doc_id", "copy")
     shown = F.col("row").getField(text)
     short = F.when(F.col("own") < F.col("size"), first_words(shown, F.col("own"))).otherwise(shown)

@@ -112,6 +112,18 @@ def test_mixed_rows_hold_the_words_taken(spark, odd_documents):
     assert sum(len(re.findall(r"[^\x20\x09-\x0D]+", r.text)) for r in out.collect()) == taken
 
 
+def test_the_pipeline_mixes_whole_documents(spark):
+    sizes = [("a", 40)] * 3 + [("b", 7)] * 30 + [("c", 200)] * 2
+    df = spark.createDataFrame([(i, " ".join(f"d{i}w{k}" for k in range(n)), "en", s, 1) for i, (s, n) in enumerate(sizes)], "doc_id long, text string, lang string, source string, n_chars long")
+    texts = {r.doc_id: r.text for r in df.collect()}
+    want = {r.source: r.n for r in mixing.mix(df).join(df.select("doc_id", "source"), "doc_id").groupBy("source").agg(F.sum("taken").alias("n")).collect()}
+    out = corpus_pipeline.mix_sources(spark, df, "").collect()
+    assert all(r.text == texts[r.doc_id] and r.n_chars == len(r.text) for r in out)
+    for source, n in want.items():
+        assert abs(sum(len(r.text.split()) for r in out if r.source == source) - n) <= dict(sizes)[source] / 2
+    assert any(len(r.text) < len(texts[r.doc_id]) for r in mixing.mixed(df).collect())
+
+
 def test_top_k_of_odd_vectors(spark):
     rng = random.Random(4)
     data = [(i, [rng.gauss(0, 1) * rng.choice([0.1, 1, 9]) for _ in range(6)]) for i in range(300)]
