@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.batches import bounded
+from assayer.llm.batches import bounded, text_bytes
 
 BINS = 8192
 SMOOTHING = 0.5
@@ -33,16 +33,6 @@ FOLD = np.arange(256, dtype=np.uint32)
 FOLD[65:91] += 32
 
 
-def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """All bytes of a string column, and where each row starts (and the last ends); nulls are empty."""
-    column = column.cast(pa.large_string()) if not pa.types.is_large_string(column.type) else column
-    column = column.fill_null("")
-    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
-    data = column.buffers()[2]
-    body = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
-    return body[offsets[0] : offsets[-1]], offsets - offsets[0]
-
-
 def grams(body: np.ndarray) -> np.ndarray:
     """Bins of the 2- and 3-grams that start at each byte, as two rows; the last places are filler."""
     b = np.r_[FOLD[body], np.zeros(2, np.uint32)]

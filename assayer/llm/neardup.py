@@ -30,9 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from assayer.llm.batches import bounded
+from assayer.llm.batches import bounded, text_bytes
 from assayer.llm.components import components
-from assayer.llm.language import text_bytes
 from assayer.llm.places import kept
 
 WIDTH = 5
