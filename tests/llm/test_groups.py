@@ -95,7 +95,7 @@ def test_mixing_targets(spark, odd_documents, no_documents):
     out = got.join(df.select("doc_id", "source"), "doc_id").toPandas()
     total = out["size"].sum()
     by = out.assign(source=out.source.fillna("~")).groupby("source").agg(size=("source_size", "first"), target=("target", "first"), taken=("taken", "sum"))
-    assert by.target.sum() == pytest.approx(total) and (by.taken == by.target.map(int)).all() and (by.target <= 3 * by["size"] + 1e-9).all()
+    assert by.target.sum() == pytest.approx(total) and by.taken.sum() == total and ((by.taken - by.target).abs() <= 9).all() and (by.target <= 3 * by["size"] + 1e-9).all()
     assert (out.taken <= 3 * out["size"]).all() and (out.taken >= 0).all()
     weights = dict(zip(["big", "mid", "tiny", "~"], (5, 2, 1, 5)))
     free = [s for s in by.index if by.target[s] < 3 * by["size"][s]]
