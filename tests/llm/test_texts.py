@@ -153,6 +153,25 @@ def test_added_personal_data():
     assert personal.spans("call 021000021 wire routing")[1][0][0] == "routing" and personal.spans("n 021000021 n")[1] == []
 
 
+def test_ibans_have_the_length_of_their_country():
+    """Every place and length is tried by hand: the country's length, mod 97 as plain division."""
+    good = ["AT61 1904 3002 3457 3201", "DE89370400440532013000", "GB29 NWBK 6016 1331 9268 19", "NO93 8601 1117 947", "FR14 2004 1010 0505 0001 3M02 606"]
+    ends = ["", " PAID today", " paid", ", and", " A", "."]
+    for iban in good:
+        plain = iban.replace(" ", "")
+        assert personal.IBAN_LENGTH[plain[:2]] == len(plain)
+        rest = "".join(str(int(c, 36)) for c in plain[4:] + plain[:4])
+        left = 0
+        for d in rest:
+            left = (left * 10 + int(d)) % 97
+        assert left == 1
+        for end in ends:
+            t = f"IBAN {iban}{end}"
+            assert [t[s:e] for k, s, e in personal.spans(t)[1] if k == "iban"] == [iban]
+        for bad in (iban[:-1] + ("0" if iban[-1] != "0" else "1"), iban + "7", "X" + iban, "ZZ" + iban[2:], iban[:-1]):
+            assert not [x for x in personal.spans(f"IBAN {bad} end")[1] if x[0] == "iban"]
+
+
 @pytest.mark.parametrize("module,query", [(secrets, secrets.op2_secrets), (personal, personal.op10_personal)])
 def test_span_queries(spark, odd_documents, no_documents, module, query):
     docs = {d.doc_id: d.text for d in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
