@@ -1,13 +1,14 @@
 """Secrets: fixed patterns, and a guess-cost search over values that stand in a credential context.
 
 The guess cost of a value is the least, over all ways to cut it into parts, of the product of the parts'
-guesses: a part is a word of a list (by its place in it), a date, a repeat, a run along the keyboard or the
-alphabet, or a brute-force span of characters. Values whose log10 cost reaches ``threshold`` are spans of
+guesses: a part is a word of a list (by its place in it), a date, a repeat of a character or a block, a run along the
+keyboard or the alphabet, or a brute-force span of characters. The list has some common passwords and then the most frequent words of
+all texts of the input, ``LEARNED`` at most. Values whose log10 cost reaches ``threshold`` are spans of
 kind ``guess``, of any length and of any characters. A value in quotes ends with them, another before blanks, quotes
 and ``<>,;``. After a name and blanks alone, without ``:`` or ``=``, a plain word is no value. Values of the base
 patterns keep their base span whatever their cost, and no guess span overlaps one: what a base span leaves of its value is
 a guess span of its own if the whole value's cost or its own reaches ``threshold``. A null text counts as empty and has no spans. Other columns are ignored; repeated rows are
-each judged.
+each judged. Texts are read whole, however long; a worker holds a batch of 1 MB or one longer text.
 """
 
 from __future__ import annotations
@@ -15,9 +16,10 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,54 +38,124 @@ PROSE = re.compile(r"[(\[{*]*([^\W\d_]+(?:[-'’/][^\W\d_]+)*)[.:!?)\]}*…]*")
 ORDER = {"assign": 0, "access": 1, "hex": 2, "guess": 3}
 HINTS = (b"passw", b"secret", b"token", b"api")
 MORE_HINTS = (*HINTS, b"pwd", b"passp", b"passc", b"pass_p", b"pass-p", b"credential", b"auth", b"bearer", b"private", b"client", b"access", b"login", b"pin")
-#: Common words, the most frequent first.
-WORDS = "password pass admin welcome login secret letmein monkey dragon master hello freedom shadow summer winter spring autumn test user root default changeme token key love money computer internet access server public private example sample none null true false the and for with from value string your this that here name data code file".split()
-RANK = {w: i + 1 for i, w in enumerate(WORDS)}
-LONGEST = max(map(len, WORDS))
+#: Common passwords, the most frequent first.
+WORDS = "password pass admin welcome login secret letmein monkey dragon master hello freedom shadow summer winter spring autumn test user root default changeme token key love money computer internet access server public private example sample none null true false".split()
+#: How many words of the input are learned at most, and their letters.
+LEARNED, LETTERS = 20_000, (3, 20)
+#: log10 costs from here on are not told apart.
+CEILING = 18.0
 ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm", "abcdefghijklmnopqrstuvwxyz", "qwertzuiop", "azertyuiop")
 NEXT = {(a, b) for row in ROWS for r in (row, row[::-1]) for a, b in zip(r, r[1:])}
 DATE = re.compile(r"(?:19|20)\d\d(?:[-./]?[01]?\d[-./]?[0-3]?\d)?|[0-3]?\d[-./][01]?\d[-./](?:19|20)?\d\d")
 LEET = str.maketrans("013457@$", "oieastas")
-#: The longest block that counts as said twice or more; part of the guessing model, not a limit on values.
-LONGEST_BLOCK = 64
-
-
-def guess_cost(value: str) -> float:
-    """log10 of the guesses of the cheapest segmentation."""
-    n = len(value)
-    low = value.lower()
-    plain = low.translate(LEET)
-    pool = sum(size for size, has in ((10, re.search("[0-9]", value)), (26, re.search("[a-z]", value)), (26, re.search("[A-Z]", value)), (33, re.search("[^A-Za-z0-9]", value))) if has)
-    char = math.log10(max(pool, 2))
-    best = [0.0] + [math.inf] * n
-    walk = repeat = 0  # start of the run that ends here
-    alike = [0] * (LONGEST_BLOCK + 1)  # for each size, how many characters up to here equal the one that far before
-    dates = {(m.start(), m.end()) for i in range(n) if (m := DATE.match(value, i))}
-    for e in range(1, n + 1):
-        i = e - 1
-        best[e] = best[i] + char  # a brute-force span grows by one character
-        if i and (low[i - 1], low[i]) not in NEXT:
-            walk = i
-        if i and low[i] != low[i - 1]:
-            repeat = i
-        if e - walk >= 3:
-            best[e] = min(best[e], best[walk] + math.log10(40 * (e - walk)))
-        if e - repeat >= 3:
-            best[e] = min(best[e], best[repeat] + math.log10(pool * (e - repeat)))
-        for size in range(2, min(i, LONGEST_BLOCK) + 1):  # a block said twice or more
-            alike[size] = alike[size] + 1 if low[i] == low[i - size] else 0
-            if alike[size] >= size:
-                times = alike[size] // size + 1
-                best[e] = min(best[e], best[e - times * size] + size * char + math.log10(times))
-        for s in range(max(0, e - LONGEST), e - 2):
-            for shape in (low, plain):
-                if (r := RANK.get(shape[s:e])) is not None:
-                    changed = value[s:e] != low[s:e] or shape is plain
-                    best[e] = min(best[e], best[s] + math.log10(2 * r * (4 if changed else 1)))
-        for s in range(max(0, e - 10), e - 3):
-            if (s, e) in dates:
-                best[e] = min(best[e], best[s] + math.log10(365 * 120))
-    return best[n]
+
+
+class Pushed:
+    """Starts of a growing part that costs log10 of its size on top of its start: the cheapest at each end.
+
+    A start that an earlier one beats at some end is beaten at all later ends, as the sizes' ratio only falls, and
+    so it is dropped; what is left stays short.
+    """
+
+    def __init__(self) -> None:
+        self.starts: list[tuple[int, float]] = []
+
+    def least(self, end: int, unit: int) -> float:
+        cheapest, left = math.inf, []
+        for s, cost in self.starts:
+            if (now := cost + math.log10((end - s) // unit)) < cheapest:
+                cheapest = now
+                left.append((s, cost))
+        self.starts = left
+        return cheapest
+
+
+class Guesser:
+    """The guess cost of values under a ranked list of words."""
+
+    def __init__(self, learned: Sequence[str] = ()):
+        self.rank: dict[str, int] = {}
+        for w in (*WORDS, *learned):
+            self.rank.setdefault(w, len(self.rank) + 1)
+        self.longest = max(map(len, self.rank))
+
+    def cost(self, value: str, limit: float = CEILING) -> float:
+        """log10 of the guesses of the cheapest segmentation; ``limit`` if it is that or more.
+
+        Starts that cost the limit already lead to nothing cheaper and are left out, and with them the longer
+        blocks, whose characters alone cost as much. Time grows with the value's length.
+        """
+        low, n = value.lower(), len(value)
+        if len(low) != n:  # a few letters lower to two
+            low = "".join(c.lower() if len(c.lower()) == 1 else c for c in value)
+        plain = low.translate(LEET)
+        pool = sum(size for size, has in ((10, re.search("[0-9]", value)), (26, re.search("[a-z]", value)), (26, re.search("[A-Z]", value)), (33, re.search("[^A-Za-z0-9]", value))) if has)
+        char = math.log10(max(pool, 2))
+        best = [0.0] + [math.inf] * n
+        longest_block = max(1, min(n // 2, int(limit / char)))
+        alike = [0] * (longest_block + 1)  # for each size, how many characters up to here equal the one that far before
+        walks, repeats, blocks = Pushed(), Pushed(), [[Pushed() for _ in range(size)] for size in range(longest_block + 1)]
+        walk = repeat = alive = 0  # where the run that ends here starts; the last start below the limit
+        for e in range(1, n + 1):
+            i, cheapest = e - 1, math.inf
+            if best[i] < limit:
+                cheapest = best[i] + char  # a brute-force span grows by one character
+            if i and (low[i - 1], low[i]) not in NEXT:
+                walk, walks = i, Pushed()
+            if i and low[i] != low[i - 1]:
+                repeat, repeats = i, Pushed()
+            for run, start, guesses in ((walks, walk, 40), (repeats, repeat, pool)):
+                if e - start >= 3:
+                    if best[e - 3] < limit:
+                        run.starts.append((e - 3, best[e - 3]))
+                    if run.starts:
+                        cheapest = min(cheapest, run.least(e, 1) + math.log10(guesses))
+            for size in range(2, min(i, longest_block) + 1):  # a block said twice or more
+                if low[i] != low[i - size]:
+                    if alike[size] >= size:
+                        blocks[size] = [Pushed() for _ in range(size)]
+                    alike[size] = 0
+                    continue
+                alike[size] += 1
+                if alike[size] >= size:
+                    said = blocks[size][e % size]
+                    if best[e - 2 * size] < limit:
+                        said.starts.append((e - 2 * size, best[e - 2 * size]))
+                    if said.starts:
+                        cheapest = min(cheapest, said.least(e, size) + size * char)
+            for s in range(max(0, e - self.longest), e - 2):
+                if best[s] < limit:
+                    for shape in (low, plain):
+                        if (r := self.rank.get(shape[s:e])) is not None:
+                            changed = value[s:e] != low[s:e] or (shape is plain and plain[s:e] != low[s:e])
+                            cheapest = min(cheapest, best[s] + math.log10(2 * r * (4 if changed else 1)))
+            for s in range(max(0, e - 10), e - 3):
+                if best[s] < limit and DATE.fullmatch(value, s, e):
+                    cheapest = min(cheapest, best[s] + math.log10(365 * 120))
+            best[e] = cheapest
+            if cheapest < limit:
+                alive = e
+            elif e - alive > max(self.longest, 10) and walk > alive and repeat > alive and all(a + size < e - alive for size, a in enumerate(alike)):
+                return limit  # no part that ends from here on can start below the limit
+        return min(best[n], limit)
+
+
+COMMON = Guesser()
+
+
+def learned_words(df: DataFrame, text: str = "text", most: int = LEARNED) -> list[str]:
+    """The most frequent words of all rows, ties in their order: runs of the letters a-z between blanks and marks."""
+    lo, hi = LETTERS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in bounded(batches, text, 4 << 20):
+            words = pc.split_pattern_regex(pc.ascii_lower(pc.fill_null(b.column(text), "")), "[^a-z]+").flatten()
+            size = pc.binary_length(words)
+            counts = pc.value_counts(words.filter(pc.and_(pc.greater_equal(size, lo), pc.less_equal(size, hi))))
+            yield pa.RecordBatch.from_arrays([counts.field(0), counts.field(1)], ["word", "n"])
+
+    counted = df.select(text).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return [r.word for r in counted.orderBy(F.col("n").desc(), "word").limit(most).collect()]
 
 
 def base_spans(text: str, low: bytes) -> list[tuple[str, int, int]]:
@@ -113,7 +185,7 @@ def contexts(text: str, low: bytes) -> Iterator[tuple[int, int]]:
             yield m.span(1)
 
 
-def guess_spans(text: str, low: bytes, base: list[tuple[str, int, int]], threshold: float) -> list[tuple[str, int, int]]:
+def guess_spans(text: str, low: bytes, base: list[tuple[str, int, int]], threshold: float, guesser: Guesser) -> list[tuple[str, int, int]]:
     """Values that no base span covers, and what base spans leave of a value, by cost alone."""
     out: list[tuple[str, int, int]] = []
     taken: bytearray | None = None
@@ -126,34 +198,34 @@ def guess_spans(text: str, low: bytes, base: list[tuple[str, int, int]], thresho
         if not rests:
             continue
         value = text[s:e]
-        whole = guess_cost(value) >= threshold
+        whole = guesser.cost(value, threshold) >= threshold
         for a, b in rests:
             rest = value[a:b]
             if b - a < e - s and not rest.strip(")]}") and not re.search(r"[(\[{]", value):
                 continue  # closes a bracket around the assignment
-            if whole or guess_cost(rest) >= threshold:
+            if whole or guesser.cost(rest, threshold) >= threshold:
                 out.append(("guess", s + a, s + b))
                 taken[s + a : s + b] = b"\1" * (b - a)
     return out
 
 
-def spans(text: str | None, threshold: float = 9.0) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
+def spans(text: str | None, threshold: float = 9.0, guesser: Guesser = COMMON) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """Base spans, and all spans, by start and kind."""
     if not text:
         return [], []
     low = text.encode().lower()
     base = base_spans(text, low)
     by = lambda x: (x[1], ORDER[x[0]])
-    return sorted(base, key=by), sorted(base + guess_spans(text, low, base, threshold), key=by)
+    return sorted(base, key=by), sorted(base + guess_spans(text, low, base, threshold, guesser), key=by)
 
 
-def costs(text: str, found: list[tuple[str, int, int]]) -> list[float | None]:
-    """log10 guess cost of the value in each assign and guess span."""
+def costs(text: str, found: list[tuple[str, int, int]], guesser: Guesser) -> list[float | None]:
+    """log10 guess cost of the value in each assign and guess span, up to the ceiling."""
     out: list[float | None] = []
     for k, s, e in found:
         m = ASSIGN.match(text, s, e) if k == "assign" else None
         value = m[2] if m else text[s:e] if k == "guess" else None
-        out.append(round(guess_cost(value), 6) if value else None)
+        out.append(round(guesser.cost(value), 6) if value else None)
     return out
 
 
@@ -163,16 +235,18 @@ def listed(found: list[tuple[str, int, int]]) -> str:
 
 def digests(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 9.0) -> DataFrame:
     """(key, n_assign, n_access, n_hex, base_sha256, spans, guess_log10) of every row."""
+    shared = df.sparkSession.sparkContext.broadcast(Guesser(learned_words(df, text)))  # LEARNED words at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        guesser = shared.value
         for b in bounded(batches, text):
             counts, digest, lists, cost = [], [], [], []
             for t in b.column(text).to_pylist():
-                base, both = spans(t, threshold)
+                base, both = spans(t, threshold, guesser)
                 counts.append([sum(k == kind for k, _, _ in base) for kind in ("assign", "access", "hex")])
                 digest.append(hashlib.sha256(listed(base).encode()).hexdigest())
                 lists.append(listed(both))
-                cost.append(costs(t, both) if both else [])
+                cost.append(costs(t, both, guesser) if both else [])
             yield pa.RecordBatch.from_arrays([b.column(key), *(pa.array(x, pa.int64()) for x in zip(*counts)), pa.array(digest, pa.string()), pa.array(lists, pa.string()), pa.array(cost, pa.list_(pa.float64()))], [key, "n_assign", "n_access", "n_hex", "base_sha256", "spans", "guess_log10"])
 
     return df.select(key, text).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, guess_log10 array<double>")
@@ -180,11 +254,12 @@ def digests(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: f
 
 def redact(df: DataFrame, text: str = "text", mark: str = "[secret]", threshold: float = 9.0) -> DataFrame:
     """All columns and rows of ``df``; every span of ``text`` is replaced by ``mark``, nulls stay null."""
+    shared = df.sparkSession.sparkContext.broadcast(Guesser(learned_words(df, text)))  # LEARNED words at most
     names = df.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
 
-    def masked(t: str | None) -> str | None:
-        both = spans(t, threshold)[1]
+    def masked(t: str | None, guesser: Guesser) -> str | None:
+        both = spans(t, threshold, guesser)[1]
         if not both:
             return t
         out, at = [], 0
@@ -196,7 +271,7 @@ def redact(df: DataFrame, text: str = "text", mark: str = "[secret]", threshold:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in bounded(batches, text):
-            own = pa.array([masked(t) for t in b.column(text).to_pylist()], pa.string())
+            own = pa.array([masked(t, shared.value) for t in b.column(text).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([own if n == text else b.column(n) for n in names], names)
 
     return df.mapInArrow(run, schema)

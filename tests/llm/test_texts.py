@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -96,28 +97,76 @@ def test_base_spans_against_plain_patterns(a, b):
 
 
 def test_guess_costs():
-    cost = secrets.guess_cost
+    cost = secrets.COMMON.cost
     assert cost("password") < cost("letmein1999") < cost("b7db7aa4a5fcc78305")
     assert cost("qwertyuiop") < 4 and cost("aaaaaaaaaaaa") < 4 and cost("abcabcabcabc") < 7
     assert cost("20240131") < 5 < cost("83a0f1d7")
 
 
-def test_guess_cost_of_repeated_blocks_and_long_values():
-    """The count of equal characters tells the same repeats as comparing blocks, and no length is too long."""
+def plain_cost(value, words):
+    """The least cost over all segmentations, each part by its definition."""
+    low, n = value.lower(), len(value)
+    plain = low.translate(secrets.LEET)
+    pool = 10 * bool(re.search("[0-9]", value)) + 26 * bool(re.search("[a-z]", value)) + 26 * bool(re.search("[A-Z]", value)) + 33 * bool(re.search("[^A-Za-z0-9]", value))
+    char, log = math.log10(pool), math.log10
+
+    def part(s, e):
+        size, own = e - s, low[s:e]
+        yield size * char
+        if size >= 3 and len(set(own)) == 1:
+            yield log(pool * size)
+        if size >= 3 and all(p in secrets.NEXT for p in zip(own, own[1:])):
+            yield log(40 * size)
+        for block in range(2, size // 2 + 1):
+            if size % block == 0 and own == own[:block] * (size // block):
+                yield block * char + log(size // block)
+        if own in words:
+            yield log(2 * words[own] * (1 if own == value[s:e] else 4))
+        if plain[s:e] in words and plain[s:e] != own:
+            yield log(2 * words[plain[s:e]] * 4)
+        if secrets.DATE.fullmatch(value, s, e):
+            yield log(365 * 120)
+
+    best = [0.0]
+    for e in range(1, n + 1):
+        best.append(min(best[s] + c for s in range(e) for c in part(s, e)))
+    return best[n]
+
+
+GUESS_BITS = ["a", "s", "d", "f", "q", "1", "2", "7", "x", "X", "pass", "Secret", "p4ss", "2019", "-", "é", "ab", "xk", "trewq"]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(GUESS_BITS), min_size=1, max_size=9))
+def test_guess_cost_is_the_least_over_all_segmentations(bits):
+    guesser = secrets.Guesser(["xks", "dfq"])
+    value = "".join(bits)
+    want = plain_cost(value, guesser.rank)
+    assert guesser.cost(value, 1e9) == pytest.approx(want)
+    for limit in (4.0, 9.0, secrets.CEILING):
+        assert guesser.cost(value, limit) == pytest.approx(min(want, limit))
+
+
+def test_guess_costs_named_in_review_and_of_long_values():
+    cost = secrets.COMMON.cost
+    assert cost("secretrewq") < 3.4 and cost("secrettttt") < 3.4 and cost("passwordfghjkl19") < 9
     rng = random.Random(5)
-    for _ in range(200):
-        block = "".join(rng.choice("xk7") for _ in range(rng.randint(2, 6)))
-        value = "".join(rng.choice("xk7") for _ in range(rng.randint(0, 3))) + block * rng.randint(2, 4)
-        char = np.log10(36 if re.search("[0-9]", value) and re.search("[a-z]", value) else 26 if re.search("[a-z]", value) else 10)
-        times = next(n for n in range(len(value) // len(block), 0, -1) if value.endswith(block * n))
-        lead = len(value) - len(block) * times
-        assert secrets.guess_cost(value) <= lead * char + len(block) * char + np.log10(times) + 1e-9
     odd = "".join(rng.choice("qXz7Rm2KpV") for _ in range(5000))
-    assert secrets.guess_cost("a" * 5000) < 6 and secrets.guess_cost("a" * 200 + odd) > 1000
+    assert cost("a" * 5000) < 6 and cost("a" * 200 + odd) == secrets.CEILING and cost(odd[:300] * 40) == secrets.CEILING
     both = secrets.spans(f"pwd: {'z' * 200}{odd} and https://{'u' * 100}:{odd}@h")[1]
     assert [(k, e - s) for k, s, e in both] == [("guess", 5200), ("guess", 5000)]
 
 
+def test_words_are_learned_from_all_texts(spark, no_documents):
+    rows = [("correct horse, Battery-staple correct",), ("horse correct c4orrect ab",), (None,), ("",)]
+    df = spark.createDataFrame(rows, "text string").repartition(3)
+    assert secrets.learned_words(df) == ["correct", "horse", "battery", "orrect", "staple"] and secrets.learned_words(df, most=1) == ["correct"]
+    assert secrets.learned_words(no_documents) == []
+    known = secrets.Guesser(secrets.learned_words(df))
+    assert known.cost("correcthorsebatterystaple") < 9 < secrets.COMMON.cost("correcthorsebatterystaple")
+    assert [k for k, _, _ in secrets.spans("pwd: correcthorsebatterystaplexq")[1]] == ["guess"]
+
+
 def test_added_secrets_and_masking(spark):
     t = "pwd: Xk29vQz81mPw and pwd: password1 at https://u:9fK2mmQ77z@h password=abc123def"
     base, both = secrets.spans(t)
