@@ -8,10 +8,9 @@ at the similarity of 0.8, five rows and 40 bands miss a pair with a chance of ab
 
 Copies first fall into classes of equal sets. In a band's bucket the member with the most bucket-mates is
 the centre; every other member is compared with it, on the full sets. Components of these links leave some
-buckets with members in several components: there, and only there, pairs across components that may be similar
-by what each shares with the centre are compared as well, unless 200 one-bit samples of their sketches put them
-far below the threshold. A bucket never becomes all its pairs, and no pair of candidates that could join two
-components is left out.
+buckets with members in several components: there, and only there, members of different components meet again by
+the rarest shingles that they share, as many as an exact bound asks for, and what meets is compared on the full sets. A bucket
+never becomes all its pairs, and no pair of candidates that could join two components is left out.
 
 Null and empty texts, and texts without words, have empty sets and are linked with nothing. A text with
 fewer words than a shingle is one shingle. A null id takes no part in links: its component is null and it is
@@ -37,8 +36,6 @@ from assayer.llm.places import kept
 WIDTH = 5
 BANDS, ROWS = 40, 5
 PERCENT = 80
-#: One-bit samples that must agree, of 200: a pair at 0.8 agrees in 180, give or take 4.2 each.
-AGREE = 152
 U = np.uint64
 SPACES = np.zeros(256, bool)
 SPACES[[0x20, *range(0x09, 0x0E)]] = True
@@ -124,16 +121,9 @@ def band_keys(places: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key.view(np.int64)
 
 
-def one_bits(places: np.ndarray) -> np.ndarray:
-    """A bit of each of the first 200 places, 50 to a number."""
-    bits = (mixed(places + U(7)) & U(1))[:200]
-    bits = np.r_[bits, np.zeros(200 - len(bits), U)].reshape(4, 50)
-    return (bits << np.arange(50, dtype=U)).sum(axis=1, dtype=U).view(np.int64)
-
-
 def features(df: DataFrame, key: str, text: str, width: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, n_shingles, set1, set2, bands, bits): all that later steps need but the sets themselves."""
-    out = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set1", pa.int64()), ("set2", pa.int64()), ("bands", pa.list_(pa.int64())), ("bits", pa.list_(pa.int64()))])
+    """(doc_id, n_shingles, set1, set2, bands): all that later steps need but the sets themselves."""
+    out = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set1", pa.int64()), ("set2", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in bounded(batches, text):
@@ -141,10 +131,10 @@ def features(df: DataFrame, key: str, text: str, width: int, bands: int = BANDS,
             for k, own in zip(b.column(key).to_pylist(), shingles(b.column(text), width)):
                 digest = np.frombuffer(hashlib.blake2b(own.tobytes(), digest_size=16).digest(), np.int64)
                 places = sketch(own, bands * rows) if len(own) else None
-                made.append((k, len(own), digest[0], digest[1], None if places is None else band_keys(places, bands, rows), None if places is None else one_bits(places)))
+                made.append((k, len(own), digest[0], digest[1], None if places is None else band_keys(places, bands, rows)))
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*made), out)], schema=out)
 
-    return df.select(F.col(key).cast("long").alias(key), text).mapInArrow(run, "doc_id long, n_shingles long, set1 long, set2 long, bands array<long>, bits array<long>")
+    return df.select(F.col(key).cast("long").alias(key), text).mapInArrow(run, "doc_id long, n_shingles long, set1 long, set2 long, bands array<long>")
 
 
 def full_sets(df: DataFrame, key: str, text: str, width: int) -> DataFrame:
@@ -172,42 +162,24 @@ def close_in_size(x: str, y: str, percent: int):
     return (F.col(x) * 100 >= F.col(y) * percent) & (F.col(y) * 100 >= F.col(x) * percent)
 
 
-def measured(around: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``common`` with the centre, ``own`` members that the centre lacks, and whether the two are linked."""
-    centre = sets.select(F.col("id").alias("centre"), F.col("n").alias("n_centre"), F.col("members").alias("members_centre"))
-    both = around.join(centre, "centre").join(sets.select("id", "members"), "id").withColumn("own", F.array_except("members", "members_centre"))
-    both = both.withColumn("common", F.col("n") - F.size("own"))
-    linked = F.col("common") * 100 >= (F.col("n") + F.col("n_centre") - F.col("common")) * percent
-    return both.select("centre", "id", "n", "component", "bits", "common", "own", linked.alias("linked"))
-
-
-def across(around: DataFrame, percent: int) -> DataFrame:
-    """(a, b): pairs of different components around a centre that may be similar enough, by exact bounds.
+def across(around: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs of different components around a centre that may be similar enough, by an exact prefix filter.
 
-    Such a pair needs a common part of ``least`` members. At most the smaller of their parts in common with the
-    centre lies inside it; where that is less than ``least``, they must share members that the centre lacks, which
-    are rare: pairs meet by these, and only in the number needed. Where it isn't, one of the two is no link
-    of the centre, so the other is smaller than the centre: pairs meet by steps of size. Two links of the centre
-    are of one component.
+    Two similar sets share at least ``percent`` of either, and a shared member occurs in both components. So around a centre, members of
+    one component alone fall away before anything meets, sets with too few others fall away whole, and of the others
+    only so many of the rarest are kept that, of any two sets that share enough, these few must meet.
     """
-    names = ("id", "n", "component", "bits", "common")
-    once = F.col("linked") | (F.col("id") < F.col("id_x"))  # two that are no links would meet either way round
-    x = around.filter("not linked").select("centre", *(F.col(c).alias(f"{c}_x") for c in names), F.col("own").alias("own_x"))
-    y = around.select("centre", *names, "own", "linked")
-    least = F.ceil((F.col("n") + F.col("n_x")) * percent / (100 + percent) - 1e-9)
-    inside = F.least("common", "common_x")
-    agree = sum((F.bit_count(F.col("bits")[i].bitwiseXOR(F.col("bits_x")[i])) for i in range(4)), F.lit(0)) <= 200 - AGREE
-    open_pair = once & (F.col("component") != F.col("component_x")) & close_in_size("n", "n_x", percent) & agree
-    shared = x.withColumn("shingle", F.explode("own_x")).drop("own_x").join(y.withColumn("shingle", F.explode("own")).drop("own"), ["centre", "shingle"])
-    outside = F.least(F.col("n") - F.col("common"), F.col("n_x") - F.col("common_x"))
-    shared = shared.filter(open_pair & (inside < least) & (inside + outside >= least))
-    shared = shared.groupBy("centre", F.least("id", "id_x").alias("a"), F.greatest("id", "id_x").alias("b")).agg(F.count("*").alias("met"), F.max(least - inside).alias("needed")).filter("met >= needed").select("a", "b")
-    step = lambda c: F.floor(F.log(c.cast("double")) / F.lit(np.log(1.02)))
-    most = F.floor((F.col("common_x") * (100 + percent) + percent) / F.lit(percent)) - F.col("n_x")
-    low = F.ceil(F.col("n_x") * percent / 100)
-    sized = x.drop("own_x").filter(most >= low).withColumn("step", F.explode(F.sequence(step(low), step(F.least(most, F.floor(F.col("n_x") * 100 / percent) + 1)))))
-    direct = sized.join(y.drop("own").withColumn("step", step(F.col("n"))), ["centre", "step"]).filter(open_pair & (inside >= least))
-    return shared.union(direct.select(F.least("id", "id_x").alias("a"), F.greatest("id", "id_x").alias("b"))).distinct()
+    rows = around.join(sets.select("id", "members"), "id").select("centre", "id", "n", "component", F.explode("members").alias("member"))
+    holders = W.partitionBy("centre", "member")
+    shared = rows.select("*", F.min("component").over(holders).alias("c1"), F.max("component").over(holders).alias("c2"), F.count("*").over(holders).alias("times")).filter("c1 < c2").drop("c1", "c2")
+    own = W.partitionBy("centre", "id")
+    needed = F.ceil(F.col("n") * percent / 100)
+    ranked = shared.withColumn("shared", F.count("*").over(own)).filter(F.col("shared") >= needed)
+    ranked = ranked.withColumn("nth", F.row_number().over(own.orderBy("times", "member"))).filter(F.col("nth") <= F.col("shared") - needed + 1)
+    x = ranked.select("centre", "member", "id", "n", "component")
+    y = x.select("centre", "member", *(F.col(c).alias(f"{c}_x") for c in ("id", "n", "component")))
+    open_pair = (F.col("component") < F.col("component_x")) & close_in_size("n", "n_x", percent)
+    return x.join(y, ["centre", "member"]).filter(open_pair).select(F.least("id", "id_x").alias("a"), F.greatest("id", "id_x").alias("b")).distinct()
 
 
 def link(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -216,7 +188,7 @@ def link(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = WI
     usable = seen.filter("n_shingles > 0 and doc_id is not null")
     classes = kept(usable.groupBy("set1", "set2").agg(F.min("doc_id").alias("id")), "classes")
     first = usable.join(classes.select(F.col("id").alias("doc_id"), "set1", "set2"), ["doc_id", "set1", "set2"], "left_semi")
-    banded = first.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "bits", F.explode("bands").alias("band"))
+    banded = first.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), F.explode("bands").alias("band"))
     buckets = banded.groupBy("band").agg(F.count("*").alias("mates")).filter("mates > 1")
     members = kept(banded.join(buckets, "band"), "members")
     crowd = members.groupBy("id").agg(F.sum("mates").alias("crowd"))
@@ -228,13 +200,13 @@ def link(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = WI
     sets = kept(full_sets(df.select(F.col(key).cast("long").alias(key), text).join(wanted.withColumnRenamed("id", key), key, "left_semi"), key, text, width), "sets")
     links = kept(verified(pairs, sets, percent), "links")
     found = kept(components(links), "components")
-    # Buckets that still hold several components: their members against their centre, once for each centre.
+    # Buckets that still hold several components: their members meet again, once for each centre.
     named = members.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     several = named.groupBy("band").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).filter("c1 < c2").select("band")
     around = named.join(several, "band").join(centres.select("band", F.col("b").alias("centre")), "band").filter("id <> centre")
-    around = kept(measured(around.select("centre", "id", "n", "component", "bits").distinct(), sets, percent), "around")
+    around = kept(around.select("centre", "id", "n", "component").distinct(), "around")
     tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = kept(verified(across(around, percent).join(tried, ["a", "b"], "left_anti"), sets, percent), "links")
+    more = kept(verified(across(around, sets, percent).join(tried, ["a", "b"], "left_anti"), sets, percent), "links")
     if not more.isEmpty():
         upper = found.select(F.col("node").alias("a"), F.col("component").alias("b")).filter("a <> b")
         found = kept(components(upper.union(more)), "components")

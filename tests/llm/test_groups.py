@@ -229,3 +229,32 @@ def test_pipeline_stages(spark, odd_documents, no_documents):
         rows_ = rows_.select("doc_id", "text", "lang", "source", "n_chars")
         for name, stage in corpus_pipeline.STAGES:
             rows_ = places.kept(stage(spark, rows_, ""), name)
+
+
+def test_members_of_one_component_never_meet(spark):
+    """Two groups of thousands around one centre: what they don't share is dropped before any rows meet."""
+    size = 2000
+    sets = [(0, list(range(100)))] + [(g * size + i, [*range(60), *range(1000 * g, 1000 * g + 39), 10_000 + g * size + i]) for g in (1, 2) for i in range(size)]
+    sets = spark.createDataFrame([(i, len(m), m) for i, m in sets], "id long, n long, members array<long>")
+    around = sets.filter("id > 0").select(F.lit(0).cast("long").alias("centre"), "id", "n", F.floor(F.col("id") / size).alias("component"))
+    assert neardup.across(around, sets, 80).count() == 0  # 60 shared of 140
+    close = spark.createDataFrame([(1, list(range(100)), 1), (2, [*range(90), *range(200, 210)], 2), (3, [*range(50), *range(300, 350)], 3)], "id long, members array<long>, component long").withColumn("n", F.size("members").cast("long"))
+    found = neardup.across(close.select(F.lit(0).cast("long").alias("centre"), "id", "n", "component"), close, 80).collect()
+    assert [(r.a, r.b) for r in found] == [(1, 2)]
+
+
+def test_recall_of_all_true_pairs(spark):
+    """Large clusters of edited copies: every pair at 0.8 or more ends in one component."""
+    rng = random.Random(11)
+    texts, n = {}, 0
+    for _ in range(3):
+        source = [f"w{rng.randint(0, 900)}" for _ in range(120)]
+        for _ in range(90):
+            texts[n] = " ".join(edited(rng, source, rng.choice([0.0, 0.01, 0.02, 0.03, 0.05])))
+            n += 1
+    got = {r.doc_id: r.component_id for r in neardup.link(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    sets = {i: shingle_set(t, 5) for i, t in texts.items()}
+    pairs = [(i, j) for i in texts for j in range(i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    caught = sum(got[i] == got[j] for i, j in pairs) / len(pairs)
+    print(f"recall of {len(pairs)} pairs: {caught:.4f}")
+    assert caught == 1.0 and {i: c for i, (_, c) in brute(texts, 5).items()} == got
