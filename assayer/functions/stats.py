@@ -48,7 +48,9 @@ def semantic_confidence(verdict: Column, ocr: Column, unverifiable: Column, pena
     return 0.45 * F.avg(verdict) + 0.30 * F.avg(ocr) + 0.15 * (1 - F.avg(unverifiable.cast("int"))) + 0.10 * (1 - F.max(penalty))
 
 
-def cosine(a: Column, b: Column) -> Column:
-    dot = F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    size = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    return dot / F.nullif(size(a) * size(b), F.lit(0.0))
+def dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+
+
+def size(v: Column) -> Column:
+    return F.sqrt(dot(v, v))

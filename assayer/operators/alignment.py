@@ -29,16 +29,23 @@ def candidates(sentences: DataFrame, points: DataFrame, k: int = TOP, floor: flo
     sentences (question, sentence, vector) meet points (question, point, vector) by question; a question has as
     many points as its rubric. Ties go to the smaller sentence.
     """
-    both = sentences.withColumnRenamed("vector", "v").join(points.withColumnRenamed("vector", "p"), "question")
-    scored = both.select("question", "point", "sentence", F.round(stats.cosine(F.col("v"), F.col("p")), 6).alias("cosine")).filter(F.col("cosine") >= floor)
+    # Lengths are taken once a row, not once a pair.
+    x = sentences.select("question", "sentence", F.col("vector").alias("v"), stats.size(F.col("vector")).alias("v_size"))
+    y = points.select("question", "point", F.col("vector").alias("p"), stats.size(F.col("vector")).alias("p_size"))
+    cosine = stats.dot(F.col("v"), F.col("p")) / F.nullif(F.col("v_size") * F.col("p_size"), F.lit(0.0))
+    scored = x.join(y, "question").select("question", "point", "sentence", cosine.alias("cosine")).filter(F.col("cosine") >= floor)
     by = W.partitionBy("question", "point").orderBy(F.col("cosine").desc(), "sentence")
     return scored.withColumn("place", F.row_number().over(by)).filter(F.col("place") <= k)
 
 
 def neighbours(sentences: DataFrame) -> DataFrame:
-    """Pairs of consecutive sentences of an answer, as further evidence: (answer, nth, pair)."""
+    """(question, answer, first, second, vector): consecutive sentences of an answer, the mean of their vectors.
+
+    sentences (question, answer, nth, sentence, vector); with ``candidates`` on these, a pair is evidence like a sentence.
+    """
     by = W.partitionBy("answer").orderBy("nth")
-    return sentences.withColumn("next", F.lead("sentence").over(by)).filter("next is not null").select("answer", "nth", F.concat_ws(" ", "sentence", "next").alias("pair"))
+    both = sentences.withColumns({"second": F.lead("sentence").over(by), "w": F.lead("vector").over(by)}).filter("second is not null")
+    return both.select("question", "answer", F.col("sentence").alias("first"), "second", F.zip_with("vector", "w", lambda x, y: (x.cast("double") + y.cast("double")) / 2).alias("vector"))
 
 
 def solve(cost: np.ndarray) -> list[int]:
@@ -73,8 +80,13 @@ def solve(cost: np.ndarray) -> list[int]:
 def assign(scores: DataFrame) -> DataFrame:
     """(grp, point, sentence, score): one sentence for a point and one point for a sentence, the greatest total.
 
-    scores (grp, point, sentence, score); a group is an answer's points and sentences, some dozens of each.
+    scores (grp, point, sentence, score, and perhaps shared): a point whose ``shared`` is true takes its best sentence whatever
+    others take, and leaves it to them. A group is an answer's points and sentences, some dozens of each.
     """
+    if "shared" in scores.columns:
+        alone = scores.filter("shared and score > 0").withColumn("place", F.row_number().over(W.partitionBy("grp", "point").orderBy(F.col("score").desc(), "sentence")))
+        rest = assign(scores.filter(~F.coalesce("shared", F.lit(False))).select("grp", "point", "sentence", "score"))
+        return alone.filter("place = 1").select("grp", "point", "sentence", "score").unionByName(rest)
 
     def best(pdf: pd.DataFrame) -> pd.DataFrame:
         table = pdf.pivot_table(index="point", columns="sentence", values="score", aggfunc="max", fill_value=0.0).sort_index().sort_index(axis=1)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -11,9 +11,24 @@ from assayer.operators.folds import ordered_fold
 #: Fixed values in millimetres: usable page heights, box limits, gap, title, growth and lines.
 FIRST_PAGE, OTHER_PAGE, LOWEST, HIGHEST, GAP, TITLE = 187.0, 213.0, 25.0, 181.0, 6.0, 8.0
 LINES_A_MARK, LINE, GROWTH = 1.75, 8.0, 1.5
+PAGE_WIDTH, PAGE_HEIGHT, MARKER, MARKER_MARGIN, QR = 210.0, 297.0, 12.0, 8.0, 26.0
+CONTENT_MARGIN, IDENTITY_WIDTH, IDENTITY_HEIGHT = 25.0, 78.0, 20.0
 PAYLOAD = r"^MA1:([0-9a-f]{32}):([0-9a-f]{32}):([0-9]+):([0-9]+)$"
 
 
+def fiducials(spark: SparkSession) -> DataFrame:
+    """(id, x, y, centre_x, centre_y) in mm from the bottom left, from the top left marker clockwise."""
+    near, right, top = MARKER_MARGIN, PAGE_WIDTH - MARKER_MARGIN - MARKER, PAGE_HEIGHT - MARKER_MARGIN - MARKER
+    corners = spark.createDataFrame([(0, near, top), (1, right, top), (2, right, near), (3, near, near)], "id int, x double, y double")
+    return corners.withColumns({"centre_x": F.col("x") + MARKER / 2, "centre_y": F.col("y") + MARKER / 2})
+
+
+def identity_region(header_bottom: Column | None = None) -> Column:
+    """(x, y, w, h) in mm from the bottom left, below the header."""
+    bottom = F.lit(PAGE_HEIGHT - CONTENT_MARGIN - QR - 8.0) if header_bottom is None else header_bottom
+    return F.struct(F.lit(CONTENT_MARGIN).alias("x"), (bottom - IDENTITY_HEIGHT).alias("y"), F.lit(IDENTITY_WIDTH).alias("w"), F.lit(IDENTITY_HEIGHT).alias("h"))
+
+
 def encode_payload(booklet: Column, exam: Column, page: Column, total: Column) -> Column:
     return F.concat_ws(":", F.lit("MA1"), F.replace(booklet, F.lit("-"), F.lit("")), F.replace(exam, F.lit("-"), F.lit("")), page.cast("string"), total.cast("string"))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,6 +42,11 @@ def dpi(pixels: Column, millimetres: Column) -> Column:
     return F.when(millimetres > 0, pixels / (millimetres / 25.4))
 
 
+def least_pixels(at_dpi: float = DPI_WARN, millimetres: float = PAGE_MM[0]) -> int:
+    """The shortest image edge that clears the gate, rounded up."""
+    return math.ceil(at_dpi * millimetres / 25.4)
+
+
 def skew(dx: Column, dy: Column) -> Column:
     return F.degrees(F.atan2(dy, dx))
 

@@ -15,6 +15,14 @@ def truth(adjudicated: Column, a: Column, b: Column) -> Column:
     return F.coalesce(adjudicated, (a + b) / 2)
 
 
+def line_key(booklet: Column, page: Column, line: Column) -> Column:
+    return F.concat_ws(":", booklet, page, line)
+
+
+def mark_key(booklet: Column, question: Column) -> Column:
+    return F.concat_ws(":", booklet, question)
+
+
 def legible(df: DataFrame) -> DataFrame:
     return df.filter(~F.col("illegible"))
 
@@ -22,7 +30,7 @@ def legible(df: DataFrame) -> DataFrame:
 def pooled(df: DataFrame, by: list[str], errors: str, length: str) -> DataFrame:
     """Pooled error rate of each group: summed errors over summed lengths, never a mean of rates."""
     out = df.groupBy(*by).agg(F.count("*").alias("n"), F.sum(errors).alias("errors"), F.sum(length).alias("length"))
-    return out.withColumn("rate", F.round(text.rate(F.col("errors"), F.col("length")), 6)).withColumn("accuracy", F.round(text.accuracy(F.col("rate")), 6))
+    return out.withColumn("rate", text.rate(F.col("errors"), F.col("length"))).withColumn("accuracy", text.accuracy(F.col("rate")))
 
 
 def score_transcriptions(lines: DataFrame, predictions: DataFrame, keys: list[str], unicode: bool = True) -> DataFrame:
@@ -45,7 +53,7 @@ def score_transcriptions(lines: DataFrame, predictions: DataFrame, keys: list[st
         pick(F.size("r")).alias("words"),
     )
     cer, wer = text.rate(F.col("char_errors"), F.col("chars")), text.rate(F.col("word_errors"), F.col("words"))
-    return out.select("*", F.round(cer, 6).alias("cer"), F.round(wer, 6).alias("wer")).withColumns({"tier1": gate(F.col("cer") <= CER_TIER1), "tier2": gate(F.col("cer") <= CER_TIER2)})
+    return out.select("*", cer.alias("cer"), wer.alias("wer")).withColumns({"tier1": gate(F.col("cer") <= CER_TIER1), "tier2": gate(F.col("cer") <= CER_TIER2)})
 
 
 def gate(passes: Column) -> Column:

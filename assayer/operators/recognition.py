@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 
 from assayer.operators.folds import ordered_fold
 
-#: Line sources and flags.
-NEEDS_HUMAN, STRUCK, UNRESOLVED = "NEEDS_HUMAN", "STRUCK_THROUGH", "UNRESOLVED"
+#: Line sources, flags, and answer types that are marked by machine.
+SOURCES = ("TIER1", "AGREED", "ARBITRATED", "HUMAN", "UNRESOLVED")
+FLAGS = ("STRUCK_THROUGH", "TIER2_DISAGREEMENT", "NEEDS_HUMAN_TRANSCRIPTION", "CONTAINS_NUMERALS", "NEAR_RUBRIC_KEYWORD", "HIGH_CONFIDENCE_VARIANCE", "INJECTION_PATTERN")
+AUTO_MARKABLE = ("PROSE", "SHORT")
+STRUCK, NEEDS_HUMAN, UNRESOLVED = FLAGS[0], FLAGS[2], SOURCES[4]
 
 
 def cache_key(image: Column, version: Column, language: Column, lexicon: Column) -> Column:
@@ -77,6 +80,28 @@ def needs_human(flags: Column) -> Column:
     return F.array_contains(flags, NEEDS_HUMAN)
 
 
+def domain_violations(lines: DataFrame) -> DataFrame:
+    """``why`` of lines (source, flags, confidence) with an unknown source or flag, or a confidence beyond 0 to 1."""
+    why = F.array_compact(F.array(F.when(~F.coalesce(F.col("source").isin(*SOURCES), F.lit(False)), "SOURCE"), F.when(F.size(F.array_except("flags", F.array(*map(F.lit, FLAGS)))) > 0, "FLAG"), F.when(~F.coalesce(F.col("confidence").between(0, 1), F.lit(False)), "CONFIDENCE")))
+    return lines.withColumn("why", why).filter(F.size("why") > 0)
+
+
+def auto_markable(answer_type: Column) -> Column:
+    return F.coalesce(answer_type.isin(*AUTO_MARKABLE), F.lit(False))
+
+
+def call_outcomes(attempts: DataFrame, most: int = 3) -> DataFrame:
+    """(call, made, failures, outcome) of attempts (call, attempt from 1, result: OK, ERROR or REFUSED).
+
+    A call ends with its first success or refusal, or after ``most`` attempts; a refusal is not tried again but counts as a failure.
+    What was recorded after the end is not part of the call.
+    """
+    ends = F.min(F.when(F.col("result") != "ERROR", F.col("attempt")))
+    last = attempts.groupBy("call").agg(F.least(F.coalesce(ends, F.lit(most)), F.lit(most)).alias("last"))
+    made = attempts.join(last, "call").filter(F.col("attempt") <= F.col("last"))
+    return made.groupBy("call").agg(F.count("*").alias("made"), F.count_if(F.col("result") != "OK").alias("failures"), F.max_by("result", "attempt").alias("outcome"))
+
+
 def box_valid(box: Column) -> Column:
     return (box.getField("w") > 0) & (box.getField("h") > 0)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
@@ -44,15 +45,20 @@ def split_of(key: Column) -> Column:
     return F.when(place < 60, "train").when(place < 80, "validate").otherwise("test")
 
 
-def best_threshold(df: DataFrame, score: str, outcome: str, false_award: float = 3.0) -> DataFrame:
+def best_threshold(df: DataFrame, score: str, outcome: str, false_award: float = 3.0, ranges: int = 4096) -> DataFrame:
     """(threshold, cost): the score from which to award at least cost, a false award weighing three omissions.
 
-    Equal scores are summed first; the ordered pass is over distinct scores rounded to four places, 10,001 at most.
+    Equal scores are summed first. The running sums have two levels: over ranges of scores from 0 to 1, and within a range.
     """
     good = F.col(outcome).cast("int")
-    rows = df.groupBy(F.round(score, 4).alias("threshold")).agg(F.sum(good).alias("good"), F.sum(1 - good).alias("bad"))
-    below, onward = W.orderBy("threshold").rowsBetween(W.unboundedPreceding, -1), W.orderBy("threshold").rowsBetween(0, W.unboundedFollowing)
-    costs = rows.select("threshold", (F.coalesce(F.sum("good").over(below), F.lit(0)) + false_award * F.sum("bad").over(onward)).alias("cost"))
+    rows = df.groupBy(F.col(score).alias("threshold")).agg(F.sum(good).alias("good"), F.sum(1 - good).alias("bad"))
+    rows = rows.withColumn("range", F.floor(F.col("threshold") * ranges))
+    before = W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)
+    sums = rows.groupBy("range").agg(F.sum("good").alias("g"), F.sum("bad").alias("b"))
+    sums = sums.select("range", F.coalesce(F.sum("g").over(before), F.lit(0)).alias("g"), (F.sum("b").over(W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)) - F.coalesce(F.sum("b").over(before), F.lit(0))).alias("b"))
+    inside = W.partitionBy("range").orderBy("threshold").rowsBetween(W.unboundedPreceding, -1)
+    within = lambda c: F.coalesce(F.sum(c).over(inside), F.lit(0))
+    costs = rows.join(sums, "range").select("threshold", (F.col("g") + within("good") + false_award * (F.col("b") - within("bad"))).alias("cost"))
     return costs.orderBy("cost", "threshold").limit(1)
 
 
@@ -62,6 +68,23 @@ def isotonic(df: DataFrame, score: str, outcome: str, out: str = "calibrated") -
     return IsotonicRegression(featuresCol="__x", labelCol="__y", predictionCol=out).fit(rows).transform(rows).drop("__x", "__y")
 
 
+def platt(df: DataFrame, score: str, outcome: str, out: str = "calibrated") -> DataFrame:
+    """``df`` with scores mapped by a sigmoid fitted on all its rows, for where data is scarce."""
+    rows = VectorAssembler(inputCols=[score], outputCol="__x").transform(df.withColumn("__y", F.col(outcome).cast("double")))
+    model = LogisticRegression(featuresCol="__x", labelCol="__y", standardization=False, tol=1e-10, maxIter=200).fit(rows)
+    return rows.withColumn(out, 1 / (1 + F.exp(-(F.col(score) * float(model.coefficients[0]) + float(model.intercept))))).drop("__x", "__y")
+
+
+def misplaced(similarities: DataFrame) -> DataFrame:
+    """(answer, question, best, own, other): answers that are more similar to another question's prompt than to their own's.
+
+    similarities (answer, question, prompt, similarity), a row for each prompt of the exam; flagged, never moved.
+    """
+    own, other = F.max(F.when(F.col("prompt") == F.col("question"), F.col("similarity"))), F.when(F.col("prompt") != F.col("question"), F.struct("similarity", -F.col("prompt")))
+    found = similarities.groupBy("answer", "question").agg(own.alias("own"), F.max(other).alias("o"))
+    return found.filter(F.col("o.similarity") > F.col("own")).select("answer", "question", (-F.col("o.col2")).alias("best"), "own", F.col("o.similarity").alias("other"))
+
+
 def override_rates(df: DataFrame, by: list[str], overridden: Column, limit: float = 0.15) -> DataFrame:
     rate = F.avg(overridden.cast("int"))
     return df.groupBy(*by).agg(F.count("*").alias("n"), F.round(rate, 6).alias("rate"), (rate > limit).alias("too_many"))
@@ -108,6 +131,21 @@ def identical_answers(df: DataFrame, key: str, column: str) -> DataFrame:
     return df.groupBy(F.md5(plain).alias("digest")).agg(F.count("*").alias("copies"), F.min(key).alias("first")).filter("copies > 1")
 
 
+def where(df: DataFrame, equal: dict | None = None, between: dict | None = None) -> DataFrame:
+    """Rows of a dashboard's filters: equal to a value or one of a list, from a lower to an upper bound; None leaves a side open."""
+    for name, value in (equal or {}).items():
+        df = df.filter(F.col(name).isin(*value) if isinstance(value, (list, tuple, set)) else F.col(name) == value)
+    for name, (low, high) in (between or {}).items():
+        df = df if low is None else df.filter(F.col(name) >= low)
+        df = df if high is None else df.filter(F.col(name) <= high)
+    return df
+
+
+def integrity(parts: dict[str, DataFrame]) -> DataFrame:
+    """(kind, subject) of several detectors' findings, each with a column ``subject``: the queue for the exams officer."""
+    return reduce(DataFrame.unionByName, [df.select(F.lit(kind).alias("kind"), F.col("subject").cast("string").alias("subject")) for kind, df in parts.items()])
+
+
 def best_pages(scans: DataFrame) -> DataFrame:
     """One scan of each page (script, page_no, content, quality): copies by content fall away, then the best quality stays."""
     once = scans.groupBy("script", "page_no", "content").agg(F.max("quality").alias("quality"))

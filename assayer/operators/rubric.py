@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def lint(points: DataFrame, questions: DataFrame, depth: int = 8) -> DataFrame:
+def lint(points: DataFrame, questions: DataFrame) -> DataFrame:
     """(rule, severity, question, code) for points (question, code, statement, marks, exemplars, group_id, group_max, requires) and questions (question, max_marks)."""
     key = lambda df, rule, level, code="code": df.select(F.lit(rule).alias("rule"), F.lit(level).alias("severity"), "question", (F.col(code) if code else F.lit(None)).cast("string").alias("code"))
     sums = points.groupBy("question").agg(F.sum("marks").alias("total"), F.count("*").alias("n"))
@@ -22,7 +22,7 @@ def lint(points: DataFrame, questions: DataFrame, depth: int = 8) -> DataFrame:
         key(points.filter("marks is null or marks <= 0"), "MARKS_NOT_POSITIVE", "BLOCK"),
         key(points.filter("statement is null or trim(statement) = ''"), "NO_STATEMENT", "BLOCK"),
         key(points.filter("requires is not null").join(codes, ["question", "requires"], "left_anti"), "REQUIRES_UNKNOWN", "BLOCK"),
-        key(cycles(points, depth), "REQUIRES_CYCLE", "BLOCK"),
+        key(cycles(points), "REQUIRES_CYCLE", "BLOCK"),
         key(groups.filter("cap is null or cap < 1 or cap > size"), "GROUP_CAP", "BLOCK", "group_id"),
         key(points.filter("exemplars is null or size(exemplars) = 0"), "NO_EXEMPLAR", "WARN"),
         key(points.filter("length(statement) > 300"), "LONG_STATEMENT", "WARN"),
@@ -31,12 +31,13 @@ def lint(points: DataFrame, questions: DataFrame, depth: int = 8) -> DataFrame:
     return reduce(DataFrame.unionByName, found)
 
 
-def cycles(points: DataFrame, depth: int = 8) -> DataFrame:
-    """(question, code) of points that require themselves over at most ``depth`` steps."""
-    step = points.filter("requires is not null").select("question", "code", F.col("requires").alias("reach")).distinct()
-    edge = step.select("question", F.col("code").alias("reach"), F.col("reach").alias("to"))
-    seen = step
-    for _ in range(depth - 1):
-        step = step.join(edge, ["question", "reach"]).select("question", "code", F.col("to").alias("reach"))
-        seen = seen.union(step).distinct()
-    return seen.filter("code = reach").select("question", "code").distinct()
+def cycles(points: DataFrame) -> DataFrame:
+    """(question, code) of points that require themselves over any number of steps.
+
+    A question's distinct requirements, a rubric's number, meet in one row; what a code reaches grows by a step as often as there are requirements.
+    """
+    edges = points.filter("requires is not null and code is not null").groupBy("question").agg(F.collect_set(F.struct("code", F.col("requires").alias("to"))).alias("es"))
+    after = lambda codes: F.transform(F.filter("es", lambda e: F.array_contains(codes, e["code"])), lambda e: e["to"])
+    reach = lambda code: F.aggregate(F.sequence(F.lit(1), F.size("es")), after(F.array(code)), lambda seen, _: F.array_union(seen, after(seen)))
+    found = F.array_distinct(F.filter(F.transform("es", lambda e: e["code"]), lambda c: F.array_contains(reach(c), c)))
+    return edges.select("question", F.explode(found).alias("code"))

@@ -20,7 +20,7 @@ def policies(defaults: DataFrame, overrides: DataFrame, key: str = "answer_type"
     """Policy per key: an override where it is set, else the default; the floor never below the platform's."""
     names = [c for c in defaults.columns if c != key]
     other = overrides.select(key, *(F.col(c).alias(f"o_{c}") for c in names))
-    out = defaults.join(F.broadcast(other), key, "left").select(key, *(F.coalesce(f"o_{c}", c).alias(c) for c in names))
+    out = defaults.join(other, key, "left").select(key, *(F.coalesce(f"o_{c}", c).alias(c) for c in names))
     return out.withColumn("floor", F.greatest("floor", F.lit(FLOOR))) if "floor" in names else out
 
 
@@ -43,14 +43,25 @@ def awards(verdicts: DataFrame, floor: float = FLOOR, partial_share: float = 0.5
     return out.withColumn("marks", marks.cast("double"))
 
 
-def dependencies(points: DataFrame, depth: int = 4) -> DataFrame:
-    """Points whose required point has no marks lose theirs; chains are followed ``depth`` deep (the rubric's depth)."""
-    for _ in range(depth):
-        needed = points.select("script", "question", F.col("code").alias("requires"), F.col("marks").alias("__got"))
-        joined = points.join(needed, ["script", "question", "requires"], "left")
-        lost = F.col("requires").isNotNull() & (F.coalesce("__got", F.lit(0.0)) <= 0) & (F.col("marks") > 0)
-        points = joined.withColumn("rule", F.when(lost, "R-DEPENDENCY").otherwise(F.col("rule"))).withColumn("marks", F.when(lost, 0.0).otherwise(F.col("marks"))).drop("__got")
-    return points
+def dependencies(points: DataFrame) -> DataFrame:
+    """Points whose required point, or any that this one requires in turn, has no marks lose theirs.
+
+    A question's points, a rubric's number, meet in one row, and each follows its chain to the end; a code used twice counts
+    by its greatest marks. A required code that no point has counts as no marks; a cycle ends where it began.
+    """
+    rows = points.groupBy("script", "question").agg(F.collect_list(F.struct(*points.columns)).alias("ps"))
+    earned = lambda code: F.aggregate("ps", F.struct(F.lit(None).cast(points.schema["requires"].dataType).alias("next"), F.lit(0.0).alias("marks")), lambda acc, q: F.when((q["code"] == code) & (q["marks"] > acc["marks"]), F.struct(q["requires"].alias("next"), q["marks"].cast("double").alias("marks"))).otherwise(acc))
+
+    def follow(acc: Column, _: Column) -> Column:
+        found = earned(acc["at"])
+        return F.when(acc["at"].isNull() | ~acc["paid"], acc).otherwise(F.struct(F.when(found["marks"] > 0, found["next"]).alias("at"), (found["marks"] > 0).alias("paid")))
+
+    def judged(p: Column) -> Column:
+        paid = F.aggregate(F.sequence(F.lit(1), F.size("ps")), F.struct(p["requires"].alias("at"), F.lit(True).alias("paid")), follow)["paid"]
+        return F.struct(p.alias("p"), (~paid & (p["marks"] > 0)).alias("lost"))
+
+    out = rows.select(F.explode(F.transform("ps", judged)).alias("x")).select("x.p.*", F.col("x.lost").alias("__lost"))
+    return out.withColumn("rule", F.when(F.col("__lost"), "R-DEPENDENCY").otherwise(F.col("rule"))).withColumn("marks", F.when(F.col("__lost"), 0.0).otherwise(F.col("marks"))).drop("__lost")
 
 
 def group_caps(points: DataFrame) -> DataFrame:
@@ -61,19 +72,24 @@ def group_caps(points: DataFrame) -> DataFrame:
 
 
 def half_up(x: Column, step: float) -> Column:
-    return F.floor(x / step + 0.5) * step
+    """To the nearest step, halves away from 0."""
+    return F.signum(x) * F.floor(F.abs(x) / step + 0.5) * step
 
 
-def question_scores(points: DataFrame, step: float = 0.5) -> DataFrame:
-    """(script, question, raw, max_marks, marks, confidence, withheld, trace): capped, never negative, rounded once.
+def question_scores(points: DataFrame, step: float = 0.5, negative_allowed: bool = False) -> DataFrame:
+    """(script, question, raw, max_marks, marks, confidence, withheld, trace): capped, rounded once, at the end.
 
-    Rule confidence is 1 less the withheld share. The trace lists every point in the order of codes.
+    The cap is the question's own maximum, ``question_max``, which alternatives may exceed in sum; without that column it is the
+    sum of the points' maxima. A total below 0 counts as 0 unless ``negative_allowed``. Rule confidence is 1 less the
+    withheld share. The trace lists every point in the order of codes.
     """
-    raw, most = F.sum("marks"), F.sum("max_marks")
+    most = F.max("question_max") if "question_max" in points.columns else F.sum("max_marks")
     withheld = F.sum(F.when(F.col("rule") == "R-LOW-CONFIDENCE", F.col("max_marks")).otherwise(0.0))
     trace = F.array_sort(F.collect_list(F.struct("code", "rule", "marks")))  # a question's points: a rubric's size
-    out = points.groupBy("script", "question").agg(F.round(raw, 6).alias("raw"), most.alias("max_marks"), (1 - withheld / F.nullif(most, F.lit(0.0))).alias("confidence"), withheld.alias("withheld"), trace.alias("trace"))
-    return out.withColumn("marks", F.least(half_up(F.greatest(F.least("raw", "max_marks"), F.lit(0.0)), step), F.col("max_marks")))
+    out = points.groupBy("script", "question").agg(F.sum("marks").alias("raw"), most.alias("max_marks"), (1 - withheld / F.nullif(F.sum("max_marks"), F.lit(0.0))).alias("confidence"), withheld.alias("withheld"), trace.alias("trace"))
+    capped = F.least("raw", "max_marks")
+    capped = capped if negative_allowed else F.greatest(capped, F.lit(0.0))
+    return out.withColumn("marks", F.least(half_up(capped, step), F.col("max_marks")))
 
 
 def route(ocr: Column, overall: Column, injected: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -62,7 +62,7 @@ SELECT state, min(steps) AS steps FROM walk GROUP BY state"""
     return spark.sql(walk)
 
 
-def once_only(attempts: DataFrame, order: str) -> DataFrame:
+def once_only(attempts: DataFrame, order: str | Column) -> DataFrame:
     """The first attempt of each (script, stage, version)."""
     by = W.partitionBy("script_id", "stage", "pipeline_version").orderBy(order)
     return attempts.withColumn("nth", F.row_number().over(by)).filter("nth = 1").drop("nth")

@@ -65,6 +65,43 @@ def after_success(users: DataFrame, new_hash: str | None = None) -> DataFrame:
     return users.withColumns({"failed_logins": F.lit(0), "locked_until": F.lit(None).cast("timestamp"), "password_hash": F.coalesce(F.lit(new_hash), F.col("password_hash"))})
 
 
+def user_by_id(users: DataFrame, key) -> DataFrame:
+    """The user of an id, if active; none otherwise."""
+    return users.filter((F.col("id") == key) & (F.col("status") == "ACTIVE"))
+
+
+def ordered_questions(questions: DataFrame, exam) -> DataFrame:
+    """An exam's questions by position, then by number as text."""
+    return questions.filter(F.col("exam_id") == exam).orderBy("position", F.col("number").cast("string"))
+
+
+def downloads(booklets: DataFrame, exams: DataFrame, questions: DataFrame, version: str) -> DataFrame:
+    """(booklet, exam, n_questions, status): a booklet with its exam; one of another layout version is refused, not redrawn."""
+    counts = questions.groupBy(F.col("exam_id").alias("exam")).agg(F.count("*").alias("n_questions"))
+    rows = booklets.select(F.col("id").alias("booklet"), F.col("exam_id").alias("exam"), "layout_version").join(exams.select(F.col("id").alias("exam"), F.lit(True).alias("found")), "exam", "left").join(counts, "exam", "left")
+    status = F.when(F.col("found").isNull(), "NOT_FOUND").when(F.coalesce(F.col("layout_version") == version, F.lit(False)), "SERVED").otherwise("STALE_LAYOUT")
+    return rows.select("booklet", "exam", F.coalesce("n_questions", F.lit(0).cast("long")).alias("n_questions"), status.alias("status"))
+
+
+def reveal(identities: DataFrame, enrolments: DataFrame, actor: str) -> tuple[DataFrame, DataFrame]:
+    """Names behind booklets, and the audit rows without which they may not be shown: one for each booklet revealed.
+
+    identities (booklet_id, enrolment_id) meet enrolments (id, index_number, display_name); an identity without an enrolment has no
+    name and is not revealed. Nothing else here joins the two.
+    """
+    names = enrolments.select(F.col("id").alias("enrolment_id"), "index_number", "display_name")
+    shown = identities.select("booklet_id", "enrolment_id").join(names, "enrolment_id")
+    audit = shown.select(F.lit("identity.reveal").alias("action"), F.lit(actor).alias("actor_id"), F.lit("booklet").alias("entity_type"), F.col("booklet_id").cast("string").alias("entity_id"))
+    return shown.select("booklet_id", "index_number", "display_name"), audit
+
+
+def refuse_unscoped(df: DataFrame, column: str = "tenant_id") -> DataFrame:
+    """``df``, if the tenant policy can hold on it; raises where there is no tenant column, and on any row without a tenant."""
+    if column not in df.columns:
+        raise ValueError(f"no column {column} to scope by")
+    return df.filter(F.when(F.col(column).isNull(), F.raise_error(F.lit(f"{column} is null")).cast("boolean")).otherwise(F.lit(True)))
+
+
 def key_violations(df: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1")
 

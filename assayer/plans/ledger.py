@@ -80,7 +80,7 @@ def state_reachability(spark, sf_dir):
 
 def stage_attempts(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("script_id"), F.col("l_linenumber").alias("stage"), F.col("l_returnflag").alias("pipeline_version"), "l_partkey", "l_suppkey")
-    return li.groupBy("script_id", "stage", "pipeline_version").agg(F.min(F.struct("l_partkey", "l_suppkey")).alias("f"), F.count("*").alias("attempts")).select("script_id", "stage", "pipeline_version", "f.l_partkey", "attempts")
+    return states.once_only(li, F.struct("l_partkey", "l_suppkey"))
 
 
 def cache_dedup(spark, sf_dir):
@@ -129,7 +129,9 @@ def key_violations(spark, sf_dir):
 
 
 def orphan_rows(spark, sf_dir):
-    return tenancy.orphans(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey", table(spark, sf_dir, "orders"), "o_custkey")
+    """Orders moved on by nine customers: those of the last ones have none."""
+    moved = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") + 9).alias("owner"))
+    return tenancy.orphans(moved, "owner", table(spark, sf_dir, "customer"), "c_custkey")
 
 
 def user_lookup(spark, sf_dir):
@@ -147,7 +149,94 @@ def fairness_cap(spark, sf_dir):
     return results.fair_queue(jobs, "user_id", ["ts", "event_id"], 50).select("user_id", "event_id", "turn")
 
 
-QUERIES = {f.__name__: f for f in (chain_append, chain_verify, chain_tamper, chain_last_hash, human_actions, ip_validity, failure_streaks, state_edges, state_history, state_reachability, stage_attempts, cache_dedup, cost_meter, circuit_breaker, tenant_scope, tenant_violations, page_list, page_count, key_violations, orphan_rows, user_lookup, login_failures, fairness_cap)}
+def chain_read(spark, sf_dir):
+    log = _log(spark, sf_dir)
+    chained = audit.append(log).select("tenant_id", "id", "prev_hash", "row_hash")
+    blank = {n: F.lit(None).cast("string") for n in ("actor_id", "before", "reason")}
+    return audit.read_chain(log.withColumns(blank).join(chained, ["tenant_id", "id"]), 7).select("id", "action", "entity_id", "tenant_id", "prev_hash", "row_hash", F.col("at").isNull().alias("no_time"))
+
+
+def login_success(spark, sf_dir):
+    users = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.pmod("c_custkey", F.lit(7)).alias("failed_logins"), F.lit("2024-01-01").cast("timestamp").alias("locked_until"), F.col("c_name").alias("password_hash"))
+    return tenancy.after_success(users).select("id", "failed_logins", F.col("locked_until").isNull().alias("open"), "password_hash")
+
+
+def active_user(spark, sf_dir):
+    users = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("email"), F.when(F.pmod("c_custkey", F.lit(3)) == 0, "ACTIVE").otherwise("DISABLED").alias("status"))
+    return tenancy.user_by_id(users, 42).union(tenancy.user_by_id(users, 43))
+
+
+def exam_lookup(spark, sf_dir):
+    """One row of this tenant by its key, checked on its own."""
+    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_name")
+    first = customers.orderBy("c_custkey").first()
+    return tenancy.TenantScope(first.c_nationkey).require(customers, "c_custkey", first.c_custkey, "c_nationkey")
+
+
+def scoped_exams(spark, sf_dir):
+    """Orders as exams of their customer's tenant, through the scope that the schema names."""
+    exams = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("tenant_id"))
+    return tenancy.TenantScope(7).named("exams", tenancy.refuse_unscoped(exams))
+
+
+def exam_questions(spark, sf_dir):
+    q = table(spark, sf_dir, "part").select(F.col("p_brand").alias("exam_id"), F.col("p_size").alias("position"), F.col("p_partkey").alias("number"))
+    return tenancy.ordered_questions(q, "Brand#13")
+
+
+def booklet_downloads(spark, sf_dir):
+    """Orders as booklets, customers but every fifth as exams, a nation's suppliers as questions."""
+    booklets = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("exam_id"), F.col("o_orderstatus").alias("layout_version"))
+    exams = table(spark, sf_dir, "customer").filter("c_custkey % 5 <> 0").select(F.col("c_custkey").alias("id"))
+    questions = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("exam_id"))
+    return tenancy.downloads(booklets, exams, questions, "F")
+
+
+def identity_reveal(spark, sf_dir):
+    ids = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("booklet_id"), F.when(F.pmod("o_orderkey", F.lit(4)) != 0, F.col("o_custkey")).alias("enrolment_id"))
+    people = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_custkey").cast("string").alias("index_number"), F.col("c_name").alias("display_name"))
+    shown, log = tenancy.reveal(ids, people, "examiner")
+    return shown.join(log.select(F.col("entity_id").cast("long").alias("booklet_id"), "action", "actor_id"), "booklet_id")
+
+
+def sealed_names(spark, sf_dir):
+    key = F.lit("0123456789abcdef")
+    return table(spark, sf_dir, "customer").select("c_custkey", tenancy.unseal(tenancy.seal(F.concat(F.lit(" "), F.col("c_name")), key), key).alias("name"))
+
+
+def _lines(spark, sf_dir):
+    """Line items as read lines; some have a source, a flag or a confidence that there is not."""
+    li = table(spark, sf_dir, "lineitem")
+    pick = lambda names, n: F.element_at(F.array(*map(F.lit, names)), (F.pmod("l_suppkey", F.lit(n)) + 1).cast("int"))
+    box = F.struct(F.lit(0).alias("x"), F.col("l_linenumber").alias("y"), (F.col("l_linenumber") - 2).alias("w"), F.lit(9).alias("h"))
+    return li.select("l_orderkey", "l_linenumber", pick((*recognition.SOURCES, "GUESSED"), 6).alias("source"), F.array(pick((*recognition.FLAGS, "ODD"), 8)).alias("flags"), (F.col("l_quantity") / 40).alias("confidence"), box.alias("box"))
+
+
+def readable_lines(spark, sf_dir):
+    rows = _lines(spark, sf_dir).filter(recognition.readable(F.col("flags"), F.col("source")))
+    return rows.groupBy(recognition.needs_human(F.col("flags")).alias("human"), recognition.box_valid(F.col("box")).alias("boxed")).agg(F.count("*").alias("n"), F.sum(recognition.centre_y(F.col("box"))).alias("centre"))
+
+
+def line_domains(spark, sf_dir):
+    return recognition.domain_violations(_lines(spark, sf_dir)).groupBy(F.concat_ws(",", "why").alias("why")).agg(F.count("*").alias("n"))
+
+
+def auto_markable(spark, sf_dir):
+    kinds = F.element_at(F.array(*map(F.lit, ("PROSE", "SHORT", "LIST", "NUMERIC", "DIAGRAM", "CODE", "MATH"))), F.col("l_linenumber").cast("int"))
+    return table(spark, sf_dir, "lineitem").groupBy(recognition.auto_markable(kinds).alias("auto")).agg(F.count("*").alias("n"))
+
+
+def call_outcomes(spark, sf_dir):
+    """A user's events as the attempts of a call."""
+    from pyspark.sql import Window as W
+
+    e = table(spark, sf_dir, "events")
+    result = F.when(F.col("event_type") == "purchase", "OK").when(F.col("event_type") == "signup", "REFUSED").otherwise("ERROR")
+    rows = e.select(F.col("user_id").alias("call"), F.row_number().over(W.partitionBy("user_id").orderBy("event_id")).alias("attempt"), result.alias("result"))
+    return recognition.call_outcomes(rows)
+
+
+QUERIES = {f.__name__: f for f in (chain_append, chain_verify, chain_tamper, chain_last_hash, human_actions, ip_validity, failure_streaks, state_edges, state_history, state_reachability, stage_attempts, cache_dedup, cost_meter, circuit_breaker, tenant_scope, tenant_violations, page_list, page_count, key_violations, orphan_rows, user_lookup, login_failures, fairness_cap, chain_read, login_success, active_user, exam_lookup, scoped_exams, exam_questions, booklet_downloads, identity_reveal, sealed_names, readable_lines, line_domains, auto_markable, call_outcomes)}
 _EDGES = "edges AS (SELECT * FROM (VALUES " + ", ".join(f"('{s}', '{d}')" for s, d in states.EDGES) + ") t(src, dst))"
 _STATES = "states AS (SELECT * FROM (VALUES " + ", ".join(f"('{s}', {not d}, {s in states.HUMAN}, {s in states.MACHINE}, '{', '.join(sorted(d.split())) or 'none'}')" for s, d in states.MOVES.items()) + ") t(state, terminal, human, machine, allowed))"
 _REACH = "(SELECT state, min(steps) AS steps FROM {n} GROUP BY state)"
@@ -173,7 +262,7 @@ SELECT user_id, count(*) FILTER (failed) AS n_failures, max(nth)::BIGINT AS long
 m AS (SELECT *, lag(dst) OVER (PARTITION BY user_id ORDER BY event_id) AS src FROM h)
 SELECT m.src, m.dst, s.allowed, count(*) AS n FROM m JOIN states s ON s.state = m.src WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.src = m.src AND e.dst = m.dst) GROUP BY ALL""",
     "state_reachability": f"WITH RECURSIVE {_EDGES}, {_walk('a')}, {_walk('b', chr(32) + 'AND e.dst <> ' + chr(39) + 'FAILED' + chr(39))} SELECT x.state, x.steps::INTEGER AS steps, y.state IS NOT NULL AS unfailed FROM {_REACH.format(n='a')} x LEFT JOIN {_REACH.format(n='b')} y USING (state)",
-    "stage_attempts": "SELECT l_orderkey AS script_id, l_linenumber AS stage, l_returnflag AS pipeline_version, min(l_partkey) AS l_partkey, count(*) AS attempts FROM lineitem GROUP BY ALL",
+    "stage_attempts": "SELECT l_orderkey AS script_id, l_linenumber AS stage, l_returnflag AS pipeline_version, min((l_partkey, l_suppkey))[1] AS l_partkey, min((l_partkey, l_suppkey))[2] AS l_suppkey FROM lineitem GROUP BY ALL",
     "cache_dedup": r"""WITH k AS (SELECT doc_id, sha256(text || chr(31) || 'v1' || chr(31) || lang || chr(31) || 'deadlock' || chr(30) || 'kernel') AS key FROM documents), f AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY doc_id) AS nth FROM k)
 SELECT doc_id, key, CASE WHEN nth = 1 THEN 0.0015::DOUBLE ELSE 0.0::DOUBLE END AS cost, nth > 1 AS from_cache FROM f""",
     "cost_meter": """WITH RECURSIVE n AS (SELECT user_id, round_even(value, 0) AS price, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS nth FROM events),
@@ -190,8 +279,27 @@ SELECT user_id AS provider, count(*) FILTER (blocked) AS blocked, count(*) FILTE
     "page_list": "SELECT o_orderkey FROM orders ORDER BY o_orderdate, o_orderkey LIMIT 100 OFFSET 200",
     "page_count": "SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1",
     "key_violations": "SELECT count(*) AS broken, max(n) AS most FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1)",
-    "orphan_rows": "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
+    "orphan_rows": "SELECT o_orderkey, o_custkey + 9 AS owner FROM orders WHERE o_custkey + 9 NOT IN (SELECT c_custkey FROM customer)",
     "user_lookup": "SELECT c_custkey AS id, c_name AS email FROM customer WHERE lower(c_name) = 'customer#000000042' ORDER BY 1 LIMIT 1",
     "login_failures": "SELECT c_custkey AS id, (c_custkey % 7 + 1)::INTEGER AS failed_logins, CASE WHEN c_custkey % 7 + 1 >= 5 THEN '2024-01-01 00:05' END AS locked_until FROM customer",
     "fairness_cap": "SELECT user_id, event_id, turn::INTEGER AS turn FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS turn FROM events) WHERE turn <= 50",
 }
+_LINES = "lines AS (SELECT *, (['TIER1', 'AGREED', 'ARBITRATED', 'HUMAN', 'UNRESOLVED', 'GUESSED'])[l_suppkey % 6 + 1] AS source, (['STRUCK_THROUGH', 'TIER2_DISAGREEMENT', 'NEEDS_HUMAN_TRANSCRIPTION', 'CONTAINS_NUMERALS', 'NEAR_RUBRIC_KEYWORD', 'HIGH_CONFIDENCE_VARIANCE', 'INJECTION_PATTERN', 'ODD'])[l_suppkey % 8 + 1] AS flag, l_quantity / 40 AS confidence FROM lineitem)"
+SQL |= {
+    "chain_read": f"WITH RECURSIVE {_LOG} SELECT c.id, e.event_type AS action, e.event_id::VARCHAR AS entity_id, c.tenant_id, c.prev_hash, c.row_hash, TRUE AS no_time FROM chain c JOIN events e ON e.event_id = c.id AND e.user_id = c.tenant_id WHERE c.tenant_id = 7",
+    "login_success": "SELECT c_custkey AS id, 0 AS failed_logins, TRUE AS open, c_name AS password_hash FROM customer",
+    "active_user": "SELECT c_custkey AS id, c_name AS email, 'ACTIVE' AS status FROM customer WHERE c_custkey IN (42, 43) AND c_custkey % 3 = 0",
+    "exam_lookup": "SELECT c_custkey, c_nationkey, c_name FROM customer ORDER BY 1 LIMIT 1",
+    "scoped_exams": "SELECT o_orderkey, o_custkey AS tenant_id FROM orders WHERE o_custkey = 7",
+    "exam_questions": "SELECT p_brand AS exam_id, p_size AS position, p_partkey AS number FROM part WHERE p_brand = 'Brand#13'",
+    "booklet_downloads": """SELECT o_orderkey AS booklet, o_custkey AS exam, (SELECT count(*) FROM supplier WHERE s_nationkey = o_custkey) AS n_questions,
+  CASE WHEN o_custkey % 5 = 0 OR o_custkey NOT IN (SELECT c_custkey FROM customer) THEN 'NOT_FOUND' WHEN o_orderstatus = 'F' THEN 'SERVED' ELSE 'STALE_LAYOUT' END AS status FROM orders""",
+    "identity_reveal": "SELECT o_orderkey AS booklet_id, c_custkey::VARCHAR AS index_number, c_name AS display_name, 'identity.reveal' AS action, 'examiner' AS actor_id FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderkey % 4 <> 0",
+    "sealed_names": "SELECT c_custkey, c_name AS name FROM customer",
+    "readable_lines": f"WITH {_LINES} SELECT flag = 'NEEDS_HUMAN_TRANSCRIPTION' AS human, l_linenumber > 2 AS boxed, count(*) AS n, sum(l_linenumber + 4.5::DOUBLE) AS centre FROM lines WHERE flag <> 'STRUCK_THROUGH' AND source <> 'UNRESOLVED' GROUP BY 1, 2",
+    "line_domains": f"WITH {_LINES}, w AS (SELECT array_to_string(list_filter([CASE WHEN source = 'GUESSED' THEN 'SOURCE' END, CASE WHEN flag = 'ODD' THEN 'FLAG' END, CASE WHEN NOT confidence BETWEEN 0 AND 1 THEN 'CONFIDENCE' END], lambda x: x IS NOT NULL), ',') AS why FROM lines) SELECT why, count(*) AS n FROM w WHERE why <> '' GROUP BY 1",
+    "auto_markable": "SELECT l_linenumber <= 2 AS auto, count(*) AS n FROM lineitem GROUP BY 1",
+    "call_outcomes": """WITH n AS (SELECT user_id AS call, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS attempt, CASE event_type WHEN 'purchase' THEN 'OK' WHEN 'signup' THEN 'REFUSED' ELSE 'ERROR' END AS result FROM events),
+m AS (SELECT *, least(3, coalesce(min(attempt) FILTER (result <> 'ERROR') OVER (PARTITION BY call), 3)) AS last FROM n)
+SELECT call, count(*) AS made, count(*) FILTER (result <> 'OK') AS failures, arg_max(result, attempt) AS outcome FROM m WHERE attempt <= last GROUP BY 1""",
+}

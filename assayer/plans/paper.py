@@ -121,7 +121,20 @@ def best_pages(spark, sf_dir):
     return results.best_pages(scans)
 
 
-QUERIES = {f.__name__: f for f in (quality_gate, rejection_reasons, ingest_outcome, capture_geometry, image_composite, pixel_measures, payload_roundtrip, paginate, fit_to_page, booklet_register, missing_pages, slot_violations, formatted_marks, best_pages)}
+def page_layout(spark, sf_dir):
+    """The markers' places, the identity box and the least image edge."""
+    box = booklet.identity_region()
+    return booklet.fiducials(spark).select("*", box["x"].alias("box_x"), box["y"].alias("box_y"), box["w"].alias("box_w"), box["h"].alias("box_h"), F.lit(capture.least_pixels()).alias("least_pixels"))
+
+
+def cropped_pixels(spark, sf_dir):
+    """The middle of every embedding as an image, cut out, and what is left of the whole when it is painted white."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.unhex(F.array_join(F.transform("embedding", lambda x: F.lpad(F.hex(F.pmod(F.floor(x.cast("double") * 100), F.lit(200))), 2, "0")), "")).alias("image"), F.lit(8).alias("h"), (F.size("embedding") / 8).cast("int").alias("w"))
+    at = [F.col("image"), F.col("h"), F.col("w"), F.lit(2), F.lit(3), F.lit(3), F.lit(20)]
+    return e.select("vec_id", F.hex(pixels.crop(*at)).alias("part"), F.hex(pixels.redact(*at)).alias("rest"))
+
+
+QUERIES = {f.__name__: f for f in (quality_gate, rejection_reasons, ingest_outcome, capture_geometry, image_composite, pixel_measures, payload_roundtrip, paginate, fit_to_page, booklet_register, missing_pages, slot_violations, formatted_marks, best_pages, page_layout, cropped_pixels)}
 _GATED = """g AS (SELECT *, list_filter([CASE WHEN markers < 4 THEN 'R_MARKERS' END, CASE WHEN dpi < 120 THEN 'R_DPI' WHEN dpi < 150 THEN 'W_DPI' END, CASE WHEN sharpness < 80 THEN 'R_SHARPNESS' WHEN sharpness < 150 THEN 'W_SHARPNESS' END, CASE WHEN abs(skew) > 12 THEN 'W_SKEW' END,
     CASE WHEN keystone < 0.70::DOUBLE THEN 'W_KEYSTONE' END, CASE WHEN brightness < 40 THEN 'R_DARK' END, CASE WHEN clipped > 0.25::DOUBLE THEN 'R_CLIPPED' END], lambda r: r IS NOT NULL) AS reasons
   FROM (SELECT l_linenumber, l_partkey, l_quantity * 5 AS dpi, l_extendedprice / 100 AS sharpness, 250 - l_quantity * 4.5::DOUBLE AS brightness, l_discount * 3 AS clipped, l_quantity - 25 AS skew, 1 - l_tax * 5 AS keystone, least(l_suppkey % 9, 4) AS markers FROM lineitem)),
@@ -151,3 +164,4 @@ SELECT array_to_string(why, ',') AS why, count(*) AS n FROM w WHERE len(why) > 0
     "best_pages": """WITH o AS (SELECT l_orderkey AS script, l_linenumber AS page_no, l_partkey AS content, max(l_quantity) AS quality FROM lineitem GROUP BY ALL)
 SELECT script, page_no, arg_max(content, (quality, content)) AS content, max(quality) AS quality, count(*) AS versions FROM o GROUP BY 1, 2""",
 }
+SQL["page_layout"] = """SELECT *, x + 6 AS centre_x, y + 6 AS centre_y, 25.0::DOUBLE AS box_x, 218.0::DOUBLE AS box_y, 78.0::DOUBLE AS box_w, 20.0::DOUBLE AS box_h, 1241 AS least_pixels FROM (VALUES (0, 8.0::DOUBLE, 277.0::DOUBLE), (1, 190.0, 277.0), (2, 190.0, 8.0), (3, 8.0, 8.0)) t(id, x, y)"""

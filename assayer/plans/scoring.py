@@ -10,31 +10,34 @@ from assayer.operators import evaluation
 from assayer.session import table
 
 
-def _ascii(c: str):
-    return F.regexp_replace(F.col(c), r"[^\x20-\x7E\n]", "?")
-
-
 def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns of conversations as reference lines, and a reading of them with some letters mistaken."""
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", _ascii("text").alias("ref"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.col("text").alias("ref"))
     rows = rows.withColumn("hyp", F.translate("ref", "mnrv", "nmnu"))
-    return rows.select("conv_id", "turn", "role", *(text.normalise(F.col(c), unicode=False).alias(c) for c in ("ref", "hyp")))
+    return rows.select("conv_id", "turn", "role", *(text.normalise(F.col(c)).alias(c) for c in ("ref", "hyp")))
 
 
-_TURNS = r"""turns AS (SELECT conv_id, turn, role, trim(regexp_replace(lower(ref), '\s+', ' ', 'g')) AS ref, trim(regexp_replace(lower(translate(ref, 'mnrv', 'nmnu')), '\s+', ' ', 'g')) AS hyp
-  FROM (SELECT *, regexp_replace(text, '[^\x20-\x7E\n]', '?', 'g') AS ref FROM conversations))"""
+#: DuckDB's distance counts bytes, so a row's characters become single bytes; NFKC changes nothing in these tables.
+_TURNS = r"""turns AS (SELECT conv_id, turn, role, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS ref, trim(regexp_replace(lower(translate(text, 'mnrv', 'nmnu')), '\s+', ' ', 'g')) AS hyp FROM conversations)"""
+_CODED = """coded AS (SELECT *, levenshtein(array_to_string(list_transform(string_split(ref, ''), lambda c: chr((32 + list_position(cs, c))::INTEGER)), ''), array_to_string(list_transform(string_split(hyp, ''), lambda c: chr((32 + list_position(cs, c))::INTEGER)), '')) AS e
+  FROM (SELECT *, list_distinct(string_split(ref || hyp, '')) AS cs FROM turns))"""
 _RATE = "CASE WHEN {l} = 0 THEN CASE WHEN {e} = 0 THEN 0.0 ELSE 1.0 END ELSE {e} / {l}::DOUBLE END"
 
 
 def cer_by_role(spark, sf_dir):
     rows = _turns(spark, sf_dir).select("role", text.char_errors(F.col("ref"), F.col("hyp")).alias("e"), F.length("ref").alias("l"))
-    return evaluation.pooled(rows, ["role"], "e", "l")
+    return _shown(evaluation.pooled(rows, ["role"], "e", "l"))
+
+
+def _shown(rates):
+    """Rounded for the comparison with SQL only."""
+    return rates.withColumns({c: F.round(c, 6) for c in ("rate", "accuracy")})
 
 
 def wer_by_role(spark, sf_dir):
     rows = _turns(spark, sf_dir).select("role", text.tokens(F.col("ref")).alias("r"), text.tokens(F.col("hyp")).alias("h"))
     rows = rows.select("role", text.word_errors(F.col("r"), F.col("h")).alias("e"), F.size("r").alias("l"))
-    return evaluation.pooled(rows, ["role"], "e", "l")
+    return _shown(evaluation.pooled(rows, ["role"], "e", "l"))
 
 
 def word_mismatches(spark, sf_dir):
@@ -72,10 +75,25 @@ def confusion_matrix(spark, sf_dir):
     return evaluation.confusion(_raters(spark, sf_dir), "i", "j")
 
 
+def _scored(spark, sf_dir):
+    """Whole turns as a golden set, some illegible, and readings of most of them."""
+    turns = table(spark, sf_dir, "conversations")
+    lines = turns.select("conv_id", "turn", "text", (F.pmod(F.col("conv_id") + F.col("turn"), F.lit(9)) == 0).alias("illegible"))
+    read = turns.filter(F.pmod(F.col("conv_id") * 3 + F.col("turn"), F.lit(5)) != 0).select("conv_id", "turn", F.translate("text", "mv", "nu").alias("text"))
+    return evaluation.score_transcriptions(lines, read, ["conv_id", "turn"])
+
+
 def score_lines(spark, sf_dir):
-    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    joined = docs.select("doc_id", "lang", "n_chars").join(labels.select("doc_id", F.lit(True).alias("found")), "doc_id", "left")
-    return joined.groupBy("lang").agg(F.count_if("found").alias("measured"), F.count_if(F.col("found").isNull()).alias("missing"), F.coalesce(F.sum(F.when(F.col("found"), F.col("n_chars"))), F.lit(0)).alias("chars"))
+    return _scored(spark, sf_dir).select("measured", "skipped", "missing", "char_errors", "chars", F.round("cer", 6).alias("cer"), "tier1", "tier2")
+
+
+def score_words(spark, sf_dir):
+    return _scored(spark, sf_dir).select("measured", "word_errors", "words", "wer")
+
+
+def legible_lines(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").withColumn("illegible", F.pmod(F.col("conv_id") + F.col("turn"), F.lit(9)) == 0)
+    return evaluation.legible(turns).select(evaluation.line_key(F.col("conv_id"), F.lit(1), F.col("turn")).alias("key"), evaluation.mark_key(F.col("conv_id"), F.col("role")).alias("mark"))
 
 
 def _marks(spark, sf_dir):
@@ -143,18 +161,21 @@ def semantic_confidence(spark, sf_dir):
     return li.groupBy("l_suppkey").agg(F.round(stats.semantic_confidence(1 - F.col("l_discount"), 1 - F.col("l_tax"), F.col("l_returnflag") == "N", F.col("l_tax")), 6).alias("confidence"))
 
 
-QUERIES = {f.__name__: f for f in (cer_by_role, wer_by_role, word_mismatches, qwk_labels, qwk_by_flag, agreement_stats, confusion_matrix, score_lines, score_marks, golden_summary, golden_duplicates, mark_violations, routing_quality, line_confidence, page_confidence, overall_routing, semantic_confidence)}
+QUERIES = {f.__name__: f for f in (cer_by_role, wer_by_role, word_mismatches, qwk_labels, qwk_by_flag, agreement_stats, confusion_matrix, score_lines, score_words, legible_lines, score_marks, golden_summary, golden_duplicates, mark_violations, routing_quality, line_confidence, page_confidence, overall_routing, semantic_confidence)}
 _LINE = "coalesce(least(greatest(least(avg({v}), 1 - 2 * coalesce(stddev_samp({v}), 0.0)), 0.0), 1.0), 0.0)"
 SQL = {
-    "cer_by_role": f"""WITH {_TURNS}, s AS (SELECT role, count(*) AS n, sum(levenshtein(ref, hyp))::BIGINT AS errors, sum(length(ref))::BIGINT AS length FROM turns GROUP BY role)
-SELECT *, round({_RATE.format(e='errors', l='length')}, 6) AS rate, round(greatest(0.0, 1 - round({_RATE.format(e='errors', l='length')}, 6)), 6) AS accuracy FROM s""",
+    "cer_by_role": f"""WITH {_TURNS}, {_CODED}, s AS (SELECT role, count(*) AS n, sum(e)::BIGINT AS errors, sum(length(ref))::BIGINT AS length FROM coded GROUP BY role)
+SELECT *, round({_RATE.format(e='errors', l='length')}, 6) AS rate, round(greatest(0.0, 1 - {_RATE.format(e='errors', l='length')}), 6) AS accuracy FROM s""",
     "word_mismatches": rf"""WITH {_TURNS}, w AS (SELECT conv_id, turn, unnest(list_filter(regexp_split_to_array(ref, '\s+'), lambda t: t <> '')) AS r, unnest(list_filter(regexp_split_to_array(hyp, '\s+'), lambda t: t <> '')) AS h FROM turns)
 SELECT conv_id, turn, count(*) FILTER (r <> h) AS wrong, count(*) AS words FROM w GROUP BY ALL""",
     "qwk_labels": f"SELECT count(*) AS n, round({_KAPPA}, 6) AS kappa FROM (SELECT quality::DOUBLE AS i, toxic::DOUBLE AS j FROM labels)",
     "qwk_by_flag": f"WITH {_RATERS} SELECT l_returnflag, count(*) AS n, round({_KAPPA}, 6) AS kappa FROM raters GROUP BY 1",
     "agreement_stats": f"WITH {_RATERS} SELECT l_returnflag, l_linestatus, count(*) AS n, round(avg((i = j)::INT), 6) AS exact, round(avg((abs(i - j) <= 1)::INT), 6) AS within_one, round(avg(abs(i - j)), 6) AS mae, count(*) FILTER (i <> j) AS disagreements FROM raters GROUP BY 1, 2",
     "confusion_matrix": f"WITH {_RATERS} SELECT i AS a, j AS b, count(*) AS n FROM raters GROUP BY 1, 2",
-    "score_lines": "SELECT lang, count(l.doc_id) AS measured, count(*) - count(l.doc_id) AS missing, coalesce(sum(n_chars) FILTER (l.doc_id IS NOT NULL), 0)::BIGINT AS chars FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY lang",
+    "score_lines": f"""WITH {_TURNS.replace("translate(text, 'mnrv', 'nmnu')", "translate(text, 'mv', 'nu')")}, {_CODED}, s AS (SELECT e, length(ref) AS l, (conv_id + turn) % 9 = 0 AS bad, (conv_id * 3 + turn) % 5 <> 0 AS found FROM coded),
+t AS (SELECT count(*) FILTER (found AND NOT bad) AS measured, count(*) FILTER (bad) AS skipped, count(*) FILTER (NOT bad AND NOT found) AS missing, coalesce(sum(e) FILTER (found AND NOT bad), 0)::BIGINT AS char_errors, coalesce(sum(l) FILTER (found AND NOT bad), 0)::BIGINT AS chars FROM s)
+SELECT *, round({_RATE.format(e='char_errors', l='chars')}, 6) AS cer, CASE WHEN {_RATE.format(e='char_errors', l='chars')} <= 0.08::DOUBLE THEN 'PASS' ELSE 'FAIL' END AS tier1, CASE WHEN {_RATE.format(e='char_errors', l='chars')} <= 0.06::DOUBLE THEN 'PASS' ELSE 'FAIL' END AS tier2 FROM t""",
+    "legible_lines": "SELECT conv_id || ':1:' || turn AS key, conv_id || ':' || role AS mark FROM conversations WHERE (conv_id + turn) % 9 <> 0",
     "score_marks": f"""WITH {_MARKS}, r AS (SELECT least(round_even(mark / 0.5, 0), 20.0) AS s, least(round_even(coalesce(adjudicated, (marker_a + marker_b) / 2) / 0.5, 0), 20.0) AS t, least(round_even(marker_a / 0.5, 0), 20.0) AS a, least(round_even(marker_b / 0.5, 0), 20.0) AS b FROM marks WHERE o_orderstatus <> 'P'),
 k AS (SELECT count(*) AS matched, 10.0::DOUBLE AS scale, round({_KAPPA.replace('(i-j)', '(s-t)').replace('i*i', 's*s').replace('j*j', 't*t').replace('sum(i)', 'sum(s)').replace('sum(j)', 'sum(t)')}, 6) AS kappa_system, round({_KAPPA.replace('(i-j)', '(a-b)').replace('i*i', 'a*a').replace('j*j', 'b*b').replace('sum(i)', 'sum(a)').replace('sum(j)', 'sum(b)')}, 6) AS kappa_markers FROM r)
 SELECT *, kappa_system >= kappa_markers AS at_parity, CASE WHEN kappa_system >= 0.70 THEN 'PASS' ELSE 'FAIL' END AS verdict FROM k""",

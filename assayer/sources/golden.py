@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 from assayer import schemas
+from assayer.functions import text
 from assayer.operators import evaluation
 
 
@@ -68,6 +69,7 @@ def report(lines: DataFrame, marks: DataFrame, predicted_lines: DataFrame, predi
     t = evaluation.score_transcriptions(lines, predicted_lines, ["booklet_id", "page_no", "line_index"]).first()
     m = evaluation.score_marks(marks, predicted_marks, ["booklet_id", "question_number"]).first()
     out = [
+        f"text {text.describe()}",
         f"golden set: {summary.booklets} booklets, {summary.lines} lines ({summary.illegible} illegible), {summary.marks} marks ({summary.disagreements} disputed)",
         f"transcription: measured {t.measured}, skipped {t.skipped}, missing {t.missing}; CER {t.cer:.4f} {t.tier1}/{t.tier2}; WER {t.wer:.4f}",
         f"marking: matched {m.matched}; kappa {m.kappa_system} against {m.kappa_markers} between markers; {m.verdict}",
