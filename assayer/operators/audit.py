@@ -37,15 +37,21 @@ def row_hash(prev: Column, payload: Column) -> Column:
     return F.sha2(F.concat(prev, F.lit(UNIT), payload), 256)
 
 
-def verify(log: DataFrame, payload: Column, tenant: str = "tenant_id", order: str = "id") -> DataFrame:
+def verify(log: DataFrame, payload: Column, tenant: str = "tenant_id", order: str = "id", chunk: int = 100_000) -> DataFrame:
     """(tenant, rows, first_break): the first 0-based position whose link or hash is wrong, null if all hold.
 
-    Both checks look at a row and the hash before it only, so rows are checked side by side.
+    Both checks look at a row and the hash before it only, so rows are checked side by side: a chain is cut into ranges of
+    ``chunk`` ids, and one row for each range carries its count and last hash to the next, so that a long chain is no single task.
     """
-    by = W.partitionBy(tenant).orderBy(order)
-    checked = log.select(tenant, F.row_number().over(by).alias("nth"), "prev_hash", "row_hash", F.lag("row_hash", 1, GENESIS).over(by).alias("before_hash"), payload.alias("payload"))
-    bad = (F.col("prev_hash") != F.col("before_hash")) | (F.col("row_hash") != row_hash(F.col("prev_hash"), F.col("payload")))
-    return checked.groupBy(tenant).agg(F.count("*").alias("n_rows"), F.min(F.when(F.coalesce(bad, F.lit(True)), F.col("nth") - 1)).alias("first_break"))
+    rows = log.select(tenant, F.col(order).alias("at"), F.floor(F.col(order) / chunk).alias("range"), "prev_hash", "row_hash", payload.alias("payload"))
+    along = W.partitionBy(tenant).orderBy("range")
+    ends = rows.groupBy(tenant, "range").agg(F.count("*").alias("n"), F.max_by("row_hash", "at").alias("last"))
+    ends = ends.select(tenant, "range", F.lag("last", 1, GENESIS).over(along).alias("hash_before"), F.coalesce(F.sum("n").over(along.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("rows_before"))
+    by = W.partitionBy(tenant, "range").orderBy("at")
+    checked = rows.withColumns({"nth": F.row_number().over(by), "before": F.lag("row_hash").over(by)}).join(ends, [tenant, "range"])
+    first = F.when(F.col("nth") == 1, F.col("hash_before")).otherwise(F.col("before"))
+    bad = (F.col("prev_hash") != first) | (F.col("row_hash") != row_hash(F.col("prev_hash"), F.col("payload")))
+    return checked.groupBy(tenant).agg(F.count("*").alias("n_rows"), F.min(F.when(F.coalesce(bad, F.lit(True)), F.col("rows_before") + F.col("nth") - 1)).alias("first_break"))
 
 
 def _link(state: dict, row: dict) -> dict:

@@ -41,8 +41,9 @@ def test_tampering_is_placed(spark, change, position):
     elif change == "rehash":
         rows[1]["payload"] += " "
         rows[1]["row_hash"] = hashlib.sha256(f"{rows[1]['prev_hash']}\x1f{rows[1]['payload']}".encode()).hexdigest()
-    got = audit.verify(spark.createDataFrame(rows), F.col("payload")).first()
-    assert got.first_break == position
+    for chunk in (100_000, 3, 2, 1):
+        got = audit.verify(spark.createDataFrame(rows), F.col("payload"), chunk=chunk).first()
+        assert (got.first_break, got.n_rows) == (position, len(rows))
 
 
 def test_states(spark):
