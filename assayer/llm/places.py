@@ -9,7 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The cluster's folder; only where none is set, and Spark runs on one machine, a temporary one is made."""
+    """The cluster's folder with its scheme; one without a scheme is on the default file system.
+
+    Only where none is set, and Spark runs on one machine, a temporary one is made.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         if not spark.sparkContext.getCheckpointDir():
@@ -22,15 +25,24 @@ def shared_root(spark: SparkSession) -> str:
         root = f"file://{tempfile.mkdtemp(prefix='assayer-')}"
         spark.sparkContext.setCheckpointDir(root)
         root = spark.sparkContext.getCheckpointDir()
-    return root if "://" in root or root.startswith("file:") else f"file://{root}"
+    path, files = _hadoop(spark, root)
+    root = files.makeQualified(path).toString()
+    return "file://" + root[5:] if root.startswith("file:/") and not root.startswith("file://") else root
+
+
+def _hadoop(spark: SparkSession, folder: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def run_folder(spark: SparkSession) -> str:
+    """The folder of everything that this application keeps."""
+    return f"{shared_root(spark).rstrip('/')}/assayer-{spark.sparkContext.applicationId}"
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder's name; Spark's writers and pyarrow both make it when first written to."""
-    root = shared_root(spark).rstrip("/")
-    if root.startswith("file:/") and not root.startswith("file://"):
-        root = "file://" + root[5:]
-    return f"{root}/{name}-{uuid.uuid4().hex}"
+    return f"{run_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def kept(df: DataFrame, name: str) -> DataFrame:
@@ -39,3 +51,9 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     folder = shared_folder(spark, name)
     df.write.parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all that this application kept. For the end of a job, once its results are written elsewhere: they are read from here."""
+    path, files = _hadoop(spark, run_folder(spark))
+    files.delete(path, True)

@@ -258,3 +258,13 @@ def test_recall_of_all_true_pairs(spark):
     caught = sum(got[i] == got[j] for i, j in pairs) / len(pairs)
     print(f"recall of {len(pairs)} pairs: {caught:.4f}")
     assert caught == 1.0 and {i: c for i, (_, c) in brute(texts, 5).items()} == got
+
+
+def test_what_is_kept_can_be_cleared(spark, tmp_path, monkeypatch):
+    path, files = places._hadoop(spark, str(tmp_path))  # without a scheme: the default file system's
+    assert files.makeQualified(path).toString() == f"file:{tmp_path}" and places.shared_root(spark).startswith("file:///")
+    monkeypatch.setattr(places, "shared_root", lambda _: f"file://{tmp_path}")
+    table = places.kept(spark.range(5).toDF("n"), "numbers")
+    assert table.count() == 5 and list(tmp_path.glob("assayer-*/numbers-*"))
+    places.clear(spark)
+    assert not list(tmp_path.glob("assayer-*"))
