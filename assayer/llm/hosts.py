@@ -11,7 +11,7 @@ its host's distrust exceeds its trust by ``threshold``.
 
 A null url, or one without ``://``, has an empty host and path, fits no rule and is judged by the scores of the
 empty host, which has no seed and no links: it is allowed. Null html has no links. Repeated rows each count
-and are each judged; other columns are ignored.
+and are each judged; other columns are ignored. Urls and html of any length are read whole.
 """
 
 from __future__ import annotations

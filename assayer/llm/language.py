@@ -6,7 +6,8 @@ text's bit margins are compared with all codewords under an exponential loss, ea
 apart its two sides are; the nearest codeword wins, and a close second flags the row as ambiguous.
 
 The counts (languages x bins integers, whatever the input's size) are all that reaches the driver: ``lang``
-is taken to be a label column. A null text, or one without a letter, is ``und`` with score 0; with no
+is taken to be a label column, and more than ``LANGUAGES`` values fail the fit. Of codewords at equal loss the one of the smaller name wins.
+Texts count as whole, however long: a worker holds a batch of 1 MB or one longer text, at some 30 bytes a byte. A null text, or one without a letter, is ``und`` with score 0; with no
 labelled row every text is. Repeated rows each count and are each judged; other columns are ignored.
 """
 
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 from assayer.llm.batches import bounded, text_bytes
 
 BINS = 8192
+LANGUAGES = 1000
 SMOOTHING = 0.5
 SHARPNESS = 12.0
 AMBIGUOUS = 0.6
@@ -107,7 +109,9 @@ class Model:
 
 
 def fit(df: DataFrame, text: str = "text", lang: str = "lang") -> Model:
-    rows = counted(df, text, lang).collect()
+    rows = counted(df, text, lang).limit(LANGUAGES * BINS + 1).collect()
+    if len(rows) > LANGUAGES * BINS:
+        raise ValueError(f"{lang} has more than {LANGUAGES} values: it is no label")
     names = sorted({r.lang for r in rows})
     index, counts = {n: i for i, n in enumerate(names)}, np.zeros((len(names), BINS), np.int64)
     for r in rows:

@@ -14,7 +14,8 @@ never becomes all its pairs, and no pair of candidates that could join two compo
 
 Null and empty texts, and texts without words, have empty sets and are linked with nothing. A text with
 fewer words than a shingle is one shingle. A null id takes no part in links: its component is null and it is
-kept. Equal ids are one node. Other columns are ignored.
+kept. Equal ids are one node. Other columns are ignored. Texts count as whole, however long: a worker holds a batch of 1 MB or one
+longer text, at some 100 bytes a byte.
 """
 
 from __future__ import annotations

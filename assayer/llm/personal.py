@@ -4,7 +4,8 @@ Every kind has a base score; checksum kinds (card by Luhn, iban by mod 97, routi
 by weights) are dropped when the sum fails. A context word of the kind within ``WINDOW`` code points
 before or after raises the score, a contrary word lowers it. An IBAN has the length of its country. Base kinds always stay and only their score
 varies; added kinds need a score of ``threshold`` and must not overlap a base span. A null text counts as
-empty and has no spans. Repeated rows are each judged. Other columns are ignored.
+empty and has no spans. Repeated rows are each judged. Other columns are ignored. Texts are read whole, however long; a worker
+holds a batch of 1 MB or one longer text.
 """
 
 from __future__ import annotations

@@ -3,7 +3,8 @@
 Text is cut into words where no vocabulary piece can reach across, distinct words are laid out as one
 flat array of symbols, and every round merges in each word the leftmost pairs of the lowest rank. The
 model file is read, never trained. Nulls count as empty texts; an empty text has no ids and decodes
-to an empty text. Columns other than the key and the text are ignored.
+to an empty text. Columns other than the key and the text are ignored; repeated rows are each encoded. Texts are encoded
+whole, however long: a worker holds a batch of 1 MB or one longer text, at some 50 bytes a byte.
 """
 
 from __future__ import annotations

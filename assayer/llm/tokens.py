@@ -12,7 +12,8 @@ symbol and first id, and the remaining symbols:
 
 Shards are rows of a Parquet table, so that any store that Spark reaches holds them. A null text is empty
 and has the end id alone. Null document ids come first; equal ids are ordered by a hash of their text.
-Repeated rows each have their place; other columns are ignored.
+Repeated rows each have their place; other columns are ignored. Texts are encoded whole, however long: a worker holds a shard, a
+batch of 1 MB or one longer text, at some 60 bytes a byte.
 """
 
 from __future__ import annotations

@@ -178,7 +178,7 @@ def test_link_graph(spark):
     link = lambda *hs: " ".join(f'<a class="l" href="https://{h}/x">t</a>' for h in hs)
     data = [(1, "http://Bad.net/", link("friend.com")), (2, "https://friend.com/a", link("bad.net", "bad.net")), (3, "http://good.org/fr/1", link("fine.com")), (4, "http://fine.com/?q", None), (5, "http://lone.com", ""), (6, None, None), (7, "no scheme", "x"), (7, "no scheme", "x"), (8, "http://a.example.net/en/q", ""), (9, "http://a.example.net/de/q", "")]
     df = spark.createDataFrame(data, "page_id long, url string, html string").withColumn("host", F.lit("clash"))
-    got = {r.page_id: r for r in hosts.judge(df.drop("host")).collect()}
+    got = {r.page_id: r for r in hosts.judge(df).collect()}
     assert (got[1].host, got[1].path, got[1].rule, got[1].verdict) == ("bad.net", "/", "net/", "block")
     assert got[2].verdict == "block" and got[2].distrust > 0.8 and got[4].trust > got[4].distrust and got[4].verdict == got[5].verdict == "allow"
     assert (got[6].host, got[6].path, got[6].rule, got[6].verdict) == ("", "", None, "allow")
@@ -227,8 +227,14 @@ def test_pipeline_stages(spark, odd_documents, no_documents):
     assert seen["pieces"].count() == seen["mixing"].count()
     for rows_ in (odd_documents, no_documents):
         rows_ = rows_.select("doc_id", "text", "lang", "source", "n_chars")
+        names, texts = rows_.columns, {r.doc_id: r.text for r in rows_.collect()}
         for name, stage in corpus_pipeline.STAGES:
             rows_ = places.kept(stage(spark, rows_, ""), name)
+            assert name == "pieces" or rows_.columns == names
+            if name == "secrets":
+                left = {r.doc_id: r.text for r in rows_.collect()}
+        assert left == {i: re.sub("password=abc123def", "[secret]", t) for i, t in texts.items() if t and re.search("[a-z]", t) and i != 6}
+        assert rows_.filter("n_tokens <> size(token_ids)").count() == 0 and {r.doc_id for r in rows_.collect()} <= set(left)
 
 
 def test_members_of_one_component_never_meet(spark):

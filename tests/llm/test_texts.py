@@ -250,6 +250,25 @@ def test_language_held_out_and_odd(spark, odd_documents, no_documents):
     assert {r.lang_pred for r in language.classify(odd_documents, language.fit(no_documents)).collect()} == {"und"}
 
 
+def test_decoding_against_a_plain_version():
+    rng = np.random.default_rng(3)
+    model = language.Model(["de", "en", "es", "fr"], rng.integers(0, 50, (4, language.BINS)))
+    for _ in range(200):
+        margins = rng.normal(0, 2, model.code.shape[1])
+        losses = [sum(w * math.exp(-c * min(3.0, max(-3.0, m))) for w, c, m in zip(model.bit_weight, word, margins)) for word in model.code]
+        best = min(range(4), key=lambda k: losses[k])
+        weight = sum(math.exp(-language.SHARPNESS * (x - losses[best])) for x in losses)
+        name, score, close = model.predict(margins)
+        assert name == model.names[best] and score == pytest.approx(1 / weight) and close == (1 / weight < language.AMBIGUOUS)
+    assert model.predict(np.zeros(model.code.shape[1]))[0] == "de"  # a tie
+
+
+def test_a_column_that_is_no_label_fails(spark, monkeypatch):
+    monkeypatch.setattr(language, "LANGUAGES", 0)
+    with pytest.raises(ValueError, match="no label"):
+        language.fit(spark.createDataFrame([("some text", "a")], "text string, lang string"))
+
+
 @pytest.mark.parametrize("k", [1, 2, 4, 7, 12])
 def test_codewords_are_apart(k):
     code = language.codewords(k)
@@ -308,6 +327,58 @@ def test_media(spark, odd_documents, no_documents, tmp_path):
         assert len(rows) == n and all(r.payload_bytes >= 576 for r in rows)
 
 
+def plain_feature(p):
+    n, counts = len(p), [p.count(v) for v in range(256)]
+    mean = sum(p) / n
+    spread = math.sqrt(max(0.0, sum(x * x for x in p) / n - mean * mean))
+    entropy = -sum(c / n * math.log2(c / n) for c in counts if c)
+    return mean, spread, entropy, [sum(counts[16 * i : 16 * i + 16]) * 1000 // n for i in range(16)]
+
+
+def test_features_of_payloads():
+    rng = random.Random(8)
+    for n in (576, 1152):
+        p = bytes(rng.choice([0, 7, 65, 97, 98, 255]) for _ in range(n))
+        *moments, bins = media.feature_of(p).split(";")
+        mean, spread, entropy, want = plain_feature(p)
+        assert [float(x) for x in moments] == pytest.approx([mean, spread, entropy], abs=6e-4) and [int(x) for x in bins.split(",")] == want
+
+
+class Flaky:
+    """A file whose first reads fail."""
+
+    def __init__(self, data, failures):
+        self.data, self.failures, self.opened = data, failures, 0
+
+    def open_input_file(self, path):
+        self.opened += 1
+        return self
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_):
+        self.opened -= 1
+
+    def read_at(self, n, at):
+        if self.failures:
+            self.failures -= 1
+            raise OSError("connection lost")
+        return self.data[at : at + n]
+
+
+def test_a_retry_that_succeeds(tmp_path):
+    import zipfile
+
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.writestr("0.png", b"payload")
+    data = (tmp_path / "a.zip").read_bytes()
+    for failures, want in ((0, b"payload"), (1, b"payload"), (2, b"payload"), (3, None)):
+        f = Flaky(data, failures)
+        got, error = media.ArchiveReader.member(f, f, "a.zip", 0, 7, zlib.crc32(b"payload"))
+        assert got == want and (error is None) == (want is not None) and f.opened == 0
+
+
 def test_a_damaged_member_loses_no_other(spark, odd_documents, tmp_path):
     folder = f"file://{tmp_path}/m"
     media.save(odd_documents.coalesce(1), folder)
