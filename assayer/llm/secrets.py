@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assayer.llm.batches import bounded
+from assayer.llm.places import kept
 
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -144,7 +145,11 @@ COMMON = Guesser()
 
 
 def learned_words(df: DataFrame, text: str = "text", most: int = LEARNED) -> list[str]:
-    """The most frequent words of all rows, ties in their order: runs of the letters a-z between blanks and marks."""
+    """The most frequent words of all rows, the first ones first, ties in their order: runs of the letters a-z between blanks and marks.
+
+    Words come by classes of like counts, 64 to a factor of e, and a class that doesn't fit whole into ``most`` is left
+    out with all rarer ones; so a count of words for each class and ``most`` words at the very most reach the driver.
+    """
     lo, hi = LETTERS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,7 +160,14 @@ def learned_words(df: DataFrame, text: str = "text", most: int = LEARNED) -> lis
             yield pa.RecordBatch.from_arrays([counts.field(0), counts.field(1)], ["word", "n"])
 
     counted = df.select(text).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r.word for r in counted.orderBy(F.col("n").desc(), "word").limit(most).collect()]
+    counted = kept(counted.withColumn("class", F.floor(F.log("n") * 64)), "words")
+    taken, least = 0, None
+    for r in counted.groupBy("class").agg(F.count("*").alias("words")).orderBy(F.col("class").desc()).collect():
+        if (taken := taken + r.words) > most:
+            break
+        least = r["class"]
+    found = [] if least is None else counted.filter(F.col("class") >= least).select("word", "n").collect()
+    return [r.word for r in sorted(found, key=lambda r: (-r.n, r.word))]
 
 
 def base_spans(text: str, low: bytes) -> list[tuple[str, int, int]]:
