@@ -3,7 +3,7 @@
 The guess cost of a value is the least, over all ways to cut it into parts, of the product of the parts'
 guesses: a part is a word of a list (by its place in it), a date, a repeat of a character or a block, a run along the
 keyboard or the alphabet, or a brute-force span of characters. The list has some common passwords and then the most frequent words of
-all texts of the input, ``LEARNED`` at most. Values whose log10 cost reaches ``threshold`` are spans of
+all texts of the input, ``LEARNED`` at most, by whole classes of like counts. Values whose log10 cost reaches ``threshold`` are spans of
 kind ``guess``, of any length and of any characters. A value in quotes ends with them, another before blanks, quotes
 and ``<>,;``. After a name and blanks alone, without ``:`` or ``=``, a plain word is no value. Values of the base
 patterns keep their base span whatever their cost, and no guess span overlaps one: what a base span leaves of its value is
