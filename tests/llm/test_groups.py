@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 import re
 
 import corpus_pipeline
+import public_tokenizers
 import pytest
+import sentencepiece
 from compare import SMALL, oracle, rows
 from pyspark.sql import functions as F
 
@@ -210,13 +213,18 @@ def test_distrust_of_many_linkers_and_long_chains(spark):
     assert verdicts == {i: "allow" if i == 20 else "block" for i in range(22)}
 
 
-def test_pipeline_stages(spark, odd_documents, no_documents):
+@pytest.fixture(scope="module")
+def seen(spark):
+    """What each stage of the pipeline reads and writes, by name."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    names = docs.columns
-    seen = {}
+    seen = {"input": docs}
     for name, stage in corpus_pipeline.STAGES:
         docs = seen[name] = places.kept(stage(spark, docs, "/root/testdata/sf0.01"), name)
-        assert name == "pieces" or docs.columns == names
+    return seen
+
+
+def test_pipeline_stages(spark, seen, odd_documents, no_documents):
+    assert all(df.columns == seen["input"].columns for name, df in seen.items() if name != "pieces")
     texts = {r.doc_id: r.text for r in seen["language"].collect()}
     kept = {r.doc_id for r in seen["near_duplicates"].collect()}
     assert kept == {i for i, (_, c) in brute(texts, 5).items() if c == i}
@@ -237,6 +245,57 @@ def test_pipeline_stages(spark, odd_documents, no_documents):
         assert rows_.filter("n_tokens <> size(token_ids)").count() == 0 and {r.doc_id for r in rows_.collect()} <= set(left)
 
 
+def test_pipeline_rows_against_plain_versions(seen):
+    before, told = ({r.doc_id: r for r in seen[n].collect()} for n in ("input", "language"))
+    assert {i: r.text for i, r in told.items()} == {i: r.text for i, r in before.items() if any(c.isalpha() for c in r.text or "")}
+    labelled = [i for i in told if before[i].lang is not None]
+    assert sum(told[i].lang == before[i].lang for i in labelled) >= 0.98 * len(labelled)
+
+    unique, masked = ({r.doc_id: r for r in seen[n].collect()} for n in ("near_duplicates", "secrets"))
+    assert {i: unique[i] for i in unique} == {i: told[i] for i in unique}
+    base = r"(?i:(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?[a-z0-9+/_.=-]{6,})|AKIA[A-Z0-9]{16,}|[0-9a-f]{24,}"
+    sign = r"(?i)pass|pwd|secret|token|key|credential|auth|bearer|login|pin|client|://"
+    touched = 0
+    assert masked.keys() == unique.keys()
+    for i, r in masked.items():
+        held = re.findall(base, unique[i].text)
+        assert not re.search(base, r.text) and r.n_chars == len(r.text) and (r.lang, r.source) == (unique[i].lang, unique[i].source)
+        if held or re.search(sign, unique[i].text):
+            touched += r.text != unique[i].text
+            around = [re.escape(part) for part in r.text.split("[secret]")]
+            assert re.fullmatch("(?s:.+?)".join(around), unique[i].text) and (not held or "[secret]" in r.text)
+        else:
+            assert r.text == unique[i].text
+    assert touched
+
+    size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t))
+    mixed = seen["mixing"].collect()
+    times = {}
+    for r in mixed:
+        assert r == masked[r.doc_id]
+        times[r.doc_id] = times.get(r.doc_id, 0) + 1
+    assert max(times.values()) <= 3
+    whole, targets = {}, {}
+    for r in masked.values():
+        whole.setdefault(r.source, []).append(size(r.text))
+    sources = sorted(whole, key=lambda x: (x is None, x))
+    weight = {x: (5, 2, 1)[k % 3] for k, x in enumerate(sources)}
+    left, free = sum(map(sum, whole.values())), set(whole)
+    while full := {x for x in free if left * weight[x] / sum(weight[y] for y in free) > 3 * sum(whole[x])}:
+        targets |= {x: 3 * sum(whole[x]) for x in full}
+        left, free = left - sum(targets[x] for x in full), free - full
+    targets |= {x: left * weight[x] / sum(weight[y] for y in free) for x in free}
+    for x in sources:
+        assert abs(sum(size(r.text) for r in mixed if r.source == x) - targets[x]) <= max(whole[x])
+
+    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    pieces = seen["pieces"].collect()
+    assert sorted((r.doc_id, r.text) for r in pieces) == sorted((r.doc_id, r.text) for r in mixed)
+    for r in {r.doc_id: r for r in pieces}.values():
+        ids = library.encode(r.text)
+        assert r.token_ids == ids and r.n_tokens == len(ids) and r.decoded_sha256 == hashlib.sha256(library.decode(ids).encode()).hexdigest()
+
+
 def test_members_of_one_component_never_meet(spark):
     """Two groups of thousands around one centre: what they don't share is dropped before any rows meet."""
     size = 2000
