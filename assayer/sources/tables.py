@@ -8,7 +8,8 @@ from assayer import schemas
 
 
 def read(spark: SparkSession, name: str, path: str, form: str = "parquet", **options: str) -> DataFrame:
-    """A table of the model from parquet, orc, csv or json."""
+    """A table of the model from parquet, orc, csv or json; quotes in csv values are doubled, as ``export_csv`` writes them."""
+    options = ({"header": "true", "escape": '"'} if form == "csv" else {}) | options
     return spark.read.schema(schemas.TABLES[name]).options(**options).format(form).load(path)
 
 
@@ -27,4 +28,5 @@ def append(df: DataFrame, name: str, path: str) -> None:
 
 
 def export_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("errorifexists").option("header", True).csv(path)
+    """With a header, quotes in values doubled; an existing folder is an error."""
+    df.write.mode("errorifexists").option("header", True).option("escape", '"').csv(path)

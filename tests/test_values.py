@@ -177,3 +177,36 @@ def test_streaming_breaker_equals_batch(spark, tmp_path):
     q = folds.circuit_breaker(stream, 2, 9.0).writeStream.format("memory").queryName("breaker").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(spark.table("breaker").collect()) == sorted(recognition.circuit_breaker(rows, 2, 9.0).collect())
+
+
+def test_typed_tables_in_every_format(spark, tmp_path):
+    from assayer import schemas
+    from assayer.sources import tables
+
+    rows = [("1", "t1", "a@x.org", None, "marker", "ACTIVE", 0, None, None), ("2", None, 'b,"q"', "h", None, None, None, None, None)]
+    df = spark.createDataFrame(rows, schemas.TABLES["users"])
+    for form in ("parquet", "orc", "json"):
+        df.write.format(form).save(f"{tmp_path}/{form}")
+        assert sorted(tables.read(spark, "users", f"{tmp_path}/{form}", form).collect(), key=str) == sorted(df.collect(), key=str)
+    tables.export_csv(df, f"{tmp_path}/csv")
+    back = tables.read(spark, "users", f"{tmp_path}/csv", "csv")
+    assert pd.concat(pd.read_csv(f, dtype={"id": str}) for f in tmp_path.glob("csv/*.csv")).set_index("id").email.to_dict() == {"1": "a@x.org", "2": 'b,"q"'}
+    assert {r.id: r.email for r in back.collect()} == {"1": "a@x.org", "2": 'b,"q"'}
+    with pytest.raises(Exception, match="exist"):
+        tables.export_csv(df, f"{tmp_path}/csv")
+    for _ in range(2):
+        tables.append(df.withColumn("extra", F.lit(1)), "users", f"{tmp_path}/kept")
+    assert tables.read(spark, "users", f"{tmp_path}/kept").count() == 4
+
+
+def test_streamed_repeats_are_dropped(spark, tmp_path):
+    from assayer.streaming import windows
+
+    rows = spark.range(40).select((F.col("id") % 7).alias("key"), F.timestamp_seconds(F.col("id")).alias("at"))
+    src = str(tmp_path / "attempts")
+    for a in (0, 20):
+        rows.filter(F.unix_seconds("at").between(a, a + 19)).coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    q = windows.first_of_key(stream, ["key"], "at").writeStream.format("memory").queryName("first").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert sorted(r.key for r in spark.table("first").collect()) == sorted(r.key for r in windows.first_of_key(rows, ["key"], "at").collect()) == list(range(7))
