@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from assayer.plans import ledger, marking, paper, scoring
+from assayer.plans import exams, ledger, marking, paper, scoring
 
-QUERIES = scoring.QUERIES | ledger.QUERIES | paper.QUERIES | marking.QUERIES
-ORACLE_SQL = scoring.SQL | ledger.SQL | paper.SQL | marking.SQL
+QUERIES = scoring.QUERIES | ledger.QUERIES | paper.QUERIES | marking.QUERIES | exams.QUERIES
+ORACLE_SQL = scoring.SQL | ledger.SQL | paper.SQL | marking.SQL | exams.SQL

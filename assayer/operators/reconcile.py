@@ -10,8 +10,8 @@ from assayer.functions import text
 
 LOW = 0.88
 LINES_A_PAGE = 30
-#: Phrases and role marks that flag an injection.
-INJECTION = r"(?i)ignore (?:all |the )?(?:previous|above) instructions|disregard the rubric|award full marks|you are now|as the examiner|give this (?:answer|student) full|<\|?(?:system|assistant|user)\|?>|\[(?:system|inst)\]|[#=*%$&]{6,}"
+#: The phrases and role marks that flag an injection; and, this library's choice, six special characters in a row.
+INJECTION = r"(?i)ignore\s+(?:all\s+)?previous|system\s+note|award\s+full\s+marks|you\s+are\s+now|disregard\s+the\b|new\s+instructions|\b(?:assistant|system):|[#=*%$&<>{}|~^@\\]{6,}"
 
 
 def rebuild_lines(words: DataFrame) -> DataFrame:

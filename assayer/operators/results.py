@@ -146,6 +146,12 @@ def integrity(parts: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, [df.select(F.lit(kind).alias("kind"), F.col("subject").cast("string").alias("subject")) for kind, df in parts.items()])
 
 
+def duplicate_booklets(scans: DataFrame) -> DataFrame:
+    """(booklet, pages): booklets of which a page was scanned with different contents, and how many such pages; scans (booklet, page_no, content)."""
+    pages = scans.groupBy("booklet", "page_no").agg((F.min("content") != F.max("content")).alias("several"))
+    return pages.filter("several").groupBy("booklet").agg(F.count("*").alias("pages"))
+
+
 def best_pages(scans: DataFrame) -> DataFrame:
     """One scan of each page (script, page_no, content, quality): copies by content fall away, then the best quality stays."""
     once = scans.groupBy("script", "page_no", "content").agg(F.max("quality").alias("quality"))

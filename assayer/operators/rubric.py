@@ -1,36 +1,122 @@
-"""Checks of a rubric before it is frozen: eight that block and three that warn, and dependency cycles."""
+"""Checks of a rubric before it is frozen: eight that block and three that warn.
+
+Statements are judged by their form: a claim has a finite verb of a list that callers may extend. Nothing is parsed.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: The limits of the checks.
+MOST_WORDS, LEAST_EXEMPLARS, ALIKE, HEAVY, COARSE_MARKS, COARSE_POINTS = 30, 2, 0.90, 0.40, 15, 5
+#: Verbs by which a statement, or each side of its "and", makes a claim.
+VERBS = tuple(
+    "is are was were be been has have had do does did can could may might must shall should will would cannot states defines explains identifies describes gives names lists shows uses applies requires "
+    "holds means causes contains includes allows prevents occurs needs depends produces leads increases decreases waits releases requests reduces becomes remains follows implies".split()
+)
+ASKING = "what why how when where who whom whose which".split()
+NEGATION = r"\b(?:not|never|no|none|nor|neither|cannot|without)\b|n't\b"
+#: Rows of a block when points are compared; a rubric is one block.
+BLOCK_ROWS = 1024
+
+
+def claims(verbs: Sequence[str] = VERBS) -> str:
+    return rf"\b(?:{'|'.join(verbs)})\b"
+
+
+def conjoined(statement: Column, verbs: Sequence[str] = VERBS) -> Column:
+    """Two claims joined by "and": a verb on either side of it."""
+    return F.lower(statement).rlike(rf"(?s){claims(verbs)}.*\s+and\s+.*{claims(verbs)}")
+
 
-def lint(points: DataFrame, questions: DataFrame) -> DataFrame:
-    """(rule, severity, question, code) for points (question, code, statement, marks, exemplars, group_id, group_max, requires) and questions (question, max_marks)."""
+def declarative(statement: Column, verbs: Sequence[str] = VERBS) -> Column:
+    """A sentence with a verb that doesn't ask."""
+    asks = F.trim(statement).endswith("?") | F.lower(statement).rlike(rf"^\s*(?:{'|'.join(ASKING)})\b")
+    return F.coalesce(~asks & F.lower(statement).rlike(claims(verbs)), F.lit(False))
+
+
+def words(statement: Column) -> Column:
+    return F.size(F.filter(F.split(F.trim(F.coalesce(statement, F.lit(""))), r"\s+"), lambda w: w != ""))
+
+
+def alike(points: DataFrame, limit: float = ALIKE, vector: str = "vector") -> DataFrame:
+    """(question, a, b): points of a question whose vectors have a cosine above ``limit``; a is the smaller code.
+
+    A question's points are dealt into blocks of about BLOCK_ROWS, and a task compares two blocks, a matrix each: a
+    rubric is one block, a question of any size many tasks. Points without a vector, or with one of length 0, are alike to none.
+    """
+    own = points.filter(F.col(vector).isNotNull() & F.col("code").isNotNull()).select("question", "code", F.col(vector).cast("array<double>").alias("v"))
+    counts = own.groupBy("question").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("blocks"))
+    dealt = own.join(counts, "question").withColumn("block", F.pmod(F.xxhash64("code"), F.col("blocks"))).drop("blocks")
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"question": pdf["question"].iloc[:1], "block": pdf["block"].iloc[:1], "codes": [pdf["code"].tolist()], "rows": [np.stack(pdf["v"].to_numpy()).astype("<f8").tobytes()]})
+
+    kind = {f.name: f.dataType.simpleString() for f in own.schema}
+    blocks = dealt.groupBy("question", "block", F.size("v").alias("dim")).applyInPandas(pack, f"question {kind['question']}, block long, codes array<{kind['code']}>, rows binary")
+    other = blocks.select("question", F.col("block").alias("block_b"), F.col("codes").alias("codes_b"), F.col("rows").alias("rows_b"))
+
+    def unit(raw: bytes, n: int) -> np.ndarray:
+        m = np.frombuffer(raw, "<f8").reshape(n, -1)
+        size = np.sqrt((m * m).sum(axis=1, keepdims=True))
+        return np.divide(m, size, out=np.zeros_like(m), where=size > 0)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                x, y = unit(r["rows"], len(r["codes"])), unit(r["rows_b"], len(r["codes_b"]))
+                if x.shape[1] != y.shape[1]:
+                    continue
+                i, j = np.nonzero(x @ y.T > limit)
+                found = {tuple(sorted((r["codes"][p], r["codes_b"][q]))) for p, q in zip(i.tolist(), j.tolist()) if r["block"] != r["block_b"] or p < q}
+                a, b = zip(*found) if found else ((), ())
+                yield pa.RecordBatch.from_arrays([pa.array([r["question"]] * len(a), batch.schema.field("question").type), *(pa.array(c, batch.schema.field("codes").type.value_type) for c in (a, b))], ["question", "a", "b"])
+
+    return blocks.join(other, "question").filter("block <= block_b").mapInArrow(meet, f"question {kind['question']}, a {kind['code']}, b {kind['code']}")
+
+
+def lint(points: DataFrame, questions: DataFrame, verbs: Sequence[str] = VERBS) -> DataFrame:
+    """(rule, severity, question, code) for points (question, code, statement, marks, exemplars, group_id, group_max, requires, vector) and questions (question, max_marks).
+
+    ``code`` names the point, the group for GROUP_CAP, both points for ALIKE, nothing for rules on a question. Without a column
+    ``vector`` no points are compared.
+    """
     key = lambda df, rule, level, code="code": df.select(F.lit(rule).alias("rule"), F.lit(level).alias("severity"), "question", (F.col(code) if code else F.lit(None)).cast("string").alias("code"))
     sums = points.groupBy("question").agg(F.sum("marks").alias("total"), F.count("*").alias("n"))
     joined = questions.join(sums, "question", "left")
     codes = points.select("question", F.col("code").alias("requires")).distinct()
     groups = points.filter("group_id is not null").groupBy("question", "group_id").agg(F.count("*").alias("size"), F.max("group_max").alias("cap"))
+    s = F.col("statement")
+    broken = key(points.filter("requires is not null").join(codes, ["question", "requires"], "left_anti"), "REQUIRES", "BLOCK").unionByName(key(cycles(points), "REQUIRES", "BLOCK"))
     found = [
-        key(joined.filter("total is null"), "NO_POINTS", "BLOCK", None),
-        key(joined.filter("total < max_marks"), "SUM_BELOW_MAXIMUM", "BLOCK", None),
-        key(points.groupBy("question", "code").count().filter("count > 1"), "CODE_TWICE", "BLOCK"),
-        key(points.filter("marks is null or marks <= 0"), "MARKS_NOT_POSITIVE", "BLOCK"),
-        key(points.filter("statement is null or trim(statement) = ''"), "NO_STATEMENT", "BLOCK"),
-        key(points.filter("requires is not null").join(codes, ["question", "requires"], "left_anti"), "REQUIRES_UNKNOWN", "BLOCK"),
-        key(cycles(points), "REQUIRES_CYCLE", "BLOCK"),
-        key(groups.filter("cap is null or cap < 1 or cap > size"), "GROUP_CAP", "BLOCK", "group_id"),
-        key(points.filter("exemplars is null or size(exemplars) = 0"), "NO_EXEMPLAR", "WARN"),
-        key(points.filter("length(statement) > 300"), "LONG_STATEMENT", "WARN"),
-        key(joined.filter("total > 2 * max_marks"), "SUM_FAR_ABOVE_MAXIMUM", "WARN", None),
+        key(points.filter(conjoined(s, verbs)), "CONJOINED", "BLOCK"),
+        key(points.filter(~declarative(s, verbs)), "NOT_DECLARATIVE", "BLOCK"),
+        key(points.filter(words(s) > MOST_WORDS), "TOO_LONG", "BLOCK"),
+        key(points.filter(F.coalesce(F.size("exemplars"), F.lit(0)) < LEAST_EXEMPLARS), "FEW_EXEMPLARS", "BLOCK"),
+        key(joined.filter(F.coalesce("total", F.lit(0.0)) != F.col("max_marks")), "MARKS_SUM", "BLOCK", None),
+        broken,
+        key(groups.filter("cap > size"), "GROUP_CAP", "BLOCK", "group_id"),
+        key(points.filter(F.lower(s).rlike(NEGATION)), "NEGATION", "WARN"),
+        key(points.join(questions, "question").filter(F.col("marks") > F.col("max_marks") * HEAVY), "HEAVY_POINT", "WARN"),
+        key(joined.filter((F.col("max_marks") > COARSE_MARKS) & (F.coalesce("n", F.lit(0)) < COARSE_POINTS)), "COARSE", "WARN", None),
     ]
+    if "vector" in points.columns:
+        found.append(key(alike(points).withColumn("code", F.concat_ws(" ", "a", "b")), "ALIKE", "BLOCK"))
     return reduce(DataFrame.unionByName, found)
 
 
+def freezable(found: DataFrame, questions: DataFrame) -> DataFrame:
+    """Questions that no blocking rule holds back."""
+    return questions.join(found.filter("severity = 'BLOCK'").select("question").distinct(), "question", "left_anti")
+
+
 def cycles(points: DataFrame) -> DataFrame:
     """(question, code) of points that require themselves over any number of steps.
 

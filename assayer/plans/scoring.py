@@ -147,21 +147,12 @@ def page_confidence(spark, sf_dir):
     return lines.groupBy("day").agg(F.round(stats.page_confidence(F.col("c")), 6).alias("confidence"), F.count("*").alias("n"))
 
 
-def overall_routing(spark, sf_dir):
-    from assayer.operators import rules
-
-    li = table(spark, sf_dir, "lineitem")
-    overall = stats.overall_confidence(1 - F.col("l_discount"), 1 - F.col("l_tax"), F.col("l_quantity") / 50 + 0.4, F.lit(0.97))
-    rows = li.select(overall.alias("overall"), (1 - F.col("l_tax") * 4).alias("ocr"), (F.col("l_returnflag") == "R").alias("odd"))
-    return rows.groupBy(rules.route(F.col("ocr"), F.col("overall"), F.col("odd") & (F.col("overall") < 0.75)).alias("route")).agg(F.count("*").alias("n"), F.round(F.min("overall"), 6).alias("least"))
-
-
 def semantic_confidence(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
     return li.groupBy("l_suppkey").agg(F.round(stats.semantic_confidence(1 - F.col("l_discount"), 1 - F.col("l_tax"), F.col("l_returnflag") == "N", F.col("l_tax")), 6).alias("confidence"))
 
 
-QUERIES = {f.__name__: f for f in (cer_by_role, wer_by_role, word_mismatches, qwk_labels, qwk_by_flag, agreement_stats, confusion_matrix, score_lines, score_words, legible_lines, score_marks, golden_summary, golden_duplicates, mark_violations, routing_quality, line_confidence, page_confidence, overall_routing, semantic_confidence)}
+QUERIES = {f.__name__: f for f in (cer_by_role, wer_by_role, word_mismatches, qwk_labels, qwk_by_flag, agreement_stats, confusion_matrix, score_lines, score_words, legible_lines, score_marks, golden_summary, golden_duplicates, mark_violations, routing_quality, line_confidence, page_confidence, semantic_confidence)}
 _LINE = "coalesce(least(greatest(least(avg({v}), 1 - 2 * coalesce(stddev_samp({v}), 0.0)), 0.0), 1.0), 0.0)"
 SQL = {
     "cer_by_role": f"""WITH {_TURNS}, {_CODED}, s AS (SELECT role, count(*) AS n, sum(e)::BIGINT AS errors, sum(length(ref))::BIGINT AS length FROM coded GROUP BY role)
@@ -186,7 +177,5 @@ SELECT *, kappa_system >= kappa_markers AS at_parity, CASE WHEN kappa_system >=
   round(count(*) FILTER (toxic > 0 AND quality > 0) / nullif(count(*) FILTER (quality > 0), 0), 6) AS precision, round(count(*) FILTER (quality > 0 AND toxic > 0) / nullif(count(*) FILTER (toxic > 0), 0), 6) AS recall FROM labels GROUP BY quality""",
     "line_confidence": f"SELECT user_id, count(*) AS n, round({_LINE.format(v='value / 500')}, 6) AS confidence FROM events GROUP BY user_id",
     "page_confidence": f"SELECT day, round(least(greatest(avg(c), 0.0), 1.0), 6) AS confidence, count(*) AS n FROM (SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, {_LINE.format(v='value / 500')} AS c FROM events GROUP BY ALL) GROUP BY day",
-    "overall_routing": """WITH r AS (SELECT least(1 - l_discount, 1 - l_tax, l_quantity / 50 + 0.4::DOUBLE, 0.97::DOUBLE) AS overall, 1 - l_tax * 4 AS ocr, l_returnflag = 'R' AS odd FROM lineitem)
-SELECT CASE WHEN (odd AND overall < 0.75::DOUBLE) OR ocr < 0.70::DOUBLE OR overall < 0.70::DOUBLE THEN 'MANUAL_ONLY' WHEN overall < 0.90::DOUBLE THEN 'FULL_REVIEW' ELSE 'SUGGEST' END AS route, count(*) AS n, round(min(overall), 6) AS least FROM r GROUP BY 1""",
     "semantic_confidence": "SELECT l_suppkey, round(0.45::DOUBLE * avg(1 - l_discount) + 0.30::DOUBLE * avg(1 - l_tax) + 0.15::DOUBLE * (1 - avg((l_returnflag = 'N')::INT)) + 0.10::DOUBLE * (1 - max(l_tax)), 6) AS confidence FROM lineitem GROUP BY 1",
 }

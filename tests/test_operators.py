@@ -130,14 +130,69 @@ def test_rules(spark):
     rows = [(1, 1, "a", 2.0, "ENTAILED", 0.9, None, None, None, 0.0), (1, 1, "b", 2.0, "ENTAILED", 0.5, None, None, None, 0.0), (1, 1, "c", 1.5, "PARTIAL", 0.9, None, None, "b", 0.0), (1, 1, "d", 1.0, "ENTAILED", 0.85, 7, 1, None, 0.0), (1, 1, "e", 1.0, "ENTAILED", 0.95, 7, 1, None, 0.0), (1, 1, "f", 1.0, "ENTAILED", 0.95, None, None, "c", 0.0)]
     points = rules.group_caps(rules.dependencies(rules.awards(spark.createDataFrame(rows, cols))))
     got = {r.code: (r.rule, r.marks) for r in points.collect()}
-    assert got == {"a": ("R-AWARD", 2.0), "b": ("R-LOW-CONFIDENCE", 0.0), "c": ("R-DEPENDENCY", 0.0), "d": ("R-GROUP-CAP", 0.0), "e": ("R-AWARD", 1.0), "f": ("R-DEPENDENCY", 0.0)}
+    assert got == {"a": ("R-ENTAIL-FULL", 2.0), "b": ("R-ENTAIL-WITHHELD", 0.0), "c": ("R-DEPENDENCY", 0.0), "d": ("R-GROUP-CAP", 0.0), "e": ("R-ENTAIL-FULL", 1.0), "f": ("R-DEPENDENCY", 0.0)}
     assert rules.question_scores(points).first().marks == 3.0
 
 
 def test_rubric(spark):
-    points = spark.createDataFrame([("q", "a", "s", 1.0, ["x"], None, None, "b"), ("q", "b", "s", 1.0, [], None, None, "a"), ("q", "c", " ", 0.0, ["x"], 1, 5, "z")], "question string, code string, statement string, marks double, exemplars array<string>, group_id int, group_max int, requires string")
-    found = {(r.rule, r.code) for r in rubric.lint(points, spark.createDataFrame([("q", 5.0), ("empty", 1.0)], "question string, max_marks double")).collect()}
-    assert found == {("NO_POINTS", None), ("SUM_BELOW_MAXIMUM", None), ("MARKS_NOT_POSITIVE", "c"), ("NO_STATEMENT", "c"), ("REQUIRES_UNKNOWN", "c"), ("REQUIRES_CYCLE", "a"), ("REQUIRES_CYCLE", "b"), ("GROUP_CAP", "1"), ("NO_EXEMPLAR", "b")}
+    long = "It is " + "very " * 29
+    rows = [
+        ("q", "a", "The lock is held and the queue increases", 1.0, ["x", "y"], None, None, "b", [1.0, 0.0]), ("q", "b", "The lock is held and counted", 1.0, ["x", "y"], None, None, "a", [2.0, 0.1]), ("q", "c", "A mutex", 1.0, ["x"], 1, 2, "z", None),
+        ("q", "d", "Which lock is held", 1.0, ["x", "y"], 2, 1, None, [0.0, 1.0]), ("q", "e", "The lock is never held", 5.0, ["x", "y"], None, None, "e", [0.0, 0.0]), ("q", "f", long, 1.0, None, None, None, None, [1.0, 2.0]), ("fine", "a", "The lock is held", 1.0, ["x", "y"], None, None, None, [1.0, 0.0]),
+        ("fine", "b", "The lock and the queue are kept", 1.0, ["x", "y"], None, None, "a", [0.0, 1.0]), ("fine", "c", "It is kept", 1.0, ["x", "y"], None, None, "b", None),
+    ]
+    points = spark.createDataFrame(rows, "question string, code string, statement string, marks double, exemplars array<string>, group_id int, group_max int, requires string, vector array<double>")
+    questions = spark.createDataFrame([("q", 11.0), ("empty", 16.0), ("fine", 3.0)], "question string, max_marks double")
+    found = rubric.lint(points, questions)
+    want = {("CONJOINED", "q", "a"), ("REQUIRES", "q", "a"), ("REQUIRES", "q", "b"), ("REQUIRES", "q", "c"), ("REQUIRES", "q", "e"), ("ALIKE", "q", "a b"), ("NOT_DECLARATIVE", "q", "c"), ("NOT_DECLARATIVE", "q", "d"), ("FEW_EXEMPLARS", "q", "c"), ("FEW_EXEMPLARS", "q", "f"), ("GROUP_CAP", "q", "1"), ("NEGATION", "q", "e"), ("HEAVY_POINT", "q", "e"), ("TOO_LONG", "q", "f"), ("MARKS_SUM", "q", None), ("MARKS_SUM", "empty", None), ("COARSE", "empty", None)}
+    assert {(r.rule, r.question, r.code) for r in found.collect()} == want
+    assert [r.question for r in rubric.freezable(found, questions).collect()] == ["fine"]
+
+
+def test_alike_points_in_blocks_against_all_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(6, 5))
+    rows = [(i % 2, i, (centres[i % 6] + rng.normal(scale=0.3, size=5)).tolist()) for i in range(120)]
+    monkeypatch.setattr(rubric, "BLOCK_ROWS", 7)
+    got = {(r.a, r.b) for r in rubric.alike(spark.createDataFrame(rows, "question int, code int, vector array<double>")).collect()}
+    cosine = lambda x, y: np.dot(x, y) / np.linalg.norm(x) / np.linalg.norm(y)
+    assert got == {(a, b) for (q, a, x), (r, b, y) in itertools.combinations(rows, 2) if q == r and cosine(x, y) > 0.9} and got
+
+
+def test_answer_types(spark):
+    rows = [("g = 9.81 m/s^2", "MATCH"), ("Q2: 9.8 m/s²", "MATCH"), ("9.81 m / s^2", "UNIT"), ("981 cm/s^2", "UNIT"), ("9.81", "UNIT"), ("0.981e1 m/s^2.", "MATCH"), ("-9.81 m/s^2", "VALUE"), ("1.2e3 m/s^2", "VALUE"), ("7 m/s^2, no: 9.81 m/s^2 (2 of 3)", "MATCH"), ("see Q2", "ABSENT"), ("", "ABSENT"), (None, "ABSENT")]
+    df = spark.createDataFrame(rows, "answer string, want string")
+    got = df.select("answer", "want", rules.numeric_match(F.col("answer"), F.lit(9.81), F.lit("m/s^2"), F.lit(0.02))["rule"].alias("rule")).collect()
+    assert [(r.answer, r.rule) for r in got] == [(r.answer, f"R-NUMERIC-{r.want}") for r in got]
+    rows = [("bat", ["cat"], "NONE"), (" Dead  LOCK", ["dead lock"], "EXACT"), ("deadlook", ["deadlock"], "NEAR"), ("deadlog", ["deadlock"], "NONE"), ("affact it", ["affect it", "effect it"], "NEAR"), ("offect it", ["affect it", "effect it"], "AMBIGUOUS"), ("effect it", ["affect it", "effect it"], "EXACT"), ("mutual exclusoin", ["mutual exclusion"], "NEAR")]
+    df = spark.createDataFrame(rows, "answer string, accepted array<string>, want string")
+    got = df.select("answer", "want", rules.short_match(F.col("answer"), F.col("accepted"))["rule"].alias("rule")).collect()
+    assert [(r.answer, r.rule) for r in got] == [(r.answer, f"R-SHORT-{r.want}") for r in got]
+
+
+def test_routes(spark):
+    rows = [(0.9, 0.9, None, None, None, None, None, 0.85), (0.84, 0.9, False, False, False, False, False, 0.85), (0.84, 0.9, False, False, False, False, False, 0.1), (0.79, 0.9, False, False, False, False, False, 0.1), (0.69, 0.9, None, None, None, None, None, 0.1), (0.9, 0.69, None, None, None, None, None, 0.85), (None, 0.9, None, None, None, None, None, 0.85)]
+    rows += [(0.9, 0.9, *(i == k for i in range(5)), 0.85) for k in range(5)]
+    df = spark.createDataFrame(rows, "overall double, ocr double, unverifiable boolean, degraded boolean, unmatched boolean, withheld boolean, contradicted boolean, auto double")
+    got = [r.r for r in df.select(rules.route(*map(F.col, df.columns)).alias("r")).collect()]
+    assert got == ["AUTO_SUGGEST", "MANUAL_REVIEW", "AUTO_SUGGEST", "MANUAL_REVIEW", "MANUAL_ONLY", "MANUAL_ONLY", "MANUAL_ONLY", "MANUAL_ONLY", "MANUAL_ONLY", "MANUAL_ONLY", "MANUAL_REVIEW", "MANUAL_REVIEW"]
+
+
+def test_trace_of_every_phase(spark):
+    cols = "script int, question int, code string, max_marks double, verdict string, confidence double, group_id string, group_max int, requires string, negative double, question_max double"
+    rows = [(1, 1, "a", 2.0, "ENTAILED", 0.91, None, None, None, 0.0, 4.0), (1, 1, "b", 1.0, "PARTIAL", 0.74, None, None, "a", 0.0, 4.0), (1, 1, "c", 1.0, "ENTAILED", 0.6, None, None, None, 0.0, 4.0), (1, 1, "d", 1.0, "ENTAILED", 0.9, None, None, "c", 0.0, 4.0)]
+    rows += [(1, 1, f"g{i}", 1.0, "ENTAILED", 0.8 + i / 100, "G1", 2, None, 0.0, 4.0) for i in range(3)] + [(2, 1, "n", 1.0, "CONTRADICTED", 0.9, None, None, None, 0.75, 4.0)]
+    points = rules.group_caps(rules.dependencies(rules.awards(spark.createDataFrame(rows, cols), penalise=True)))
+    found = {r.script: r for r in rules.decision_trace(points).collect()}
+    steps = [(t.step, t.phase, t.rule, t.point, t.grp, t.awarded, t.cap, t.dropped, t.before, t.after) for t in found[1].trace]
+    first = [("a", "R-ENTAIL-FULL", 2.0), ("b", "R-PARTIAL-HALF", 0.5), ("c", "R-ENTAIL-WITHHELD", 0.0), ("d", "R-ENTAIL-FULL", 1.0), ("g0", "R-ENTAIL-FULL", 1.0), ("g1", "R-ENTAIL-FULL", 1.0), ("g2", "R-ENTAIL-FULL", 1.0)]
+    want = [(i + 1, 1, rule, p, None, None, None, None, None, after) for i, (p, rule, after) in enumerate(first)]
+    want += [(8, 2, "R-DEPENDENCY", "d", None, None, None, None, 1.0, 0.0), (9, 3, "R-GROUP-CAP", None, "G1", 3, 2.0, ["g0"], None, None), (10, 4, "R-QUESTION-CAP", None, None, None, 4.0, None, 4.5, 4.0), (11, 4, "R-ROUNDING", None, None, None, None, None, 4.0, 4.0)]
+    assert steps == want
+    assert found[1].caps == ["GROUP_G1_MAX_2_AWARDS"] and [tuple(w) for w in found[1].withheld] == [("c", "CONFIDENCE_BELOW_FLOOR", 1.0)]
+    assert [(t.rule, t.before, t.after) for t in found[2].trace[1:]] == [("R-QUESTION-CAP", -0.75, -0.75), ("R-NEGATIVE-FLOOR", -0.75, 0.0), ("R-ROUNDING", 0.0, 0.0)]
+    sure = {r.script: round(r.confidence, 6) for r in rules.question_scores(points).collect()}
+    assert sure == {1: round(1 - 1 / 7 - 0.05, 6), 2: 0.9}
 
 
 def test_near_misses_against_all_pairs(spark):

@@ -139,7 +139,7 @@ def points(spark, rows):
 
 def test_question_caps_and_rounding(spark):
     """Any two of four: the points' maxima sum to 8, the question has 3; 0.75 rounds half-up once; a penalty may be kept."""
-    rows = [(1, 1, c, 2.0, "R-AWARD", 2.0, 3.0, None) for c in "abc"] + [(2, 1, c, 1.0, "R-AWARD", 0.25, 3.0, None) for c in "abc"] + [(3, 1, "a", 1.0, "R-PENALTY", -0.75, 3.0, None)]
+    rows = [(1, 1, c, 2.0, "R-ENTAIL-FULL", 2.0, 3.0, None) for c in "abc"] + [(2, 1, c, 1.0, "R-ENTAIL-FULL", 0.25, 3.0, None) for c in "abc"] + [(3, 1, "a", 1.0, "R-CONTRADICTION-PENALTY", -0.75, 3.0, None)]
     got = {r.script: (r.raw, r.marks) for r in rules.question_scores(points(spark, rows)).collect()}
     assert got == {1: (6.0, 3.0), 2: (0.75, 1.0), 3: (-0.75, 0.0)}
     assert {r.script: r.marks for r in rules.question_scores(points(spark, rows), negative_allowed=True).collect()}[3] == -1.0
@@ -147,10 +147,10 @@ def test_question_caps_and_rounding(spark):
 
 
 def test_chains_and_cycles_of_any_length(spark):
-    chain = [(1, 1, f"c{i}", 1.0, "R-AWARD", float(i != 1), 9.0, f"c{i - 1}" if i > 1 else None) for i in range(1, 14)]
-    loop = [(1, 2, f"d{i}", 1.0, "R-AWARD", 1.0, 9.0, f"d{i % 3}") for i in range(3)] + [(1, 2, "e", 1.0, "R-AWARD", 1.0, 9.0, "none")]
+    chain = [(1, 1, f"c{i}", 1.0, "R-ENTAIL-FULL", float(i != 1), 9.0, f"c{i - 1}" if i > 1 else None) for i in range(1, 14)]
+    loop = [(1, 2, f"d{i}", 1.0, "R-ENTAIL-FULL", 1.0, 9.0, f"d{i % 3}") for i in range(3)] + [(1, 2, "e", 1.0, "R-ENTAIL-FULL", 1.0, 9.0, "none")]
     got = {r.code: (r.rule, r.marks) for r in rules.dependencies(points(spark, chain + loop)).collect()}
-    assert got == {f"c{i}": ("R-DEPENDENCY" if i > 1 else "R-AWARD", 0.0) for i in range(1, 14)} | {f"d{i}": ("R-AWARD", 1.0) for i in range(3)} | {"e": ("R-DEPENDENCY", 0.0)}
+    assert got == {f"c{i}": ("R-DEPENDENCY" if i > 1 else "R-ENTAIL-FULL", 0.0) for i in range(1, 14)} | {f"d{i}": ("R-ENTAIL-FULL", 1.0) for i in range(3)} | {"e": ("R-DEPENDENCY", 0.0)}
     edges = [("q", f"a{i}", f"a{(i + 1) % 11}") for i in range(11)] + [("q", "t", "a0"), ("r", "a0", "a1")]
     found = rubric.cycles(spark.createDataFrame(edges, "question string, code string, requires string")).collect()
     assert {(r.question, r.code) for r in found} == {("q", f"a{i}") for i in range(11)}
