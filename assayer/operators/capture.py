@@ -86,3 +86,23 @@ def ingest(markers: Column, reasons: Column, payload: Column, conflict: Column,
         F.when(rejected, "QUALITY_REJECTED").otherwise("OCR_RUNNING").alias("next_state"),
         (~rejected & (page_no == 1)).alias("redacted"),
     )
+
+
+#: What the pixel gate rejects and warns of.
+PIXEL_GATE = {"sharpness": (0.35, 0.55), "exposure": (0.60, 0.80), "contrast": (0.25, 0.40), "dpi": (150.0, 200.0)}
+PIXEL_GLARE, PIXEL_SKEW, BLANK, PROCEED, DEGRADED = (0.06, 0.02), (5.0, 2.0), 0.005, 0.70, 0.50
+
+
+def pixel_reasons(m: Column) -> Column:
+    """Codes of what the measures (sharpness, exposure, contrast, glare, dpi, skew, ink) show; null measures reject."""
+    below = [F.when(F.coalesce(m[n] < reject, F.lit(True)), f"R_{n.upper()}").when(m[n] < warn, f"W_{n.upper()}") for n, (reject, warn) in PIXEL_GATE.items()]
+    above = [F.when(F.coalesce(v > reject, F.lit(True)), f"R_{n}").when(v > warn, f"W_{n}") for n, v, (reject, warn) in (("GLARE", m["glare"], PIXEL_GLARE), ("SKEW", F.abs(m["skew"]), PIXEL_SKEW))]
+    return F.array_compact(F.array(*below, *above, F.when(m["ink"] < BLANK, "W_BLANK_PAGE")))
+
+
+def pixel_gate(m: Column) -> Column:
+    """(overall, reasons, band): PROCEED, IMAGE_DEGRADED (which holds later routing at a review) or REJECT."""
+    overall = composite(m["sharpness"], m["contrast"], m["exposure"], m["glare"])
+    reasons = pixel_reasons(m)
+    band = F.when(F.exists(reasons, lambda r: r.startswith("R_")) | F.coalesce(overall < DEGRADED, F.lit(True)), "REJECT").when(overall < PROCEED, "IMAGE_DEGRADED").otherwise("PROCEED")
+    return F.struct(overall.alias("overall"), reasons.alias("reasons"), band.alias("band"))
