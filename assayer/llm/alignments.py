@@ -25,7 +25,7 @@ import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import accumulate, chain
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,9 +39,9 @@ from assayer.llm.places import kept
 
 CUT = re.compile(r"(?<=\S)(?=\x20)")
 #: Distinct stretches, and their links, that a worker remembers between batches.
-CACHE_WORDS, CACHE_LINKS = 250_000, 4_000_000
+CACHE_WORDS, CACHE_LINKS = 500_000, 8_000_000
 #: Stretches that are encoded at once.
-CHUNK = 4096
+CHUNK = 16384
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -72,6 +72,8 @@ class Aligner:
         same = {t: i for i, t in reversed(list(enumerate(self.bytes_b))) if t}
         #: The identity map: A id to the least B id of the same bytes, -1 if there is none.
         self.same = np.array([same.get(t, -1) if t else -1 for t in self.bytes_a], np.int64)
+        self.length_a, self.length_b = (np.array(list(map(len, x)), np.int64) for x in (self.bytes_a, self.bytes_b))
+        self.decimal = list(map(str, range(max(self.size_a, self.size_b))))
         self.clear()
 
     def clear(self) -> None:
@@ -80,49 +82,70 @@ class Aligner:
         self.groups: list[str] = []
         self.links, self.start, self.used = np.zeros(1 << 16, np.int64), np.zeros(1 << 14, np.int64), 0
 
+    def encode_a(self, stretches: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """A's ids of all stretches, one after the other, and how many each has: encoded together, as tokens end where a stretch does.
+
+        What ends in white space, or doesn't come back byte by byte, is encoded by itself.
+        """
+        sizes = np.array([len(s.encode()) for s in stretches])
+        if not any(s[-1].isspace() for s in stretches[:-1]):
+            ids = np.array(self.a.encode("".join(stretches), add_special_tokens=False).ids, np.int64)
+            ends, wanted = np.cumsum(self.length_a[ids]), np.cumsum(sizes)
+            at = np.searchsorted(ends, wanted)
+            if len(ends) and ends[-1] == wanted[-1] and (ends[at] == wanted).all():
+                return ids, np.diff(np.r_[-1, at])
+        found = [e.ids for e in self.a.encode_batch(stretches, add_special_tokens=False)]
+        return np.array(list(chain.from_iterable(found)), np.int64), np.array(list(map(len, found)))
+
     def learn(self, stretches: list[str]) -> None:
         """Align stretches, none of which was met before."""
         cut = self.b.words.findall
+        stretches = sorted(stretches, key=lambda s: s[-1].isspace())
         for at in range(0, len(stretches), CHUNK):
             own = stretches[at : at + CHUNK]
-            ids_a = [e.ids for e in self.a.encode_batch(own, add_special_tokens=False)]
+            flat_a, count_a = self.encode_a(own)
             words = [cut(s.replace(" ", SPACE)) for s in own]
-            flat, counts = self.b.merge(list(chain.from_iterable(words)))
-            ends = np.r_[0, np.cumsum(counts)][np.cumsum(list(map(len, words)))].tolist()
-            flat = flat.tolist()
-            self.remember(own, [self.aligned(s.encode(), a, flat[lo:hi]) for s, a, lo, hi in zip(own, ids_a, [0, *ends], ends)])
-
-    def aligned(self, raw: bytes, own: list[int], other: list[int]) -> tuple[tuple[int, ...], str, list[int]]:
-        """Numbers, groups as text, and links as numbers: A id times B's vocabulary, plus B id."""
-        tokens_a, tokens_b = [self.bytes_a[i] for i in own], [self.bytes_b[i] for i in other]
-        if b"".join(tokens_a) != raw or b"".join(tokens_b) != raw:
-            return (0, 0, 0, 0, 0), "", []
-        ends_a, ends_b = list(accumulate(map(len, tokens_a))), list(accumulate(map(len, tokens_b)))
-        groups, links = [], []
-        i = j = first = second = 0
-        while i < len(own) and j < len(other):
-            links.append(own[i] * self.size_b + other[j])
-            ahead = ends_a[i] - ends_b[j]
-            i, j = i + (ahead <= 0), j + (ahead >= 0)
-            if not ahead:
-                groups.append(f"{','.join(map(str, own[first:i]))}|{','.join(map(str, other[second:j]))}")
-                first, second = i, j
-        return (len(own), len(other), len(groups), len(links), 1), ";".join(groups), links
-
-    def remember(self, stretches: list[str], found: list[tuple[tuple[int, ...], str, list[int]]]) -> None:
+            flat_b, counts = self.b.merge(list(chain.from_iterable(words)))
+            count_b = np.diff(np.r_[0, np.r_[0, np.cumsum(counts)][np.cumsum(list(map(len, words)))]])
+            self.remember(own, flat_a, count_a, flat_b.astype(np.int64), count_b)
+
+    def spelt(self, raw: list[bytes], tokens: list[bytes], lengths: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """For each stretch, whether its tokens' bytes are its own."""
+        if b"".join(map(tokens.__getitem__, ids.tolist())) == b"".join(raw):
+            ends = np.r_[0, np.cumsum(lengths[ids])][np.cumsum(counts)]
+            if (np.diff(np.r_[0, ends]) == list(map(len, raw))).all():
+                return np.ones(len(raw), bool)
+        ends = np.cumsum(counts).tolist()
+        return np.array([b"".join(map(tokens.__getitem__, ids[e - n : e].tolist())) == r for r, e, n in zip(raw, ends, counts.tolist())])
+
+    def remember(self, stretches: list[str], a: np.ndarray, count_a: np.ndarray, b: np.ndarray, count_b: np.ndarray) -> None:
+        """Links and groups of all stretches at once: between two ends of tokens, of A or B, lies one link."""
+        raw = [s.encode() for s in stretches]
+        good = self.spelt(raw, self.bytes_a, self.length_a, a, count_a) & self.spelt(raw, self.bytes_b, self.length_b, b, count_b)
+        a, b = a[np.repeat(good, count_a)], b[np.repeat(good, count_b)]
+        ends = np.cumsum(np.where(good, list(map(len, raw)), 0))
+        ends_a, ends_b = np.cumsum(self.length_a[a]), np.cumsum(self.length_b[b])
+        cuts = np.union1d(ends_a, ends_b)
+        at_a, at_b = np.searchsorted(ends_a, cuts), np.searchsorted(ends_b, cuts)
+        links = a[at_a] * self.size_b + b[at_b]
+        common = (ends_a[at_a] == cuts) & (ends_b[at_b] == cuts) if len(cuts) else np.zeros(0, bool)
+        last_a, last_b = at_a[common] + 1, at_b[common] + 1
+        first_a, first_b = np.r_[0, last_a[:-1]], np.r_[0, last_b[:-1]]
+        names_a, names_b = list(map(self.decimal.__getitem__, a.tolist())), list(map(self.decimal.__getitem__, b.tolist()))
+        texts = [names_a[i] + "|" + names_b[k] if j == i + 1 and m == k + 1 else ",".join(names_a[i:j]) + "|" + ",".join(names_b[k:m]) for i, j, k, m in zip(first_a.tolist(), last_a.tolist(), first_b.tolist(), last_b.tolist())]
+        n_links, until = (np.diff(np.r_[0, np.searchsorted(x, ends, side="right")]) for x in (cuts, cuts[common]))
+        stop = np.cumsum(until).tolist()
+        self.groups += [";".join(texts[e - n : e]) for e, n in zip(stop, until.tolist())]
         n, base = len(self.index), self.used
-        numbers, groups, links = zip(*found)
-        sizes = np.array(list(map(len, links)))
-        self.used += int(sizes.sum())
-        while n + len(found) > len(self.numbers):
+        self.used += len(links)
+        while n + len(stretches) > len(self.numbers):
             self.numbers, self.start = (np.concatenate([x, np.zeros_like(x)]) for x in (self.numbers, self.start))
         while self.used > len(self.links):
             self.links = np.concatenate([self.links, np.zeros_like(self.links)])
-        self.numbers[n : n + len(found)] = numbers
-        self.links[base : self.used] = list(chain.from_iterable(links))
-        self.start[n : n + len(found)] = base + np.cumsum(sizes) - sizes
-        self.groups += groups
-        self.index.update(zip(stretches, range(n, n + len(found))))
+        self.numbers[n : n + len(stretches)] = np.c_[count_a, count_b, until, n_links, good]
+        self.links[base : self.used] = links
+        self.start[n : n + len(stretches)] = base + np.cumsum(n_links) - n_links
+        self.index.update(zip(stretches, range(n, n + len(stretches))))
 
     def align_all(self, texts: list[str | None]) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray]:
         """Numbers (A ids, B ids, groups, links) and digests of all texts; (text, link) keys and how often each occurs."""
@@ -224,10 +247,11 @@ def counted(rows: DataFrame, size_a: int, size_b: int) -> DataFrame:
     kind = rows.schema["doc_id"].dataType.simpleString()
     regular = rows.select(*PLAIN, "same", "same_times").mapInArrow(summed, f"row long, doc_id {kind}, {', '.join(ALIGNED.split(', ')[:5])}, same_best long, same_sum long")
     links = rows.select("row", F.explode(F.arrays_zip("pairs", "pair_times")).alias("x")).select("row", F.col("x.pairs").alias("pair"), F.col("x.pair_times").cast("long").alias("times"))
-    met = links.join(pairs.mapInArrow(rated, "pair long, n long, top long"), "pair")
+    # Both joins are of tables that grow with the input: sorted at every size, and split where a pair is hot.
+    met = links.join(pairs.mapInArrow(rated, "pair long, n long, top long").hint("merge"), "pair")
     irregular = met.groupBy("row").agg(F.sum(F.col("times") * F.col("top")).alias("pair_best"), F.sum(F.col("times") * F.col("n")).alias("pair_sum"))
     total = lambda x: (F.col(f"same_{x}") + F.coalesce(f"pair_{x}", F.lit(0))).cast("long")
-    whole = regular.join(irregular, "row", "left")
+    whole = regular.join(irregular.hint("merge"), "row", "left")
     return whole.select("doc_id", "n_a", "n_b", "n_groups", "n_links", total("best").alias("n_best"), total("sum").alias("count_sum"), "groups_sha256")
 
 
