@@ -9,7 +9,7 @@ at the similarity of 0.8, five rows and 40 bands miss a pair with a chance of ab
 Copies first fall into classes of equal sets. In a band's bucket the member with the most bucket-mates is
 the centre; every other member is compared with it, on the full sets. Components of these links leave some
 buckets with members in several components: there, and only there, members of different components meet again by
-the rarest shingles that they share, as many as exact bounds ask for, and what meets is compared on the full sets. A bucket
+prefixes of their sets in the order of rarity, as long as exact bounds ask for, and what meets is compared on the full sets. A bucket
 never becomes all its pairs, and no pair of candidates that could join two components is left out.
 
 Null and empty texts, and texts without words, have empty sets and are linked with nothing. A text with
@@ -163,55 +163,35 @@ def close_in_size(x: str, y: str, percent: int):
     return (F.col(x) * 100 >= F.col(y) * percent) & (F.col(y) * 100 >= F.col(x) * percent)
 
 
-def measured(around: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``common`` with the centre, ``own`` members that the centre lacks, whether the two are linked, and ``direct``.
-
-    A set that is no link of the centre is ``direct`` if what it shares with the centre may alone make it similar to another.
-    """
-    centre = sets.select(F.col("id").alias("centre"), F.col("n").alias("n_centre"), F.col("members").alias("members_centre"))
-    both = around.join(centre, "centre").join(sets.select("id", "members"), "id").withColumn("own", F.array_except("members", "members_centre"))
-    both = both.withColumn("common", F.col("n") - F.size("own"))
-    both = both.withColumn("linked", F.col("common") * 100 >= (F.col("n") + F.col("n_centre") - F.col("common")) * percent)
-    return both.select("centre", "id", "n", "component", "common", "own", "linked", (~F.col("linked") & (F.col("common") >= F.ceil(F.col("n") * percent / 100))).alias("direct"))
-
-
 def across(around: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b): pairs of different components around a centre that may be similar enough, by exact bounds.
 
-    Such a pair needs a common part of ``least`` members. At most the smaller of their parts in common with the
-    centre lies inside it. Where that is less than ``least``, they share members that the centre lacks, which
-    are rare: pairs meet by these. Where it isn't, one of the two is ``direct``: pairs meet by steps of size. Two links
-    of the centre are of one component. What only one component has, or only links have, falls away before anything meets.
+    Sizes n and m need ``least`` = (n + m) * percent / (100 + percent) common members, and two components share only members that
+    both have: what one component alone has around a centre is left out. Of the ``shared`` members that stay in a set, any two such sets meet by
+    one of the first shared - least + 1, in the order of how many sets have them. Sizes fall into classes of a tenth, and
+    a set has a prefix for each class that a partner may be of, so ``least`` is close to what the pair needs. Members of most sets
+    come last, so two large groups whose sets differ by more than their prefixes don't meet. In a key, the largest component
+    meets the others only, never itself.
     """
-    around = kept(measured(around, sets, percent), "around")
-    names = ("id", "n", "component", "common")
-    least = F.ceil((F.col("n") + F.col("n_x")) * percent / (100 + percent) - 1e-9)
-    inside, outside = F.least("common", "common_x"), F.least(F.col("n") - F.col("common"), F.col("n_x") - F.col("common_x"))
-    open_pair = (F.col("component") != F.col("component_x")) & close_in_size("n", "n_x", percent)
-    once = lambda flag: ~F.col(flag) | (F.col("id") < F.col("id_x"))  # noqa: E731  two with the flag would meet either way round
-    ends = (F.least("id", "id_x").alias("a"), F.greatest("id", "id_x").alias("b"))
-
-    def mixed_only(rows: DataFrame, key: str, leads: str) -> DataFrame:
-        holders = W.partitionBy("centre", key)
-        rows = rows.select("*", F.min("component").over(holders).alias("c1"), F.max("component").over(holders).alias("c2"), F.max(leads).over(holders).alias("led"), F.count("*").over(holders).alias("times"))
-        return rows.filter("led and c1 < c2").drop("c1", "c2", "led")
-
-    # By members that the centre lacks: only so many of the rarest as any two sets that share enough must meet by.
-    needed, own = F.greatest(F.ceil(F.col("n") * percent / 100) - F.col("common"), F.lit(1)), W.partitionBy("centre", "id")
-    rows = mixed_only(around.select("centre", *names, (~F.col("linked")).alias("free"), F.explode("own").alias("member")), "member", "free")
-    rows = rows.withColumn("shared", F.count("*").over(own)).filter(F.col("shared") >= needed)
-    y = rows.withColumn("nth", F.row_number().over(own.orderBy("times", "member"))).filter(F.col("nth") <= F.col("shared") - needed + 1).drop("times", "shared", "nth")
-    x = y.filter("free").select("centre", "member", *(F.col(c).alias(f"{c}_x") for c in names))
-    by_own = x.join(y, ["centre", "member"]).filter(open_pair & once("free") & (inside < least) & (inside + outside >= least))
-    # By size: from the smallest that is close to the greatest that the part inside the centre allows.
-    step = lambda c: F.floor(F.log(c.cast("double")) / F.lit(np.log(1.02)))
-    low, most = F.ceil(F.col("n") * percent / 100), F.floor((F.col("common") * (100 + percent) + percent) / F.lit(percent)) - F.col("n")
-    reach = F.when(F.col("direct"), F.sequence(step(low), step(F.greatest(low, F.least(most, F.floor(F.col("n") * 100 / percent) + 1)))))
-    rows = around.select("centre", *names, "direct", step(F.col("n")).alias("own_step"), F.explode(F.array_union(F.array(step(F.col("n"))), F.coalesce(reach, F.array().cast("array<long>")))).alias("step"))
-    rows = mixed_only(rows, "step", "direct").drop("times")
-    x = rows.filter("direct").select("centre", "step", *(F.col(c).alias(f"{c}_x") for c in names))
-    by_size = x.join(rows.filter("step = own_step"), ["centre", "step"]).filter(open_pair & once("direct") & (inside >= least))
-    return by_own.select(*ends).union(by_size.select(*ends)).distinct()
+    rows = around.join(sets.select("id", "members"), "id").select("centre", "id", "n", "component", F.explode("members").alias("member"))
+    holders = rows.groupBy("centre", "member").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count("*").alias("times")).filter("c1 < c2").drop("c1", "c2")
+    own = W.partitionBy("centre", "id")
+    rows = rows.join(holders, ["centre", "member"]).withColumn("shared", F.count("*").over(own))
+    rows = rows.filter(F.col("shared") * 100 >= F.col("n") * percent).withColumn("nth", F.row_number().over(own.orderBy("times", "member")))
+    step = lambda n: F.floor(F.log(n.cast("double")) / F.lit(np.log(1.1)))
+    low, high = F.ceil(F.col("n") * percent / 100), F.floor(F.col("n") * 100 / percent)
+    rows = rows.withColumn("kind", step(F.col("n"))).withColumn("other", F.explode(F.sequence(step(F.greatest(low, F.lit(1))), step(high))))
+    partner = F.greatest(F.floor(F.pow(F.lit(1.1), F.col("other"))), low)
+    least = F.ceil((F.col("n") + partner) * percent / (100 + percent) - 1e-9)
+    rows = rows.filter((F.col("shared") >= least) & (F.col("nth") <= F.col("shared") - least + 1))
+    key = ["centre", "member", "small", "large"]
+    rows = kept(rows.select("centre", "member", F.least("kind", "other").alias("small"), F.greatest("kind", "other").alias("large"), "kind", "other", "id", "n", "component"), "prefixes")
+    sizes = rows.groupBy(*key, "component").agg(F.count("*").alias("times"))
+    major = sizes.groupBy(*key).agg(F.max_by("component", F.struct("times", "component")).alias("major"), F.min("component").alias("c1"), F.max("component").alias("c2")).filter("c1 < c2").drop("c1", "c2")
+    y = rows.join(major, key).withColumn("minor", F.col("component") != F.col("major")).drop("major")
+    x = y.filter("minor").select(*key, F.col("kind").alias("other"), F.col("other").alias("kind"), *(F.col(c).alias(f"{c}_x") for c in ("id", "n", "component")))
+    met = x.join(y, [*key, "kind", "other"]).filter((F.col("component") != F.col("component_x")) & close_in_size("n", "n_x", percent) & (~F.col("minor") | (F.col("id") < F.col("id_x"))))
+    return met.select(F.least("id", "id_x").alias("a"), F.greatest("id", "id_x").alias("b")).distinct()
 
 
 def link(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:

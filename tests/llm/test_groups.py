@@ -354,6 +354,37 @@ def test_members_of_one_component_never_meet(spark):
     assert [(r.a, r.b) for r in found] == [(1, 2)]
 
 
+def test_two_large_groups_that_share_rare_shingles_do_not_meet(spark):
+    """10,000 sets each around one centre, all with the same rare members besides; one pair across is similar and is found."""
+    size = 10_000
+    ids = spark.range(2 * size + 2).withColumn("group", F.when(F.col("id") >= 2 * size, 2).otherwise(F.floor(F.col("id") / size)))
+    span = lambda a, b: F.sequence(F.lit(a).cast("long"), F.lit(b).cast("long"))
+    centre, rare = span(0, 19), span(100, 105)  # in the centre's set, and in both groups but not there
+    own = F.when(F.col("group") == 0, span(200, 211)).when(F.col("group") == 1, span(300, 311)).otherwise(span(400, 411))
+    edits = F.when(F.col("group") < 2, F.array(F.col("id") * 2 + 10_000, F.col("id") * 2 + 10_001)).otherwise(F.array(F.col("id") + 10_000_000))
+    sets = ids.select("id", "group", F.array_sort(F.concat(centre, rare, own, edits)).alias("members"))
+    sets = sets.select("id", F.size("members").cast("long").alias("n"), "members", F.when(F.col("group") == 2, F.col("id")).otherwise(F.col("group") * size).alias("component"))
+    around = sets.select(F.lit(-1).cast("long").alias("centre"), "id", "n", "component")
+    assert [(r.a, r.b) for r in neardup.across(around, sets.select("id", "n", "members"), 80).collect()] == [(2 * size, 2 * size + 1)]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_meeting_across_components_against_all_pairs(spark, seed):
+    """Subsets and supersets of a centre with members of their own, in several sizes and components: no similar pair is missed."""
+    rng = random.Random(seed)
+    rows = []
+    for i in range(150):
+        base = rng.sample(range(60), rng.choice([20, 30, 45])) if rng.random() < 0.5 or not rows else list(rng.choice(rows)[2])
+        own = set(base) | {rng.randint(100, 130) for _ in range(rng.choice([0, 2, 5]))}
+        own -= set(rng.sample(sorted(own), min(len(own) - 1, rng.choice([0, 1, 3]))))
+        rows.append((i, len(own), sorted(own), rng.randint(0, 40)))
+    sets = spark.createDataFrame(rows, "id long, n long, members array<long>, component long")
+    around = sets.select(F.lit(-1).cast("long").alias("centre"), "id", "n", "component")
+    got = {(r.a, r.b) for r in neardup.verified(neardup.across(around, sets, 80), sets, 80).collect()}
+    want = {(i, j) for i, _, a, c in rows for j, _, b, d in rows if i < j and c != d and 100 * len(set(a) & set(b)) >= 80 * len(set(a) | set(b))}
+    assert got == want and want
+
+
 def test_recall_of_all_true_pairs(spark):
     """Large clusters of edited copies: every pair at 0.8 or more ends in one component."""
     rng = random.Random(11)
