@@ -2,13 +2,16 @@
 
 The guess cost of a value is the least, over all ways to cut it into parts, of the product of the parts'
 guesses: a part is a word of a list (by its place in it), a date, a repeat of a character or a block, a run along the
-keyboard or the alphabet, or a brute-force span of characters. The list has some common passwords and then the most frequent words of
-all texts of the input, ``LEARNED`` at most, by whole classes of like counts. Values whose log10 cost reaches ``threshold`` are spans of
+keyboard or the alphabet, or a brute-force span of characters. The list has some common passwords and then the words of
+all texts of the input, the most frequent first, that make up at least one in ``LEARNED`` of all words: never more than ``LEARNED``
+words, the same ones whatever the size of an input of the same kind. Values whose log10 cost reaches ``threshold`` are spans of
 kind ``guess``, of any length and of any characters. A value in quotes ends with them, another before blanks, quotes
-and ``<>,;``. After a name and blanks alone, without ``:`` or ``=``, a plain word is no value. Values of the base
+and ``<>,;``. After a name and blanks alone, without ``:`` or ``=``, the next word may be prose, and a value must cost
+``blank_threshold``. Values of the base
 patterns keep their base span whatever their cost, and no guess span overlaps one: what a base span leaves of its value is
-a guess span of its own if the whole value's cost or its own reaches ``threshold``. A null text counts as empty and has no spans. Other columns are ignored; repeated rows are
-each judged. Texts are read whole, however long; a worker holds a batch of 1 MB or one longer text.
+a guess span of its own if the whole value's cost or its own reaches the threshold. A null text counts as empty and has no spans. Other columns are ignored; repeated rows are
+each judged. Texts are read whole, however long, and once: what is judged later, spans, values and counts of words, is kept.
+A worker holds a batch of 1 MB or one longer text.
 """
 
 from __future__ import annotations
@@ -34,15 +37,15 @@ VALUE = r"""(?=(?:"([^\s"]+)"|'([^\s']+)'|["']?([^\s"'<>,;]+)))"""
 NAME = r"(?:password|passwd|secret|token|api[_-]?key|(?<![A-Za-z])(?:pwd|pass[_-]?phrase|credentials?|auth|bearer|private[_-]?key|client[_-]?id|access[_-]?key|login|passcode|pin))[\"']?"
 CREDENTIAL = re.compile(NAME + r"(?:[\x20\t]*+[:=][\x20\t]*+|([\x20\t]++))" + VALUE, re.I | re.A)
 URL_LOGIN = re.compile(r"://[^\s/:@]+:([^\s/@]+)@")
-#: After blanks alone, a plain word is the next word of a sentence; its letters may change case after the first only.
-PROSE = re.compile(r"[(\[{*]*([^\W\d_]+(?:[-'’/][^\W\d_]+)*)[.:!?)\]}*…]*")
 ORDER = {"assign": 0, "access": 1, "hex": 2, "guess": 3}
 HINTS = (b"passw", b"secret", b"token", b"api")
 MORE_HINTS = (*HINTS, b"pwd", b"passp", b"passc", b"pass_p", b"pass-p", b"credential", b"auth", b"bearer", b"private", b"client", b"access", b"login", b"pin")
 #: Common passwords, the most frequent first.
 WORDS = "password pass admin welcome login secret letmein monkey dragon master hello freedom shadow summer winter spring autumn test user root default changeme token key love money computer internet access server public private example sample none null true false".split()
-#: How many words of the input are learned at most, and their letters.
-LEARNED, LETTERS = 20_000, (3, 20)
+#: Words that make up one in LEARNED of all words are learned, so LEARNED at most; and their letters.
+LEARNED, LETTERS = 50_000, (3, 20)
+#: log10 costs that make a secret: of a value behind a sign, and of one behind blanks alone.
+THRESHOLD, BLANK_THRESHOLD = 9.0, 12.0
 #: log10 costs from here on are not told apart.
 CEILING = 18.0
 ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm", "abcdefghijklmnopqrstuvwxyz", "qwertzuiop", "azertyuiop")
@@ -144,30 +147,30 @@ class Guesser:
 COMMON = Guesser()
 
 
-def learned_words(df: DataFrame, text: str = "text", most: int = LEARNED) -> list[str]:
-    """The most frequent words of all rows, the first ones first, ties in their order: runs of the letters a-z between blanks and marks.
-
-    Words come by classes of like counts, 64 to a factor of e, and a class that doesn't fit whole into ``most`` is left
-    out with all rarer ones; so a count of words for each class and ``most`` words at the very most reach the driver.
-    """
+def word_counts(texts: pa.Array) -> pa.StructArray:
+    """(values, counts) of the words of some texts: runs of the letters a-z, lower-cased, between blanks and marks."""
     lo, hi = LETTERS
+    words = pc.split_pattern_regex(pc.ascii_lower(pc.fill_null(texts, "")), "[^a-z]+").flatten()
+    size = pc.binary_length(words)
+    return pc.value_counts(words.filter(pc.and_(pc.greater_equal(size, lo), pc.less_equal(size, hi))))
+
+
+def frequent(counts: DataFrame, most: int = LEARNED) -> list[str]:
+    """The words of counts (word, n) that make up one in ``most`` of all, so ``most`` at the very most; the first ones first, ties in their order."""
+    counted = kept(counts.groupBy("word").agg(F.sum("n").alias("n")), "words")
+    total = counted.agg(F.sum("n").alias("n")).head().n or 0
+    return [r.word for r in sorted(counted.filter(F.col("n") * most >= total).collect(), key=lambda r: (-r.n, r.word))]
+
+
+def learned_words(df: DataFrame, text: str = "text", most: int = LEARNED) -> list[str]:
+    """The frequent words of all rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in bounded(batches, text, 4 << 20):
-            words = pc.split_pattern_regex(pc.ascii_lower(pc.fill_null(b.column(text), "")), "[^a-z]+").flatten()
-            size = pc.binary_length(words)
-            counts = pc.value_counts(words.filter(pc.and_(pc.greater_equal(size, lo), pc.less_equal(size, hi))))
+            counts = word_counts(b.column(text))
             yield pa.RecordBatch.from_arrays([counts.field(0), counts.field(1)], ["word", "n"])
 
-    counted = df.select(text).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    counted = kept(counted.withColumn("class", F.floor(F.log("n") * 64)), "words")
-    taken, least = 0, None
-    for r in counted.groupBy("class").agg(F.count("*").alias("words")).orderBy(F.col("class").desc()).collect():
-        if (taken := taken + r.words) > most:
-            break
-        least = r["class"]
-    found = [] if least is None else counted.filter(F.col("class") >= least).select("word", "n").collect()
-    return [r.word for r in sorted(found, key=lambda r: (-r.n, r.word))]
+    return frequent(df.select(text).mapInArrow(run, "word string, n long"), most)
 
 
 def base_spans(text: str, low: bytes) -> list[tuple[str, int, int]]:
@@ -180,98 +183,125 @@ def base_spans(text: str, low: bytes) -> list[tuple[str, int, int]]:
     return found
 
 
-def is_prose(value: str) -> bool:
-    m = PROSE.fullmatch(value)
-    return bool(m) and all(w[1:] == w[1:].lower() or w == w.upper() for w in re.split("[-'’/]", m[1]))
-
-
-def contexts(text: str, low: bytes) -> Iterator[tuple[int, int]]:
-    """Where the values stand that a name or a login of a URL makes credentials."""
+def contexts(text: str, low: bytes) -> Iterator[tuple[int, int, bool]]:
+    """Where the values stand that a name or a login of a URL makes credentials, and whether only blanks stand before them."""
     if any(h in low for h in MORE_HINTS):
         for m in CREDENTIAL.finditer(text):
-            s, e = m.span(m.lastindex)
-            if not (m[1] and is_prose(text[s:e])):
-                yield s, e
+            yield *m.span(m.lastindex), m[1] is not None
     if b"://" in low:
         for m in URL_LOGIN.finditer(text):
-            yield m.span(1)
+            yield *m.span(1), False
+
+
+def uncovered(s: int, e: int, taken: Sequence[tuple[int, int]]) -> list[tuple[int, int]]:
+    """What spans leave of s..e."""
+    out = []
+    for a, b in sorted(taken):
+        if a < e and b > s:
+            if a > s:
+                out.append((s, a))
+            s = max(s, b)
+    return [*out, (s, e)] if s < e else out
 
 
-def guess_spans(text: str, low: bytes, base: list[tuple[str, int, int]], threshold: float, guesser: Guesser) -> list[tuple[str, int, int]]:
-    """Values that no base span covers, and what base spans leave of a value, by cost alone."""
+def guess_spans(values: Sequence[tuple[int, str, bool]], base: Sequence[tuple[str, int, int]], guesser: Guesser, threshold: float = THRESHOLD, blank_threshold: float = BLANK_THRESHOLD) -> list[tuple[str, int, int]]:
+    """Values (start, value, after blanks alone) that no base span covers, and what base spans leave of a value, by cost alone."""
     out: list[tuple[str, int, int]] = []
-    taken: bytearray | None = None
-    for s, e in contexts(text, low):
-        if taken is None:
-            taken = bytearray(len(text))
-            for _, a, b in base:
-                taken[a:b] = b"\1" * (b - a)
-        rests = [m.span() for m in re.finditer(b"\0+", taken[s:e])]
-        if not rests:
-            continue
-        value = text[s:e]
-        whole = guesser.cost(value, threshold) >= threshold
+    taken = [(a, b) for _, a, b in base]
+    for s, value, blank in values:
+        e, limit = s + len(value), blank_threshold if blank else threshold
+        rests = uncovered(s, e, taken)
+        whole = bool(rests) and guesser.cost(value, limit) >= limit
         for a, b in rests:
-            rest = value[a:b]
+            rest = value[a - s : b - s]
             if b - a < e - s and not rest.strip(")]}") and not re.search(r"[(\[{]", value):
                 continue  # closes a bracket around the assignment
-            if whole or guesser.cost(rest, threshold) >= threshold:
-                out.append(("guess", s + a, s + b))
-                taken[s + a : s + b] = b"\1" * (b - a)
+            if whole or guesser.cost(rest, limit) >= limit:
+                out.append(("guess", a, b))
+                taken.append((a, b))
     return out
 
 
-def spans(text: str | None, threshold: float = 9.0, guesser: Guesser = COMMON) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
-    """Base spans, and all spans, by start and kind."""
+def place(span: tuple[str, int, int]) -> tuple[int, int]:
+    return span[1], ORDER[span[0]]
+
+
+def candidates(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[int, str, bool]]]:
+    """Base spans by start and kind, and the values (start, value, after blanks alone) that costs decide on."""
     if not text:
         return [], []
     low = text.encode().lower()
-    base = base_spans(text, low)
-    by = lambda x: (x[1], ORDER[x[0]])
-    return sorted(base, key=by), sorted(base + guess_spans(text, low, base, threshold, guesser), key=by)
-
-
-def costs(text: str, found: list[tuple[str, int, int]], guesser: Guesser) -> list[float | None]:
-    """log10 guess cost of the value in each assign and guess span, up to the ceiling."""
-    out: list[float | None] = []
-    for k, s, e in found:
-        m = ASSIGN.match(text, s, e) if k == "assign" else None
-        value = m[2] if m else text[s:e] if k == "guess" else None
-        out.append(round(guesser.cost(value), 6) if value else None)
-    return out
+    return sorted(base_spans(text, low), key=place), [(s, text[s:e], blank) for s, e, blank in contexts(text, low)]
+
+
+def spans(text: str | None, threshold: float = THRESHOLD, guesser: Guesser = COMMON, blank_threshold: float = BLANK_THRESHOLD) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
+    """Base spans, and all spans, by start and kind."""
+    base, values = candidates(text)
+    return base, sorted(base + guess_spans(values, base, guesser, threshold, blank_threshold), key=place) if values else base
 
 
 def listed(found: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{s}:{e}" for k, s, e in found)
 
 
-def digests(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 9.0) -> DataFrame:
+def scanned(df: DataFrame, key: str, text: str) -> DataFrame:
+    """One pass over all texts: a row for each text with its base spans and the values to judge, and one for each batch with its words."""
+    kind = df.schema[key].dataType.simpleString()
+    base_type = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("stop", pa.int64()), ("value", pa.string())]))
+    value_type = pa.list_(pa.struct([("start", pa.int64()), ("value", pa.string()), ("blank", pa.bool_())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in bounded(batches, text):
+            bases, values, n = [], [], b.num_rows
+            for t in b.column(text).to_pylist():
+                base, own = candidates(t)
+                bases.append([(k, s, e, ASSIGN.match(t, s, e)[2] if k == "assign" else None) for k, s, e in base])
+                values.append(own)
+            counts = word_counts(b.column(text))
+            alone = pa.array([False] * n + [True])
+            words, times = (pa.ListArray.from_arrays(pa.array([0] * (n + 1) + [len(counts)], pa.int32()), x) for x in (counts.field(0), counts.field(1)))
+            keys = pa.concat_arrays([b.column(key), pa.nulls(1, b.column(key).type)])
+            yield pa.RecordBatch.from_arrays([keys, pa.array([*bases, []], base_type), pa.array([*values, []], value_type), alone, words, times], ["key", "base", "candidates", "counted", "words", "times"])
+
+    schema = f"key {kind}, base array<struct<kind:string,start:long,stop:long,value:string>>, candidates array<struct<start:long,value:string,blank:boolean>>, counted boolean, words array<string>, times array<long>"
+    return df.select(key, text).mapInArrow(run, schema)
+
+
+def digests(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, blank_threshold: float = BLANK_THRESHOLD) -> DataFrame:
     """(key, n_assign, n_access, n_hex, base_sha256, spans, guess_log10) of every row."""
-    shared = df.sparkSession.sparkContext.broadcast(Guesser(learned_words(df, text)))  # LEARNED words at most
+    seen = kept(scanned(df, key, text), "scanned")
+    words = seen.filter("counted").select(F.explode(F.arrays_zip("words", "times")).alias("x")).select(F.col("x.words").alias("word"), F.col("x.times").alias("n"))
+    shared = df.sparkSession.sparkContext.broadcast(Guesser(frequent(words)))  # LEARNED words at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         guesser = shared.value
-        for b in bounded(batches, text):
+        for b in batches:
             counts, digest, lists, cost = [], [], [], []
-            for t in b.column(text).to_pylist():
-                base, both = spans(t, threshold, guesser)
+            for found, given in zip(b.column("base").to_pylist(), b.column("candidates").to_pylist()):
+                base, values = [(x["kind"], x["start"], x["stop"]) for x in found], [(x["start"], x["value"], x["blank"]) for x in given]
+                guessed = guess_spans(values, base, guesser, threshold, blank_threshold) if values else []
+                named = {(x["kind"], x["start"], x["stop"]): x["value"] for x in found}
+                for k, s, e in guessed:
+                    named[k, s, e] = next(v[s - a : e - a] for a, v, _ in values if a <= s and e <= a + len(v))
+                both = sorted(base + guessed, key=place)
                 counts.append([sum(k == kind for k, _, _ in base) for kind in ("assign", "access", "hex")])
                 digest.append(hashlib.sha256(listed(base).encode()).hexdigest())
                 lists.append(listed(both))
-                cost.append(costs(t, both, guesser) if both else [])
-            yield pa.RecordBatch.from_arrays([b.column(key), *(pa.array(x, pa.int64()) for x in zip(*counts)), pa.array(digest, pa.string()), pa.array(lists, pa.string()), pa.array(cost, pa.list_(pa.float64()))], [key, "n_assign", "n_access", "n_hex", "base_sha256", "spans", "guess_log10"])
+                cost.append([round(guesser.cost(named[x]), 6) if named[x] else None for x in both])
+            yield pa.RecordBatch.from_arrays([b.column("key"), *(pa.array(x, pa.int64()) for x in zip(*counts)), pa.array(digest, pa.string()), pa.array(lists, pa.string()), pa.array(cost, pa.list_(pa.float64()))], [key, "n_assign", "n_access", "n_hex", "base_sha256", "spans", "guess_log10"])
 
-    return df.select(key, text).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, guess_log10 array<double>")
+    rows = seen.filter("not counted").select("key", "base", "candidates")
+    return rows.mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, guess_log10 array<double>")
 
 
-def redact(df: DataFrame, text: str = "text", mark: str = "[secret]", threshold: float = 9.0) -> DataFrame:
+def redact(df: DataFrame, text: str = "text", mark: str = "[secret]", threshold: float = THRESHOLD, blank_threshold: float = BLANK_THRESHOLD) -> DataFrame:
     """All columns and rows of ``df``; every span of ``text`` is replaced by ``mark``, nulls stay null."""
     shared = df.sparkSession.sparkContext.broadcast(Guesser(learned_words(df, text)))  # LEARNED words at most
     names = df.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
 
     def masked(t: str | None, guesser: Guesser) -> str | None:
-        both = spans(t, threshold, guesser)[1]
+        both = spans(t, threshold, guesser, blank_threshold)[1]
         if not both:
             return t
         out, at = [], 0
