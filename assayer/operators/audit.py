@@ -54,7 +54,7 @@ def verify(log: DataFrame, payload: Column, tenant: str = "tenant_id", order: st
     return checked.groupBy(tenant).agg(F.count("*").alias("n_rows"), F.min(F.when(F.coalesce(bad, F.lit(True)), F.col("rows_before") + F.col("nth") - 1)).alias("first_break"))
 
 
-def _link(state: dict, row: dict) -> dict:
+def link(state: dict, row: dict) -> dict:
     prev = state["hash"]
     state["hash"] = hashlib.sha256(f"{prev}{UNIT}{row['payload']}".encode()).hexdigest()
     return {**row, "prev_hash": prev, "row_hash": state["hash"]}
@@ -64,7 +64,7 @@ def append(rows: DataFrame, tenant: str = "tenant_id", order: str = "id") -> Dat
     """(tenant, order, payload, prev_hash, row_hash): rows with a payload, chained in order from the genesis hash."""
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     own = rows.select(tenant, order, "payload")
-    return ordered_fold(own, [tenant], [order], lambda: {"hash": GENESIS}, _link, f"`{tenant}` {kinds[tenant]}, `{order}` {kinds[order]}, payload string, prev_hash string, row_hash string")
+    return ordered_fold(own, [tenant], [order], lambda: {"hash": GENESIS}, link, f"`{tenant}` {kinds[tenant]}, `{order}` {kinds[order]}, payload string, prev_hash string, row_hash string")
 
 
 def last_hash(log: DataFrame, tenant: str = "tenant_id", order: str = "id") -> DataFrame:

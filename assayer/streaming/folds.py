@@ -1,44 +1,35 @@
-"""The ordered folds as stateful operators: a key's state outlives a micro-batch."""
+"""The ordered folds on streams: the audit chain, the breaker and rate limits, with rows of many micro-batches in their order."""
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import functions as F
 
-from assayer.operators.audit import GENESIS, UNIT
+from assayer.operators.audit import GENESIS, link
+from assayer.operators.limits import LIMITS, SCHEMA, WINDOW, window_step
 from assayer.operators.recognition import breaker_step
+from assayer.streaming.ordered import ordered_stream
 
 
-def append(rows: DataFrame) -> DataFrame:
-    """Rows (tenant_id, id, payload) of a stream, chained per tenant; a micro-batch is ordered by id."""
+def append(rows: DataFrame, lateness: str = "10 minutes") -> DataFrame:
+    """Rows (tenant_id, id, at, payload) of a stream, chained per tenant in the order of ``at`` and id."""
 
-    def chain(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        prev = state.get[0] if state.exists else GENESIS
-        for pdf in [pd.concat(list(batches)).sort_values("id")]:
-            before, after = [], []
-            for payload in pdf["payload"]:
-                before.append(prev)
-                prev = hashlib.sha256(f"{prev}{UNIT}{payload}".encode()).hexdigest()
-                after.append(prev)
-            yield pdf[["tenant_id", "id", "payload"]].assign(prev_hash=before, row_hash=after)
-        state.update((prev,))
+    def step(state: dict, row: dict) -> dict:
+        got = link(state, row)
+        return {c: got[c] for c in ("tenant_id", "id", "payload", "prev_hash", "row_hash")}
 
-    return rows.groupBy("tenant_id").applyInPandasWithState(chain, "tenant_id string, id long, payload string, prev_hash string, row_hash string", "last string", "append", GroupStateTimeout.NoTimeout)
+    own = rows.select("tenant_id", "id", "at", "payload")
+    return ordered_stream(own, ["tenant_id"], "at", ["id"], lambda: {"hash": GENESIS}, step, "tenant_id string, id long, payload string, prev_hash string, row_hash string", lateness)
 
 
-def circuit_breaker(calls: DataFrame, threshold: int = 5, reset: float = 30.0) -> DataFrame:
-    """Calls (provider, seq, at, failed) of a stream against one breaker for each provider."""
-    step = breaker_step(threshold, reset)
+def circuit_breaker(calls: DataFrame, threshold: int = 5, reset: float = 30.0, lateness: str = "10 minutes") -> DataFrame:
+    """Calls (provider, seq, at in seconds, failed) of a stream against one breaker for each provider."""
+    own = calls.select("provider", "seq", "at", "failed").withColumn("time", F.timestamp_micros((F.col("at") * 1_000_000).cast("long")))
+    return ordered_stream(own, ["provider"], "time", ["seq"], lambda: {"failures": 0, "opened": None}, breaker_step(threshold, reset), "provider long, seq long, blocked boolean, failures long, open boolean", lateness)
 
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        failures, opened = state.get if state.exists else (0, None)
-        own = {"failures": failures, "opened": opened}
-        pdf = pd.concat(list(batches)).sort_values("seq")
-        yield pd.DataFrame([step(own, r) for r in pdf.to_dict("records")])
-        state.update((own["failures"], own["opened"]))
 
-    return calls.groupBy("provider").applyInPandasWithState(run, "provider long, seq long, blocked boolean, failures long, open boolean", "failures long, opened double", "append", GroupStateTimeout.NoTimeout)
+def rate_limit(requests: DataFrame, limits: dict[str, int] = LIMITS, window: float = WINDOW, lateness: str = "10 minutes") -> DataFrame:
+    """``operators.limits.rate_limit`` of requests (caller, kind, seq, at in seconds) of a stream."""
+    own = requests.select("caller", "kind", "seq", F.col("at").cast("double").alias("at")).filter(F.col("kind").isin(*limits))
+    timed = own.withColumn("time", F.timestamp_micros((F.col("at") * 1_000_000).cast("long")))
+    return ordered_stream(timed, ["caller", "kind"], "time", ["at", "seq"], lambda: {"passed": []}, window_step(limits, window), SCHEMA, lateness)

@@ -16,7 +16,6 @@ from test_scoring import distance
 
 from assayer import catalog
 from assayer.operators import results, rubric, rules, tenancy
-from assayer.streaming import folds
 
 
 def load(name: str) -> pd.DataFrame:
@@ -166,19 +165,6 @@ def test_scopes_and_filters(spark):
     assert [r.n for r in results.where(df, between={"n": (2, None)}).collect()] == [2] and results.where(df, {"n": [1, 2]}, {"n": (None, 1)}).count() == 1
 
 
-def test_streaming_breaker_equals_batch(spark, tmp_path):
-    from assayer.operators import recognition
-
-    rows = spark.range(60).select((F.col("id") % 2).alias("provider"), F.col("id").alias("seq"), (F.col("id") * 2).cast("double").alias("at"), (F.pmod(F.col("id") * 7, F.lit(5)) < 3).alias("failed"))
-    src = str(tmp_path / "calls")
-    for a in (0, 30):
-        rows.filter(F.col("seq").between(a, a + 29)).coalesce(1).write.mode("append").parquet(src)
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(src)
-    q = folds.circuit_breaker(stream, 2, 9.0).writeStream.format("memory").queryName("breaker").outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination()
-    assert sorted(spark.table("breaker").collect()) == sorted(recognition.circuit_breaker(rows, 2, 9.0).collect())
-
-
 def test_typed_tables_in_every_format(spark, tmp_path):
     from assayer import schemas
     from assayer.sources import tables
