@@ -8,24 +8,24 @@ from pyspark.sql import functions as F
 
 #: Every state with the states it may move to.
 MOVES = {
-    "RECEIVED": "PREPROCESSING FAILED",
-    "PREPROCESSING": "OCR_RUNNING QUALITY_REJECTED FAILED",
-    "QUALITY_REJECTED": "PREPROCESSING FAILED",
-    "OCR_RUNNING": "OCR_AGREED OCR_ARBITRATING FAILED",
-    "OCR_ARBITRATING": "OCR_AGREED NEEDS_TRANSCRIPTION FAILED",
-    "OCR_AGREED": "SEGMENTING FAILED",
-    "SEGMENTING": "UNDERSTANDING NEEDS_TRANSCRIPTION FAILED",
-    "NEEDS_TRANSCRIPTION": "UNDERSTANDING MANUAL_ONLY",
-    "UNDERSTANDING": "SCORING MANUAL_ONLY FAILED",
-    "SCORING": "AWAITING_REVIEW MANUAL_ONLY FAILED",
-    "AWAITING_REVIEW": "REVIEWED",
-    "MANUAL_ONLY": "REVIEWED",
-    "REVIEWED": "MODERATION FINALISED",
-    "MODERATION": "FINALISED AWAITING_REVIEW",
-    "FINALISED": "",
-    "FAILED": "",
+    "RECEIVED": ("PREPROCESSING", "FAILED"),
+    "PREPROCESSING": ("OCR_RUNNING", "QUALITY_REJECTED", "FAILED"),
+    "QUALITY_REJECTED": ("PREPROCESSING", "FAILED"),
+    "OCR_RUNNING": ("OCR_AGREED", "OCR_ARBITRATING", "FAILED"),
+    "OCR_ARBITRATING": ("OCR_AGREED", "NEEDS_TRANSCRIPTION", "FAILED"),
+    "OCR_AGREED": ("SEGMENTING", "FAILED"),
+    "SEGMENTING": ("UNDERSTANDING", "NEEDS_TRANSCRIPTION", "FAILED"),
+    "NEEDS_TRANSCRIPTION": ("UNDERSTANDING", "MANUAL_ONLY"),
+    "UNDERSTANDING": ("SCORING", "MANUAL_ONLY", "FAILED"),
+    "SCORING": ("AWAITING_REVIEW", "MANUAL_ONLY", "FAILED"),
+    "AWAITING_REVIEW": ("REVIEWED",),
+    "MANUAL_ONLY": ("REVIEWED",),
+    "REVIEWED": ("MODERATION", "FINALISED"),
+    "MODERATION": ("FINALISED", "AWAITING_REVIEW"),
+    "FINALISED": (),
+    "FAILED": (),
 }
-EDGES = [(s, d) for s, ds in MOVES.items() for d in ds.split()]
+EDGES = [(s, d) for s, ds in MOVES.items() for d in ds]
 HUMAN = ("NEEDS_TRANSCRIPTION", "AWAITING_REVIEW", "MANUAL_ONLY", "REVIEWED", "MODERATION")
 MACHINE = ("RECEIVED", "PREPROCESSING", "OCR_RUNNING", "OCR_ARBITRATING", "OCR_AGREED", "SEGMENTING", "UNDERSTANDING", "SCORING")
 
@@ -36,7 +36,7 @@ def edges(spark: SparkSession) -> DataFrame:
 
 def states(spark: SparkSession) -> DataFrame:
     """(state, terminal, human, machine, allowed): allowed moves sorted, 'none' for terminal states."""
-    rows = [(s, not d, s in HUMAN, s in MACHINE, ", ".join(sorted(d.split())) or "none") for s, d in MOVES.items()]
+    rows = [(s, not d, s in HUMAN, s in MACHINE, ", ".join(sorted(d)) or "none") for s, d in MOVES.items()]
     return spark.createDataFrame(rows, "state string, terminal boolean, human boolean, machine boolean, allowed string")
 
 
@@ -53,13 +53,21 @@ def history_moves(history: DataFrame, key: str, order: str, state: str = "state"
     return history.select(key, order, before.alias("src"), F.col(state).alias("dst")).filter("src is not null")
 
 
-def reachable(spark: SparkSession, start: str = "RECEIVED", without: tuple[str, ...] = (), depth: int = 12) -> DataFrame:
-    """(state, steps): states within reach and the fewest moves to them, over walks of at most ``depth`` moves."""
-    kept = ", ".join(f"('{s}', '{d}')" for s, d in EDGES if d not in without)
-    walk = f"""WITH RECURSIVE edges AS (SELECT * FROM VALUES {kept} AS t(src, dst)),
-walk(state, steps) AS (SELECT '{start}', 0 UNION ALL SELECT e.dst, w.steps + 1 FROM walk w JOIN edges e ON e.src = w.state WHERE w.steps < {depth})
-SELECT state, min(steps) AS steps FROM walk GROUP BY state"""
-    return spark.sql(walk)
+def reachable(spark: SparkSession, start: str = "RECEIVED", without: tuple[str, ...] = ()) -> DataFrame:
+    """(state, steps): states within reach and the fewest moves to them."""
+    return distances(spark, without).filter(F.col("src") == start).select("state", "steps")
+
+
+def distances(spark: SparkSession, without: tuple[str, ...] = ()) -> DataFrame:
+    """(src, state, steps) of all states within reach of each other: steps are taken until none leads to a new state."""
+    rows = []
+    for start in MOVES:
+        seen, edge, steps = {start}, {start}, 0
+        while edge:
+            rows += [(start, s, steps) for s in sorted(edge)]
+            edge = {d for s in edge for d in MOVES[s] if d not in without} - seen
+            seen, steps = seen | edge, steps + 1
+    return spark.createDataFrame(rows, "src string, state string, steps int")
 
 
 def once_only(attempts: DataFrame, order: str | Column) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from assayer import schemas
@@ -118,3 +119,14 @@ def seal(value, key):
 
 def unseal(value, key):
     return F.aes_decrypt(value, key, F.lit("GCM")).cast("string")
+
+
+def in_batches(rows: DataFrame, request: str, order: str, most: int = 500) -> DataFrame:
+    """``batch`` added: a request's rows in order, ``most`` to a batch. A request's count is bounded by what a form may ask for."""
+    nth = F.row_number().over(W.partitionBy(request).orderBy(order)) - 1
+    return rows.withColumn("batch", F.floor(nth / most))
+
+
+def batch_audit(rows: DataFrame, request: str, order: str, action: str = "booklets.issue") -> DataFrame:
+    """(request, batch, action, n, first_id, last_id): one audit row for each batch, whatever its size."""
+    return rows.groupBy(request, "batch").agg(F.lit(action).alias("action"), F.count("*").alias("n"), F.min(order).alias("first_id"), F.max(order).alias("last_id"))

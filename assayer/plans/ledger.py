@@ -60,8 +60,17 @@ def failure_streaks(spark, sf_dir):
     return audit.lockouts(table(spark, sf_dir, "events"), "user_id", "event_id", F.col("event_type").isin("error", "view"))
 
 
+def _scripts(spark, sf_dir):
+    """Orders as scripts in a state each."""
+    names = F.array(*(F.lit(s) for s in states.MOVES))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.element_at(names, (F.pmod("o_orderkey", F.lit(len(states.MOVES))) + 1).cast("int")).alias("state"))
+
+
 def state_edges(spark, sf_dir):
-    return states.states(spark).join(states.edges(spark).withColumnRenamed("src", "state").groupBy("state").agg(F.count("*").alias("moves")), "state", "left").na.fill(0, ["moves"])
+    """Scripts in each state, whether a machine, a person or nobody acts next, and what may."""
+    moves = states.edges(spark).withColumnRenamed("src", "state").groupBy("state").agg(F.count("*").alias("moves"))
+    known = states.states(spark).join(moves, "state", "left").na.fill(0, ["moves"])  # 16 states
+    return _scripts(spark, sf_dir).groupBy("state").agg(F.count("*").alias("scripts")).join(F.broadcast(known), "state")
 
 
 def _history(spark, sf_dir):
@@ -75,7 +84,11 @@ def state_history(spark, sf_dir):
 
 
 def state_reachability(spark, sf_dir):
-    return states.reachable(spark).join(states.reachable(spark, without=("FAILED",)).select("state", F.lit(True).alias("unfailed")), "state", "left").select("state", "steps", F.coalesce("unfailed", F.lit(False)).alias("unfailed"))
+    """For scripts in each state: how many states they may still reach, the fewest moves to the end, and whether without a failure."""
+    reach = states.distances(spark).groupBy("src").agg(F.count("*").alias("reach"), F.min(F.when(F.col("state") == "FINALISED", F.col("steps"))).alias("to_end"))
+    whole = states.distances(spark, ("FAILED",)).groupBy("src").agg(F.max((F.col("state") == "FINALISED").cast("int")).cast("boolean").alias("unfailed"))
+    known = F.broadcast(reach.join(whole, "src").withColumnRenamed("src", "state"))  # 16 states
+    return _scripts(spark, sf_dir).groupBy("state").agg(F.count("*").alias("scripts")).join(known, "state")
 
 
 def stage_attempts(spark, sf_dir):
@@ -238,12 +251,9 @@ def call_outcomes(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (chain_append, chain_verify, chain_tamper, chain_last_hash, human_actions, ip_validity, failure_streaks, state_edges, state_history, state_reachability, stage_attempts, cache_dedup, cost_meter, circuit_breaker, tenant_scope, tenant_violations, page_list, page_count, key_violations, orphan_rows, user_lookup, login_failures, fairness_cap, chain_read, login_success, active_user, exam_lookup, scoped_exams, exam_questions, booklet_downloads, identity_reveal, sealed_names, readable_lines, line_domains, auto_markable, call_outcomes)}
 _EDGES = "edges AS (SELECT * FROM (VALUES " + ", ".join(f"('{s}', '{d}')" for s, d in states.EDGES) + ") t(src, dst))"
-_STATES = "states AS (SELECT * FROM (VALUES " + ", ".join(f"('{s}', {not d}, {s in states.HUMAN}, {s in states.MACHINE}, '{', '.join(sorted(d.split())) or 'none'}')" for s, d in states.MOVES.items()) + ") t(state, terminal, human, machine, allowed))"
-_REACH = "(SELECT state, min(steps) AS steps FROM {n} GROUP BY state)"
-
-
-def _walk(name: str, without: str = "") -> str:
-    return f"{name} AS (SELECT 'RECEIVED' AS state, 0 AS steps UNION ALL SELECT e.dst, w.steps + 1 FROM {name} w JOIN edges e ON e.src = w.state WHERE w.steps < 9{without})"
+_STATES = "states AS (SELECT * FROM (VALUES " + ", ".join(f"('{s}', {not d}, {s in states.HUMAN}, {s in states.MACHINE}, '{', '.join(sorted(d)) or 'none'}')" for s, d in states.MOVES.items()) + ") t(state, terminal, human, machine, allowed))"
+_SCRIPTS = "scripts AS (SELECT o_orderkey, ([" + ", ".join(f"'{s}'" for s in states.MOVES) + f"])[o_orderkey % {len(states.MOVES)} + 1] AS state FROM orders)"
+_WALKS = "{n} AS (SELECT state AS src, state, 0 AS steps FROM states UNION SELECT w.src, e.dst, w.steps + 1 FROM {n} w JOIN edges e ON e.src = w.state WHERE w.steps < 16{more})"
 
 
 SQL = {
@@ -257,11 +267,13 @@ SQL = {
 i AS (SELECT *, sum(CASE WHEN failed THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY event_id) AS island FROM s),
 c AS (SELECT *, CASE WHEN failed THEN sum(failed::INT) OVER (PARTITION BY user_id, island ORDER BY event_id) ELSE 0 END AS nth FROM i)
 SELECT user_id, count(*) FILTER (failed) AS n_failures, max(nth)::BIGINT AS longest_streak, count(*) FILTER (nth >= 5) AS locks FROM c GROUP BY user_id""",
-    "state_edges": f"WITH {_STATES}, {_EDGES} SELECT s.*, (SELECT count(*) FROM edges e WHERE e.src = s.state) AS moves FROM states s",
+    "state_edges": f"WITH {_STATES}, {_EDGES}, {_SCRIPTS} SELECT s.*, (SELECT count(*) FROM edges e WHERE e.src = s.state) AS moves, n.scripts FROM states s JOIN (SELECT state, count(*) AS scripts FROM scripts GROUP BY 1) n USING (state)",
     "state_history": f"""WITH {_EDGES}, {_STATES}, h AS (SELECT user_id, event_id, CASE event_type WHEN 'signup' THEN 'RECEIVED' WHEN 'view' THEN 'PREPROCESSING' WHEN 'click' THEN 'OCR_RUNNING' WHEN 'error' THEN 'FAILED' ELSE 'OCR_AGREED' END AS dst FROM events),
 m AS (SELECT *, lag(dst) OVER (PARTITION BY user_id ORDER BY event_id) AS src FROM h)
 SELECT m.src, m.dst, s.allowed, count(*) AS n FROM m JOIN states s ON s.state = m.src WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.src = m.src AND e.dst = m.dst) GROUP BY ALL""",
-    "state_reachability": f"WITH RECURSIVE {_EDGES}, {_walk('a')}, {_walk('b', chr(32) + 'AND e.dst <> ' + chr(39) + 'FAILED' + chr(39))} SELECT x.state, x.steps::INTEGER AS steps, y.state IS NOT NULL AS unfailed FROM {_REACH.format(n='a')} x LEFT JOIN {_REACH.format(n='b')} y USING (state)",
+    "state_reachability": f"""WITH RECURSIVE {_STATES}, {_EDGES}, {_SCRIPTS}, {_WALKS.format(n="a", more="")}, {_WALKS.format(n="b", more=" AND e.dst <> 'FAILED'")},
+r AS (SELECT src, count(DISTINCT state) AS reach, min(steps) FILTER (state = 'FINALISED')::INTEGER AS to_end FROM a GROUP BY 1), u AS (SELECT src, bool_or(state = 'FINALISED') AS unfailed FROM b GROUP BY 1)
+SELECT n.state, n.scripts, r.reach, r.to_end, u.unfailed FROM (SELECT state, count(*) AS scripts FROM scripts GROUP BY 1) n JOIN r ON r.src = n.state JOIN u ON u.src = n.state""",
     "stage_attempts": "SELECT l_orderkey AS script_id, l_linenumber AS stage, l_returnflag AS pipeline_version, min((l_partkey, l_suppkey))[1] AS l_partkey, min((l_partkey, l_suppkey))[2] AS l_suppkey FROM lineitem GROUP BY ALL",
     "cache_dedup": r"""WITH k AS (SELECT doc_id, sha256(text || chr(31) || 'v1' || chr(31) || lang || chr(31) || 'deadlock' || chr(30) || 'kernel') AS key FROM documents), f AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY doc_id) AS nth FROM k)
 SELECT doc_id, key, CASE WHEN nth = 1 THEN 0.0015::DOUBLE ELSE 0.0::DOUBLE END AS cost, nth > 1 AS from_cache FROM f""",

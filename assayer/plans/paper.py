@@ -122,9 +122,14 @@ def best_pages(spark, sf_dir):
 
 
 def page_layout(spark, sf_dir):
-    """The markers' places, the identity box and the least image edge."""
+    """Where the markers' centres and the identity box fall in pixels on pages scanned at their own resolution; line items as pages."""
     box = booklet.identity_region()
-    return booklet.fiducials(spark).select("*", box["x"].alias("box_x"), box["y"].alias("box_y"), box["w"].alias("box_w"), box["h"].alias("box_h"), F.lit(capture.least_pixels()).alias("least_pixels"))
+    pages = table(spark, sf_dir, "lineitem").select((F.col("l_quantity") * 4 + 100).alias("dpi"))
+    marks = booklet.fiducials(spark).select("id", "centre_x", "centre_y", box["x"].alias("box_x"), box["y"].alias("box_y"), box["w"].alias("box_w"), box["h"].alias("box_h"))
+    inch, height = F.col("dpi") / 25.4, booklet.PAGE_HEIGHT
+    rows = pages.crossJoin(F.broadcast(marks))  # four markers
+    placed = rows.select("id", F.rint(F.col("centre_x") * inch).alias("x"), F.rint((height - F.col("centre_y")) * inch).alias("y"), F.rint(F.col("box_x") * inch).alias("left"), F.rint((height - F.col("box_y") - F.col("box_h")) * inch).alias("top"), F.rint(F.col("box_w") * inch).alias("w"), F.rint(F.col("box_h") * inch).alias("h"), (F.col("dpi") * F.lit(booklet.PAGE_WIDTH) / 25.4 >= capture.least_pixels()).alias("enough"))
+    return placed.groupBy("id").agg(*(F.sum(c).alias(c) for c in ("x", "y", "left", "top", "w", "h")), F.count_if("enough").alias("enough"), F.count("*").alias("pages"))
 
 
 def cropped_pixels(spark, sf_dir):
@@ -164,4 +169,5 @@ SELECT array_to_string(why, ',') AS why, count(*) AS n FROM w WHERE len(why) > 0
     "best_pages": """WITH o AS (SELECT l_orderkey AS script, l_linenumber AS page_no, l_partkey AS content, max(l_quantity) AS quality FROM lineitem GROUP BY ALL)
 SELECT script, page_no, arg_max(content, (quality, content)) AS content, max(quality) AS quality, count(*) AS versions FROM o GROUP BY 1, 2""",
 }
-SQL["page_layout"] = """SELECT *, x + 6 AS centre_x, y + 6 AS centre_y, 25.0::DOUBLE AS box_x, 218.0::DOUBLE AS box_y, 78.0::DOUBLE AS box_w, 20.0::DOUBLE AS box_h, 1241 AS least_pixels FROM (VALUES (0, 8.0::DOUBLE, 277.0::DOUBLE), (1, 190.0, 277.0), (2, 190.0, 8.0), (3, 8.0, 8.0)) t(id, x, y)"""
+SQL["page_layout"] = """WITH m AS (SELECT * FROM (VALUES (0, 14.0::DOUBLE, 283.0::DOUBLE), (1, 196.0, 283.0), (2, 196.0, 14.0), (3, 14.0, 14.0)) t(id, cx, cy)), p AS (SELECT l_quantity * 4 + 100 AS dpi, (l_quantity * 4 + 100) / 25.4::DOUBLE AS k FROM lineitem)
+SELECT id, sum(round_even(cx * k, 0)) AS x, sum(round_even((297.0::DOUBLE - cy) * k, 0)) AS y, sum(round_even(25.0::DOUBLE * k, 0)) AS left, sum(round_even((297.0::DOUBLE - 218.0 - 20.0) * k, 0)) AS top, sum(round_even(78.0::DOUBLE * k, 0)) AS w, sum(round_even(20.0::DOUBLE * k, 0)) AS h, count(*) FILTER (dpi * 210.0::DOUBLE / 25.4::DOUBLE >= 1241) AS enough, count(*) AS pages FROM m, p GROUP BY id"""
