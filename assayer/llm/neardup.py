@@ -168,29 +168,37 @@ def across(around: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     Sizes n and m need ``least`` = (n + m) * percent / (100 + percent) common members, and two components share only members that
     both have: what one component alone has around a centre is left out. Of the ``shared`` members that stay in a set, any two such sets meet by
-    one of the first shared - least + 1, in the order of how many sets have them. Sizes fall into classes of a tenth, and
+    one of the first shared - least + 1, in an order that has members beyond the centre's set first, and rare ones before others.
+    Sizes fall into classes of a tenth, and
     a set has a prefix for each class that a partner may be of, so ``least`` is close to what the pair needs. Members of most sets
-    come last, so two large groups whose sets differ by more than their prefixes don't meet. In a key, the largest component
+    come last, so two large groups whose sets differ by more than their prefixes don't meet. A pair meets only where what follows in both
+    sets is enough, and where what both share with the centre and what both have beyond it add up to enough. In a key, the largest component
     meets the others only, never itself.
     """
+    own, by_member = W.partitionBy("centre", "id"), ["centre", "member"]
     rows = around.join(sets.select("id", "members"), "id").select("centre", "id", "n", "component", F.explode("members").alias("member"))
-    holders = rows.groupBy("centre", "member").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count("*").alias("times")).filter("c1 < c2").drop("c1", "c2")
-    own = W.partitionBy("centre", "id")
-    rows = rows.join(holders, ["centre", "member"]).withColumn("shared", F.count("*").over(own))
-    rows = rows.filter(F.col("shared") * 100 >= F.col("n") * percent).withColumn("nth", F.row_number().over(own.orderBy("times", "member")))
+    inside = around.select(F.col("centre").alias("id")).distinct().join(sets.select("id", "members"), "id").select(F.col("id").alias("centre"), F.explode("members").alias("member"))
+    counted = rows.select(*by_member, "component").unionByName(inside.withColumn("component", F.lit(None).cast("long")))
+    holders = counted.groupBy(*by_member).agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count("component").alias("times"), (F.count("*") > F.count("component")).alias("inside")).filter("c1 < c2").drop("c1", "c2")
+    rows = rows.join(holders, by_member).withColumn("shared", F.count("*").over(own)).filter(F.col("shared") * 100 >= F.col("n") * percent)
+    rows = rows.withColumns({"common": F.count_if("inside").over(own), "nth": F.row_number().over(own.orderBy("inside", "times", "member"))})
     step = lambda n: F.floor(F.log(n.cast("double")) / F.lit(np.log(1.1)))
     low, high = F.ceil(F.col("n") * percent / 100), F.floor(F.col("n") * 100 / percent)
     rows = rows.withColumn("kind", step(F.col("n"))).withColumn("other", F.explode(F.sequence(step(F.greatest(low, F.lit(1))), step(high))))
     partner = F.greatest(F.floor(F.pow(F.lit(1.1), F.col("other"))), low)
-    least = F.ceil((F.col("n") + partner) * percent / (100 + percent) - 1e-9)
+    needed = lambda n, m: F.ceil((n + m) * percent / (100 + percent) - 1e-9)
+    least = needed(F.col("n"), partner)
     rows = rows.filter((F.col("shared") >= least) & (F.col("nth") <= F.col("shared") - least + 1))
-    key = ["centre", "member", "small", "large"]
-    rows = kept(rows.select("centre", "member", F.least("kind", "other").alias("small"), F.greatest("kind", "other").alias("large"), "kind", "other", "id", "n", "component"), "prefixes")
-    sizes = rows.groupBy(*key, "component").agg(F.count("*").alias("times"))
-    major = sizes.groupBy(*key).agg(F.max_by("component", F.struct("times", "component")).alias("major"), F.min("component").alias("c1"), F.max("component").alias("c2")).filter("c1 < c2").drop("c1", "c2")
+    key, sizes = [*by_member, "small", "large"], ["id", "n", "component", "common", "beyond", "left"]
+    found = rows.select(*by_member, F.least("kind", "other").alias("small"), F.greatest("kind", "other").alias("large"), "kind", "other", "id", "n", "component", "common", (F.col("shared") - F.col("common")).alias("beyond"), (F.col("shared") - F.col("nth") + 1).alias("left"))
+    rows = kept(found, "prefixes")
+    groups = rows.groupBy(*key, "component").agg(F.count("*").alias("times"))
+    major = groups.groupBy(*key).agg(F.max_by("component", F.struct("times", "component")).alias("major"), F.min("component").alias("c1"), F.max("component").alias("c2")).filter("c1 < c2").drop("c1", "c2")
     y = rows.join(major, key).withColumn("minor", F.col("component") != F.col("major")).drop("major")
-    x = y.filter("minor").select(*key, F.col("kind").alias("other"), F.col("other").alias("kind"), *(F.col(c).alias(f"{c}_x") for c in ("id", "n", "component")))
-    met = x.join(y, [*key, "kind", "other"]).filter((F.col("component") != F.col("component_x")) & close_in_size("n", "n_x", percent) & (~F.col("minor") | (F.col("id") < F.col("id_x"))))
+    x = y.filter("minor").select(*key, F.col("kind").alias("other"), F.col("other").alias("kind"), *(F.col(c).alias(f"{c}_x") for c in sizes))
+    least = needed(F.col("n"), F.col("n_x"))
+    enough = (F.least("left", "left_x") >= least) & (F.least("common", "common_x") + F.least("beyond", "beyond_x") >= least)
+    met = x.join(y, [*key, "kind", "other"]).filter((F.col("component") != F.col("component_x")) & close_in_size("n", "n_x", percent) & (~F.col("minor") | (F.col("id") < F.col("id_x"))) & enough)
     return met.select(F.least("id", "id_x").alias("a"), F.greatest("id", "id_x").alias("b")).distinct()
 
 
