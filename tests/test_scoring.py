@@ -49,6 +49,20 @@ def test_errors_against_a_plain_model(spark, pairs):
     assert [(r.c, r.w) for r in got] == [(distance(norm(x), norm(y)), distance(norm(x).split(), norm(y).split())) for x, y in pairs]
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text("abc", max_size=40), st.text("abcd", max_size=40), st.integers(0, 3))
+def test_edits_of_any_sequences(a, b, copies):
+    """Single letters, and words of which there are more than single characters could stand for."""
+    a, b = a + "xy" * copies, b + "xy" * copies
+    assert text.edits(a, b) == text.edits(b, a) == distance(a, b)
+    assert text.edits([f"w{c}" for c in a], [f"w{c}" for c in b]) == distance(a, b)
+
+
+def test_edits_of_long_and_many_worded_texts():
+    long = [str(i) for i in range(40_000)]
+    assert text.edits(long, [*long[:50], "x", *long[51:39_990], "y", *long[39_991:]]) == 2 and text.edits("a" * 3000, "b" * 2000) == 3000 and text.edits("", "") == 0
+
+
 def kappa(spark, a, b):
     return spark.createDataFrame(list(zip(map(float, a), map(float, b))), "a double, b double").agg(stats.kappa(F.col("a"), F.col("b")).alias("k")).first().k
 
