@@ -1,10 +1,10 @@
-"""Calibration by group, rate limits and batched inserts on the driver's tables."""
+"""Calibration by group, corrections, rate limits and batched inserts on the driver's tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from assayer.operators import calibration, limits, tenancy
+from assayer.operators import calibration, corrections, limits, tenancy
 from assayer.session import table
 
 GROUP = ["rubric_version", "answer_type"]
@@ -39,7 +39,20 @@ def insert_batches(spark, sf_dir):
     return tenancy.batch_audit(tenancy.in_batches(rows, "request", "id", 40), "request", "id")
 
 
-QUERIES = {f.__name__: f for f in (calibration_blocks, calibration_report, rate_limits, insert_batches)}
+def correction_proposals(spark, sf_dir):
+    """Embeddings as answers to their label's point, overridden the more rarely the greater the label."""
+    e = table(spark, sf_dir, "embeddings").select(F.lit(1).alias("question"), F.col("label").alias("point"), F.col("vec_id").alias("answer"), F.col("embedding").alias("vector"), (F.pmod(F.col("vec_id") * 7, F.col("label") + 2) == 0).alias("overridden"))
+    return corrections.proposals(e).withColumns({"rate": F.round("rate", 6), "nearness": F.round("nearness", 6)})
+
+
+def marker_consistency(spark, sf_dir):
+    """Suppliers as markers of the same lines."""
+    li = table(spark, sf_dir, "lineitem").select(F.pmod("l_suppkey", F.lit(20)).alias("marker"), F.pmod("l_orderkey", F.lit(5000)).alias("script"), F.col("l_linenumber").alias("question"), F.col("l_quantity").alias("mark"))
+    found = corrections.marker_consistency(li, 5.0)
+    return found.select("marker", "n", *(F.round(c, 6).alias(c) for c in ("exact", "bias", "spread")))
+
+
+QUERIES = {f.__name__: f for f in (calibration_blocks, calibration_report, rate_limits, insert_batches, correction_proposals, marker_consistency)}
 _FIT = """s AS (SELECT doc_id % 2 AS v, coalesce(source, 'none') AS a, least(greatest(round_even(n_chars / (n_chars + 2000)::DOUBLE * 10000, 0), 0), 10000)::INT AS bin, quality, CASE WHEN doc_id % 5 < 3 THEN 'train' WHEN doc_id % 5 = 3 THEN 'validate' ELSE 'test' END AS part FROM labels JOIN documents USING (doc_id)),
 pt AS MATERIALIZED (SELECT v, a, bin, count(*) AS n, sum(quality)::BIGINT AS good, row_number() OVER (PARTITION BY v, a ORDER BY bin) AS i, sum(count(*)) OVER w AS cn, sum(sum(quality)) OVER w AS cg FROM s WHERE part = 'train' AND n_ok GROUP BY v, a, bin WINDOW w AS (PARTITION BY v, a ORDER BY bin)),
 av AS (SELECT x.v, x.a, x.i AS f, y.i AS t, (y.cg - x.cg + x.good) / (y.cn - x.cn + x.n)::DOUBLE AS m FROM pt x JOIN pt y ON x.v = y.v AND x.a = y.a AND y.i >= x.i),
@@ -63,4 +76,16 @@ r AS (SELECT caller, kind, seq, nth, t0, TRUE AS allowed, [t0] AS passed FROM n
 SELECT caller, kind, seq, allowed, len(passed)::BIGINT AS used, CASE WHEN NOT allowed THEN round(passed[1] + 43200 - t0, 3) END AS retry_after FROM r""",
     "insert_batches": """WITH d AS (SELECT DISTINCT l_suppkey AS request, l_orderkey AS id FROM lineitem), b AS (SELECT *, (row_number() OVER (PARTITION BY request ORDER BY id) - 1) // 40 AS batch FROM d)
 SELECT request, batch::BIGINT AS batch, 'booklets.issue' AS action, count(*) AS n, min(id) AS first_id, max(id) AS last_id FROM b GROUP BY 1, 2""",
+    "correction_proposals": """WITH m AS (SELECT label AS point, vec_id AS answer, embedding::DOUBLE[] AS x, (vec_id * 7) % (label + 2) = 0 AS wrong FROM embeddings), r AS (SELECT point, count(*) AS n, avg(wrong::INT) AS rate FROM m GROUP BY 1 HAVING avg(wrong::INT) > 0.15::DOUBLE),
+c AS (SELECT m.point, answer, x, i - 1 AS i, x[i] AS y FROM m JOIN r USING (point), range(1, 2000) t(i) WHERE wrong AND i <= len(x)),
+d AS (SELECT point, answer, p, sum(y * ((i * 7 + p * 13 + i * i * (p + 1)) % 11 - 5)) >= 0 AS up FROM c, range(4) q(p) GROUP BY point, answer, p),
+k AS (SELECT point, answer, string_agg(CASE WHEN up THEN '1' ELSE '0' END, '' ORDER BY p) AS kind FROM d GROUP BY point, answer),
+g AS (SELECT point, kind, count(*) AS members, row_number() OVER (PARTITION BY point ORDER BY count(*) DESC, kind DESC) AS nth FROM k GROUP BY point, kind),
+o AS (SELECT point, answer, kind, members, x, sqrt(list_dot_product(x, x)) AS size FROM k JOIN g USING (point, kind) JOIN m USING (point, answer) WHERE nth = 1),
+s AS (SELECT a.point, a.kind, a.members, a.answer, sum(list_dot_product(a.x, b.x) / a.size / b.size) AS near FROM o a JOIN o b USING (point) GROUP BY a.point, a.kind, a.members, a.answer),
+z AS (SELECT point, sqrt(sum(near)) AS whole FROM s GROUP BY 1),
+w AS (SELECT s.*, row_number() OVER (PARTITION BY point ORDER BY round(near / whole, 9) DESC, answer) AS nth, near / whole AS nearness FROM s JOIN z USING (point))
+SELECT 1 AS question, point, n, round(rate, 6) AS rate, kind, members, answer AS exemplar, round(nearness, 6) AS nearness FROM w JOIN r USING (point) WHERE nth = 1""",
+    "marker_consistency": """WITH m AS (SELECT l_suppkey % 20 AS marker, l_orderkey % 5000 AS script, l_linenumber AS question, l_quantity AS mark FROM lineitem), g AS (SELECT marker, mark - (sum(mark) OVER w - mark) / (count(*) OVER w - 1) AS gap, count(*) OVER w AS c FROM m WINDOW w AS (PARTITION BY script, question))
+SELECT marker, count(*) AS n, round(avg((abs(gap) <= 5)::INT), 6) AS exact, round(avg(gap), 6) AS bias, round(stddev_samp(gap), 6) AS spread FROM g WHERE c > 1 GROUP BY 1""",
 }
