@@ -34,6 +34,8 @@ from assayer.llm.places import kept
 SCALE = 256.0
 RATIO = 1.05
 BLOCK_ROWS = 8192
+#: Keys over which candidate blocks are dealt where they meet the queries: at least so many, and one for so many blocks.
+DEALS, DEAL_BLOCKS = 64, 32
 QUERY_ROWS = 1024
 #: Local cosine thresholds from which coordinates prune, and how many of a query's are used.
 COORDINATE_FROM = 0.75
@@ -176,10 +178,14 @@ def scored(queries: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(np.repeat([q for q, _, _ in found], [len(x) for _, x, _ in found]), pa.int64()), pa.array(np.concatenate([x for _, x, _ in found]), pa.int64()), pa.array(np.concatenate([s for _, _, s in found]), pa.int64())], schema=PAIRED)
 
-    # A copy of a query block goes to each candidate block that its bound leaves in: blocks meet by number.
-    numbers = candidates.select("dim", "bucket", "sub", F.col("squared").alias("most"))  # a row for each BLOCK_ROWS vectors
-    sent = queries.join(F.broadcast(numbers), "dim").filter((F.col("low") <= 0) | (F.col("low") * F.col("low") <= F.col("q_squared") * F.col("most") * 1.000001)).drop("most")
-    pairs = candidates.join(sent, ["dim", "bucket", "sub"])
+    # Candidate blocks are dealt over keys and shuffled once; a query block has a copy for each key, not for each block. Neither
+    # side is broadcast by force, and a pair that the bound leaves in never leaves its task.
+    blocks = candidates.count()
+    deals = max(1, min(blocks, max(DEALS, blocks // DEAL_BLOCKS)))
+    given = candidates.withColumn("deal", F.pmod(F.xxhash64("bucket", "sub"), F.lit(deals)))
+    asked = queries.withColumn("deal", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(deals - 1).cast("long"))))
+    least = (F.col("low") <= 0) | (F.col("low") * F.col("low") <= F.col("q_squared") * F.col("squared") * 1.000001)
+    pairs = given.join(asked, ["dim", "deal"]).filter(least)
     return pairs.select("dim", "q_ids", "q_matrix", "bounds", "ids", "matrix").mapInArrow(run, "query_id long, vec_id long, score long")
 
 
