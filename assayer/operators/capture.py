@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Thresholds of the gate, and the page in millimetres.
@@ -33,6 +33,13 @@ def gate_verdict(reasons: Column) -> Column:
     return F.when(F.exists(reasons, lambda r: r.startswith("R_")), "REJECT").when(F.size(reasons) > 0, "WARN").otherwise("ACCEPT")
 
 
+def reason_counts(pages: DataFrame, reasons: Column) -> DataFrame:
+    """(reason, n, pages): how many of all pages each reason holds back."""
+    named = pages.select(F.explode_outer(F.when(F.size(reasons) > 0, reasons)).alias("reason"))
+    counts = named.groupBy("reason").agg(F.count("*").alias("n"))
+    return counts.filter("reason is not null").crossJoin(pages.agg(F.count("*").alias("pages")))  # one row
+
+
 def composite(sharp: Column, contrast: Column, exposure: Column, glare: Column) -> Column:
     return F.least(F.greatest(0.35 * sharp + 0.25 * contrast + 0.20 * exposure + 0.20 * (1 - 10 * glare), F.lit(0.0)), F.lit(1.0))
 

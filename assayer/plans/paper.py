@@ -29,7 +29,7 @@ def quality_gate(spark, sf_dir):
 
 
 def rejection_reasons(spark, sf_dir):
-    return _pages(spark, sf_dir).select(F.explode(_reasons()).alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
+    return capture.reason_counts(_pages(spark, sf_dir), _reasons()).select("reason", "n")
 
 
 def ingest_outcome(spark, sf_dir):

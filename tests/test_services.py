@@ -11,8 +11,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from assayer import schemas
-from assayer.operators import calibration, corrections, tenancy
-from assayer.sources import golden, tables
+from assayer.operators import audit, calibration, capture, corrections, recognition, tenancy
+from assayer.sources import exports, golden, tables
 
 
 def level(points):
@@ -136,3 +136,35 @@ def test_a_database_table_in_ranges(spark, tmp_path):
     log.select(*schemas.TABLES["audit_log"].fieldNames()).write.jdbc(url, "audit_log", properties={"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"})
     back = tables.read_jdbc(spark, "audit_log", url, "id", (0, 50), 4, driver="org.apache.derby.iapi.jdbc.AutoloadedDriver")
     assert back.rdd.getNumPartitions() == 4 and sorted((r["id"], r["action"]) for r in back.collect()) == [(i, f"a{i}") for i in range(50)]
+
+
+@pytest.mark.parametrize("form", exports.FORMATS)
+def test_exports_come_back_and_are_audited(spark, tmp_path, form):
+    rows = [(i, f'name "{i}",\nline', i / 2 if i % 3 else None, i % 2 == 0) for i in range(20)]
+    df = spark.createDataFrame(rows, "script int, name string, total double, finalised boolean")
+    columns, path = {"STUDENT": "name", "MARK": "total"}, str(tmp_path / form)
+    (audited,) = exports.export(df, path, columns, "a.m", form, F.col("finalised")).collect()
+    back = spark.read.format(form).options(**({"header": "true", "escape": '"', "multiLine": "true"} if form == "csv" else {})).load(path)
+    assert set(back.columns) <= {"STUDENT", "MARK"} and {(r.STUDENT, None if r.MARK is None else float(r.MARK)) for r in back.collect()} == {(n, t) for _, n, t, f in rows if f}
+    assert (audited.action, audited.actor_id, audited.entity_id) == ("results.export", "a.m", path) and json.loads(audited.after) == {"columns": ["STUDENT", "MARK"], "format": form, "rows": 10}
+    assert audit.actor_violations(spark.createDataFrame([audited])).count() == 0
+    with pytest.raises(Exception, match="(?i)exists"):
+        exports.export(df, path, columns, "a.m", form)
+    assert [tuple(r) for r in exports.preview(df, columns, ["script"], F.col("script") > 9).collect()] == [(n, t) for i, n, t, _ in rows if 9 < i < 15]
+
+
+def test_exports_refuse_unknown_formats_and_nobody(spark, tmp_path):
+    for actor, form in (("a", "xls"), ("", "csv")):
+        with pytest.raises(ValueError):
+            exports.export(spark.range(1), str(tmp_path / "x"), {"id": "id"}, actor, form)
+
+
+def test_calls_pay_once_they_succeed(spark):
+    rows = [("k", 1, False), ("k", 2, True), ("k", 3, True), ("j", 4, False), ("l", 5, True)]
+    found = recognition.read_through(spark.createDataFrame(rows, "key string, nth int, good boolean").withColumn("price", F.lit(2.0)), "key", "nth", "price", F.col("good"))
+    assert {r.nth: (r.cost, r.from_cache) for r in found.collect()} == {1: (0.0, False), 2: (2.0, False), 3: (0.0, True), 4: (0.0, False), 5: (2.0, False)}
+
+
+def test_reasons_are_counted(spark):
+    df = spark.createDataFrame([(["R_DPI", "W_SKEW"],), (["R_DPI"],), ([],)], "why array<string>")
+    assert {r.reason: (r.n, r.pages) for r in capture.reason_counts(df, F.col("why")).collect()} == {"R_DPI": (2, 3), "W_SKEW": (1, 3)}
