@@ -100,6 +100,29 @@ PIXEL_GATE = {"sharpness": (0.35, 0.55), "exposure": (0.60, 0.80), "contrast": (
 PIXEL_GLARE, PIXEL_SKEW, BLANK, PROCEED, DEGRADED = (0.06, 0.02), (5.0, 2.0), 0.005, 0.70, 0.50
 
 
+#: Fixed value: a frame longer than this for its width holds two pages.
+TWO_PAGES = 1.6
+
+
+def upload_flags(uploads: DataFrame) -> DataFrame:
+    """``flags`` and ``first`` for uploads (upload, exam, content, height, width, marker_sets, screen).
+
+    MULTIPLE_PAGES_IN_FRAME: two sets of markers, or a frame too long for one page; it is rejected, as is DUPLICATE_UPLOAD: bytes that the exam already has,
+    ``first`` being the upload that brought them (null without bytes). SUSPECTED_SCREEN_CAPTURE is a warning. Copies meet by digest, summed before they are joined back.
+    """
+    digest = uploads.withColumn("digest", F.sha2("content", 256))
+    firsts = digest.groupBy("exam", "digest").agg(F.min("upload").alias("first"))
+    long, short = F.greatest("height", "width"), F.least("height", "width")
+    flags = F.array_compact(
+        F.array(
+            F.when(F.coalesce(F.col("marker_sets") > 1, F.lit(False)) | (long > short * TWO_PAGES), "MULTIPLE_PAGES_IN_FRAME"),
+            F.when(F.col("first") < F.col("upload"), "DUPLICATE_UPLOAD"),
+            F.when(F.col("screen"), "SUSPECTED_SCREEN_CAPTURE"),
+        )
+    )
+    return digest.join(firsts, ["exam", "digest"], "left").withColumn("flags", flags)
+
+
 def pixel_reasons(m: Column) -> Column:
     """Codes of what the measures (sharpness, exposure, contrast, glare, dpi, skew, ink) show; null measures reject."""
     below = [F.when(F.coalesce(m[n] < reject, F.lit(True)), f"R_{n.upper()}").when(m[n] < warn, f"W_{n.upper()}") for n, (reject, warn) in PIXEL_GATE.items()]

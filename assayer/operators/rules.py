@@ -70,7 +70,8 @@ def awards(verdicts: DataFrame, floor: Value = POLICY["entail_confidence_floor"]
 def dependencies(points: DataFrame) -> DataFrame:
     """Points whose required point, or any that this one requires in turn, has no marks lose theirs.
 
-    A question's points, a rubric's number, meet in one row, and each follows its chain to the end; a code used twice counts
+    A question's points, a rubric's number, meet in one row, and each follows its chain to the end, in time that grows with the cube of
+    that number; a code used twice counts
     by its greatest marks. A required code that no point has counts as no marks; a cycle ends where it began.
     """
     rows = points.groupBy("script", "question").agg(F.collect_list(F.struct(*points.columns)).alias("ps"))

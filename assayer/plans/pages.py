@@ -52,5 +52,15 @@ def struck_pixels(spark, sf_dir):
     return rows.select("doc_id", F.size("runs").alias("runs"), struck.alias("struck"))
 
 
-QUERIES = {f.__name__: f for f in (rectified_pages, page_gate, prepared_pages, screen_captures, struck_pixels)}
-SQL: dict[str, str] = {}
+def upload_flags(spark, sf_dir):
+    """Documents as uploads to their source's exam; ids give sizes, markers and what the spectrum says."""
+    k = F.col("doc_id")
+    rows = table(spark, sf_dir, "documents").select(k.alias("upload"), F.coalesce("source", F.lit("none")).alias("exam"), F.encode("text", "utf-8").alias("content"), F.when(F.pmod(k, F.lit(11)) == 0, 1700).otherwise(1500).alias("height"), F.lit(1000).alias("width"), F.when(F.pmod(k, F.lit(17)) == 0, 2).otherwise(1).alias("marker_sets"), (F.pmod(k, F.lit(23)) == 0).alias("screen"))
+    return capture.upload_flags(rows).select("upload", "first", F.array_join("flags", ",").alias("flags"))
+
+
+QUERIES = {f.__name__: f for f in (rectified_pages, page_gate, prepared_pages, screen_captures, struck_pixels, upload_flags)}
+SQL = {
+    "upload_flags": """WITH u AS (SELECT doc_id AS upload, doc_id AS k, min(doc_id) OVER (PARTITION BY coalesce(source, 'none'), text) AS f, text IS NULL AS missing FROM documents)
+SELECT upload, CASE WHEN NOT missing THEN f END AS first, array_to_string(list_filter([CASE WHEN k % 17 = 0 OR k % 11 = 0 THEN 'MULTIPLE_PAGES_IN_FRAME' END, CASE WHEN f < upload AND NOT missing THEN 'DUPLICATE_UPLOAD' END, CASE WHEN k % 23 = 0 THEN 'SUSPECTED_SCREEN_CAPTURE' END], lambda x: x IS NOT NULL), ',') AS flags FROM u""",
+}

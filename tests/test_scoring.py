@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+import random
 import statistics
 import unicodedata
 
@@ -23,7 +24,7 @@ def distance(a, b):
     return row[-1]
 
 
-PAIRS = [("page table walk", "page tadle wolk"), ("", ""), ("", "nothing there"), ("Semaphore", "semaphore"), ("so, it waits", "so it waits"), ("x y z", "x  y\tz"), ("naïve", "nai\u0308ve"), ("ﬁne", "fine"), ("scheduler", "rescheduled"), ("abc " * 40, "cba " * 40)]
+PAIRS = [("osmotic drift", "osmofic drlft"), ("", ""), ("", "some ink"), ("Larva", "larva"), ("then, it melts", "then it melts"), ("q r s", "q  r\ts"), ("fête", "fe\u0302te"), ("ﬂow", "flow"), ("sediment", "unsettled"), ("mud " * 40, "dum " * 40)]
 
 
 def test_character_errors(spark):
@@ -67,33 +68,42 @@ def kappa(spark, a, b):
     return spark.createDataFrame(list(zip(map(float, a), map(float, b))), "a double, b double").agg(stats.kappa(F.col("a"), F.col("b")).alias("k")).first().k
 
 
-def test_kappa(spark):
-    up = list(range(11))
-    assert kappa(spark, up, up) == 1.0
-    assert kappa(spark, up, up[::-1]) < 0
-    assert kappa(spark, [3, 3], [3, 3]) == 1.0 and kappa(spark, [3, 3], [4, 4]) < 0.5
-    assert kappa(spark, [4, 5, 6], [5, 6, 4]) == pytest.approx(-0.5)
-    close = kappa(spark, [0, 2, 4, 6, 8, 10, 4, 6, 2, 8], [1, 3, 5, 7, 9, 10, 5, 7, 3, 9])
-    assert close > 0.8
+def plain_kappa(a, b):
+    """One less the observed over the expected squared differences, all pairs of ratings counted."""
+    seen = sum((x - y) ** 2 for x, y in zip(a, b)) / len(a)
+    chance = sum((x - y) ** 2 for x in a for y in b) / len(a) ** 2
+    return 1 - seen / chance if chance else float(not seen)
 
 
-@pytest.mark.parametrize("words", [[0.98] * 6 + [0.2], [0.95] * 4, [0.6] * 3, [0.75], [], [1.0, 0.0], [0.9, 0.7]])
-def test_line_confidence(spark, words):
+def test_kappa(spark):
+    """Against all pairs of ratings, for markers who agree, hardly agree, turn the scale round, or know one mark only."""
+    rng = random.Random(12)
+    one = [rng.randint(0, 12) for _ in range(40)]
+    for other in (one, [x + rng.choice([-1, 0, 0, 1]) for x in one], [12 - x for x in one], [rng.randint(0, 12) for _ in one], rng.sample(one, 40), [6] * 40):
+        assert kappa(spark, one, other) == pytest.approx(plain_kappa(one, other))
+    for n, other in ((5, 7), (7, 7)):
+        assert kappa(spark, [n] * 3, [other] * 3) == plain_kappa([n] * 3, [other] * 3)
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_line_confidence(spark, seed):
+    rng = random.Random(seed)
+    words = [round(rng.betavariate(8, 1 + seed), 3) for _ in range(seed * (seed - 1) // 2)] + [0.05] * (seed == 5)
     got = spark.createDataFrame([(w,) for w in words], "w double").agg(stats.line_confidence(F.col("w")).alias("c")).first().c
     want = 0.0 if not words else max(0.0, min(1.0, statistics.fmean(words), 1 - 2 * (statistics.stdev(words) if len(words) > 1 else 0)))
     assert got == pytest.approx(want)
 
 
 def test_golden_set_end_to_end(spark, tmp_path):
-    lines = [{"booklet_id": "b", "page_no": 1, "line_index": i, "text": t, "illegible": i == 3} for i, t in enumerate(["mutual exclusion", "hold and wait", "no preemption", "???"])]
+    lines = [{"booklet_id": "b", "page_no": 1, "line_index": i, "text": t, "illegible": i == 3} for i, t in enumerate(["glacial erosion", "ice and snow", "slow moraines", "???"])]
     (tmp_path / "transcriptions.jsonl").write_text("// first\n\n" + "\n".join(map(json.dumps, lines)))
     marks = [{"booklet_id": "b", "question_number": str(i), "max_marks": 10, "marker_a": i, "marker_b": i + 1, "adjudicated": None} for i in range(6)]
     (tmp_path / "marks.jsonl").write_text("\n".join(map(json.dumps, marks)))
-    (tmp_path / "p.json").write_text(json.dumps({"transcriptions": {"b:1:0": "mutual exclusiom", "b:1:1": "hold and wait"}, "marks": {f"b:{i}": i for i in range(5)} | {"z:1": 3}}))
+    (tmp_path / "p.json").write_text(json.dumps({"transcriptions": {"b:1:0": "glacial erosiom", "b:1:1": "ice and snow"}, "marks": {f"b:{i}": i for i in range(5)} | {"z:1": 3}}))
     l, m = golden.load(spark, str(tmp_path))
     pl, pm = golden.load_predictions(spark, str(tmp_path / "p.json"))
     t = evaluation.score_transcriptions(l, pl, ["booklet_id", "page_no", "line_index"]).first()
-    assert (t.measured, t.skipped, t.missing, t.char_errors, t.chars, t.word_errors, t.words) == (2, 1, 1, 1, 29, 1, 5)
+    assert (t.measured, t.skipped, t.missing, t.char_errors, t.chars, t.word_errors, t.words) == (2, 1, 1, 1, 27, 1, 5)
     assert t.tier1 == "PASS" and t.wer > t.cer
     s = evaluation.score_marks(m, pm, ["booklet_id", "question_number"]).first()
     assert s.matched == 5 and s.scale == 10 and s.verdict == "PASS"
