@@ -59,8 +59,22 @@ def upload_flags(spark, sf_dir):
     return capture.upload_flags(rows).select("upload", "first", F.array_join("flags", ",").alias("flags"))
 
 
-QUERIES = {f.__name__: f for f in (rectified_pages, page_gate, prepared_pages, screen_captures, struck_pixels, upload_flags)}
+def page_levels(spark, sf_dir):
+    """The gate's measures that a histogram gives, of whole pages."""
+    m = images.gate_measures(F.col("image"), F.col("h"), F.col("w"))
+    return _pages(spark, sf_dir).select("doc_id", m.alias("m")).select("doc_id", *(F.round(f"m.{n}", 9).alias(n) for n in ("exposure", "contrast", "dpi", "ink")))
+
+
+QUERIES = {f.__name__: f for f in (rectified_pages, page_gate, page_levels, prepared_pages, screen_captures, struck_pixels, upload_flags)}
 SQL = {
+    "page_levels": """WITH p AS (SELECT doc_id, hex(encode(text)) AS x, greatest(ceil(strlen(text) / 64), 1)::BIGINT AS h FROM documents),
+b AS (SELECT doc_id, h, CASE WHEN i * 2 < length(x) THEN ('0x' || substr(x, i * 2 + 1, 2))::INTEGER ELSE 255 END AS v FROM (SELECT *, unnest(range(h * 64)) AS i FROM p)),
+c AS (SELECT doc_id, any_value(h) AS h, v, count(*)::BIGINT AS n FROM b GROUP BY doc_id, v),
+w AS (SELECT *, (sum(n) OVER up)::BIGINT AS cn, (sum(n * v) OVER up)::BIGINT AS cl, (sum(n) OVER whole)::BIGINT AS tn, (sum(n * v) OVER whole)::BIGINT AS tl, count(*) OVER whole AS kinds FROM c WINDOW up AS (PARTITION BY doc_id ORDER BY v), whole AS (PARTITION BY doc_id)),
+g AS (SELECT *, (tl * cn - cl * tn)::DOUBLE AS d FROM w), f AS (SELECT *, CASE WHEN cn < tn THEN d * d / (cn * (tn - cn)) ELSE 0.0 END AS apart FROM g),
+t AS (SELECT *, first_value(v) OVER (PARTITION BY doc_id ORDER BY apart DESC, v) AS level FROM f)
+SELECT doc_id, round(1 - (coalesce(sum(n) FILTER (v < 5 OR v > 250), 0))::DOUBLE / any_value(tn), 9) AS exposure, round((min(v) FILTER (cn * 4 >= tn * 3) - min(v) FILTER (cn * 4 >= tn)) / 255::DOUBLE, 9) AS contrast, round(any_value(h) / 11.69::DOUBLE, 9) AS dpi,
+  round(CASE WHEN any_value(kinds) > 1 THEN sum(n) FILTER (v <= level) / any_value(tn)::DOUBLE ELSE 0.0 END, 9) AS ink FROM t GROUP BY doc_id""",
     "upload_flags": """WITH u AS (SELECT doc_id AS upload, doc_id AS k, min(doc_id) OVER (PARTITION BY coalesce(source, 'none'), text) AS f, text IS NULL AS missing FROM documents)
 SELECT upload, CASE WHEN NOT missing THEN f END AS first, array_to_string(list_filter([CASE WHEN k % 17 = 0 OR k % 11 = 0 THEN 'MULTIPLE_PAGES_IN_FRAME' END, CASE WHEN f < upload AND NOT missing THEN 'DUPLICATE_UPLOAD' END, CASE WHEN k % 23 = 0 THEN 'SUSPECTED_SCREEN_CAPTURE' END], lambda x: x IS NOT NULL), ',') AS flags FROM u""",
 }
