@@ -1,7 +1,7 @@
 """Page images (8-bit grey, bytes with height and width) in Arrow batches: rectifying, the pixel gate, skew, light, screens, strikes.
 
 A row whose bytes are null or don't fit its size has a null result. A batch holds few images (Spark bounds it by bytes), and an
-image is worked on in strips or by whole-array operations, so memory stays a small multiple of one image.
+image is worked on in strips or by whole-array operations: some 10 bytes a pixel for most, some 60 for spectra.
 """
 
 from __future__ import annotations
@@ -217,10 +217,14 @@ def equalised(image: np.ndarray, clip: float = 2.0, tiles: int = 8) -> np.ndarra
         low = np.floor(place).astype(int)
         return low, np.minimum(low + 1, len(middle) - 1), place - low
 
-    i, i2, p = (x[:, None] for x in between(rows, h))
-    j, j2, q = (x[None, :] for x in between(columns, w))
-    top, bottom = maps[i, j, image] * (1 - q) + maps[i, j2, image] * q, maps[i2, j, image] * (1 - q) + maps[i2, j2, image] * q
-    return np.clip(np.rint(top * (1 - p) + bottom * p), 0, 255).astype(np.uint8)
+    out = np.empty(image.shape, np.uint8)
+    across, (j, j2, q) = between(rows, h), (x[None, :] for x in between(columns, w))
+    for start in range(0, h, STRIP):
+        part = image[start : start + STRIP]
+        i, i2, p = (x[start : start + STRIP, None] for x in across)
+        top, bottom = maps[i, j, part] * (1 - q) + maps[i, j2, part] * q, maps[i2, j, part] * (1 - q) + maps[i2, j2, part] * q
+        out[start : start + STRIP] = np.clip(np.rint(top * (1 - p) + bottom * p), 0, 255)
+    return out
 
 
 def lit(image: np.ndarray) -> np.ndarray:
