@@ -302,6 +302,7 @@ def with_token_ids(df: DataFrame, model: str, text: str = "text") -> DataFrame:
             offsets = pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32))
             decoded = pa.array([hashlib.sha256(t.encode()).hexdigest() for t in tool.model.decode_all(ids, counts)], pa.string())
             yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(offsets, pa.array(ids)), pa.array(counts), decoded], [*names, "token_ids", "n_tokens", "decoded_sha256"])
+        tool.clear()  # a worker outlives the stage: what it remembers is for one task
 
     return kept.mapInArrow(run, schema)
 
