@@ -9,27 +9,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayer.llm import language, mixing, neardup, pieces, secrets
+from assayer.llm.batches import small_batches
 from assayer.llm.places import kept
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``lang`` as told by a model of the labelled rows; texts without a letter, or split evenly, go."""
+    small_batches(spark)
     return language.identified(docs, language.fit(docs))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates on five-word shingles stays."""
+    small_batches(spark)
     return neardup.deduplicated(docs)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document stays; its secrets are masked and ``n_chars`` follows."""
+    small_batches(spark)
     masked = secrets.redact(docs)
     return masked.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them, whole and in the order of virtual time."""
+    small_batches(spark)
     return mixing.mixed(docs, parts=False).withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
 
 
@@ -37,6 +42,7 @@ def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents with their ids, and the digest of what the ids decode to."""
     import public_tokenizers
 
+    small_batches(spark)
     return pieces.with_token_ids(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
