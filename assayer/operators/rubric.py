@@ -5,7 +5,7 @@ Statements are judged by their form: a claim has a finite verb of a list that ca
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from functools import reduce
 
 import numpy as np
@@ -117,13 +117,51 @@ def freezable(found: DataFrame, questions: DataFrame) -> DataFrame:
     return questions.join(found.filter("severity = 'BLOCK'").select("question").distinct(), "question", "left_anti")
 
 
+def on_cycles(requirements: Iterable[tuple]) -> list:
+    """Codes that lead back to themselves, of (code, required code): Tarjan's strong components without recursion, linear in time and memory."""
+    after: dict = {}
+    for code, to in requirements:
+        after.setdefault(code, []).append(to)
+    number, low, path, held, found = {}, {}, [], set(), []
+    for first in after:
+        todo = [] if first in number else [(first, None)]
+        while todo:
+            code, rest = todo.pop()
+            if rest is None:
+                number[code] = low[code] = len(number)
+                path.append(code)
+                held.add(code)
+                rest = iter(after[code])
+            for to in rest:
+                if to in after and to not in number:
+                    todo += [(code, rest), (to, None)]
+                    break
+                if to in held:
+                    low[code] = min(low[code], number[to])
+            else:
+                if todo:
+                    low[todo[-1][0]] = min(low[todo[-1][0]], low[code])
+                if low[code] == number[code]:
+                    ring = []
+                    while not ring or ring[-1] != code:
+                        ring.append(path.pop())
+                    held.difference_update(ring)
+                    found += ring if len(ring) > 1 or code in after[code] else []
+    return found
+
+
 def cycles(points: DataFrame) -> DataFrame:
     """(question, code) of points that require themselves over any number of steps.
 
-    A question's distinct requirements, a rubric's number, meet in one row; what a code reaches grows by a step as often as there are requirements.
+    A point on a cycle requires one that requires and is required by one that does; a question's distinct requirements of that kind meet in one task.
     """
-    edges = points.filter("requires is not null and code is not null").groupBy("question").agg(F.collect_set(F.struct("code", F.col("requires").alias("to"))).alias("es"))
-    after = lambda codes: F.transform(F.filter("es", lambda e: F.array_contains(codes, e["code"])), lambda e: e["to"])
-    reach = lambda code: F.aggregate(F.sequence(F.lit(1), F.size("es")), after(F.array(code)), lambda seen, _: F.array_union(seen, after(seen)))
-    found = F.array_distinct(F.filter(F.transform("es", lambda e: e["code"]), lambda c: F.array_contains(reach(c), c)))
-    return edges.select("question", F.explode(found).alias("code"))
+    edges = points.filter("requires is not null and code is not null").select("question", "code", F.col("requires").alias("to")).distinct()
+    same = lambda a, b: F.col("e.question").eqNullSafe(F.col("o.question")) & (F.col(f"e.{a}") == F.col(f"o.{b}"))
+    kept = edges.alias("e").join(edges.alias("o"), same("to", "code"), "left_semi").join(edges.alias("o"), same("code", "to"), "left_semi")
+    kind = {f.name: f.dataType.simpleString() for f in edges.schema}
+
+    def closed(table: pa.Table) -> pa.Table:
+        found = on_cycles(zip(table["code"].to_pylist(), table["to"].to_pylist()))
+        return pa.table({"question": table["question"].slice(0, len(found)), "code": pa.array(found, table.schema.field("code").type)})
+
+    return kept.groupBy("question").applyInArrow(closed, f"question {kind['question']}, code {kind['code']}")

@@ -149,6 +149,14 @@ def test_rubric(spark):
     assert [r.question for r in rubric.freezable(found, questions).collect()] == ["fine"]
 
 
+def test_a_question_of_many_requirements(spark):
+    """A ring of 4,000 points, a chain of 4,000 that leads into it, one that leads out of it, and one of no question that requires itself."""
+    n = 4000
+    rows = [("q", i, (i + 1) % n) for i in range(n)] + [("q", n + i, n + i + 1 if i < n - 1 else 0) for i in range(n)] + [("q", 5, 2 * n)] + [("q", 2 * n + i, 2 * n + i + 1) for i in range(n)] + [(None, 1, 1)]
+    got = rubric.cycles(spark.createDataFrame(rows, "question string, code long, requires long")).collect()
+    assert sorted((r.question or "", r.code) for r in got) == [("", 1), *(("q", i) for i in range(n))]
+
+
 def test_alike_points_in_blocks_against_all_pairs(spark, monkeypatch):
     rng = np.random.default_rng(2)
     centres = rng.normal(size=(6, 5))
