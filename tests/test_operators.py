@@ -149,6 +149,18 @@ def test_rubric(spark):
     assert [r.question for r in rubric.freezable(found, questions).collect()] == ["fine"]
 
 
+def test_requirements_in_cycles_against_reachability():
+    rng = np.random.default_rng(5)
+    for n, m in ((1, 1), (4, 5), (8, 9), (12, 14), (30, 33), (30, 60)):
+        for _ in range(40):
+            pairs = [tuple(p) for p in rng.integers(0, n, (m, 2)).tolist()]
+            reach = np.zeros((n, n), bool)
+            reach[tuple(zip(*pairs))] = True
+            for k in range(n):
+                reach |= reach[:, [k]] & reach[[k], :]
+            assert sorted(rubric.on_cycles(pairs)) == np.nonzero(reach.diagonal())[0].tolist()
+
+
 def test_a_question_of_many_requirements(spark):
     """A ring of 4,000 points, a chain of 4,000 that leads into it, one that leads out of it, and one of no question that requires itself."""
     n = 4000
