@@ -13,8 +13,8 @@ MEASURES = T.StructType([T.StructField(n, T.DoubleType()) for n in ("sharpness",
 
 def laplacian_variance(image: np.ndarray) -> float:
     """Variance of the four-neighbour Laplacian with mirrored borders."""
-    p = np.pad(image.astype(np.float64), 1, mode="reflect") if min(image.shape) > 1 else np.pad(image.astype(np.float64), 1, mode="edge")
-    return float((p[:-2, 1:-1] + p[2:, 1:-1] + p[1:-1, :-2] + p[1:-1, 2:] - 4 * p[1:-1, 1:-1]).var())
+    p = np.pad(image.astype(np.int16), 1, mode="reflect") if min(image.shape) > 1 else np.pad(image.astype(np.int16), 1, mode="edge")
+    return float((p[:-2, 1:-1] + p[2:, 1:-1] + p[1:-1, :-2] + p[1:-1, 2:] - 4 * p[1:-1, 1:-1]).astype(np.float64).var())
 
 
 @F.pandas_udf(MEASURES)

@@ -133,6 +133,38 @@ def test_gate_measures_by_pixels(spark):
     assert got[3].m.glare > 0.25 and "R_GLARE" in got[3].g.reasons and got[1].m.ink == 0 and "W_BLANK_PAGE" in got[1].g.reasons
 
 
+def plain_skew(image):
+    """Angle by angle."""
+    y, x = np.nonzero(images.ink(image))
+    y, x = y - (image.shape[0] - 1) / 2, x - (image.shape[1] - 1) / 2
+    reach, best, angle = 4 * (int(np.hypot(*image.shape) / 2) + 3), -1.0, 0.0
+    for tenth in sorted(range(-40, 41), key=lambda t: (abs(t), t)) if len(y) else ():
+        turn = np.deg2rad(tenth / 10)
+        total = np.r_[0, np.bincount(np.floor(4 * (y * np.cos(turn) - x * np.sin(turn))).astype(int) + reach, minlength=2 * reach + 1).cumsum()]
+        spread = float((total[8:] - total[:-8]).var())
+        if spread > best * (1 + 1e-12):
+            best, angle = spread, tenth / 10
+    return angle
+
+
+def counted(monkeypatch, calls):
+    inner = np.bincount
+    monkeypatch.setattr(np, "bincount", lambda *a, **k: calls.append(1) or inner(*a, **k))
+
+
+def test_skew_tries_many_angles_at_once(monkeypatch):
+    rng = np.random.default_rng(11)
+    shots = [rng.integers(0, 256, s).astype(np.uint8) for s in ((1, 1), (1, 64), (3, 64), (40, 64), (64, 3))] + [page(rng, slope=a) for a in (-3.3, 0.0, 1.7)] + [np.full((9, 9), 7, np.uint8)]
+    assert [images.skew_of(a) for a in shots] == [plain_skew(a) for a in shots]
+    monkeypatch.setattr(images, "ANGLE_PIXELS", 1000)
+    assert images.skew_of(shots[6]) == plain_skew(shots[6])
+    monkeypatch.undo()
+    calls = []
+    counted(monkeypatch, calls)
+    images.measures(shots[3])
+    assert len(calls) <= 10  # 84 when each angle had its own
+
+
 def test_bands_of_the_pixel_gate(spark):
     good = dict(sharpness=0.9, exposure=0.95, contrast=0.6, glare=0.0, dpi=210.0, skew=0.0, ink=0.05)
     cases = [({}, "PROCEED", []), ({"contrast": 0.3, "sharpness": 0.5}, "IMAGE_DEGRADED", ["W_SHARPNESS", "W_CONTRAST"]), ({"skew": -5.1}, "REJECT", ["R_SKEW"]), ({"skew": 2.1}, "PROCEED", ["W_SKEW"]), ({"glare": 0.061}, "REJECT", ["R_GLARE"]), ({"dpi": 149.0}, "REJECT", ["R_DPI"]), ({"ink": 0.004}, "PROCEED", ["W_BLANK_PAGE"]), ({"sharpness": None}, "REJECT", ["R_SHARPNESS"])]
