@@ -165,6 +165,33 @@ def test_skew_tries_many_angles_at_once(monkeypatch):
     assert len(calls) <= 10  # 84 when each angle had its own
 
 
+def plain_maps(image, rows, columns, clip=2.0):
+    """Tile by tile: the level that each level is taken to."""
+    out = np.empty((len(rows) - 1, len(columns) - 1, 256))
+    for i, j in np.ndindex(out.shape[:2]):
+        counts = np.bincount(image[rows[i] : rows[i + 1], columns[j] : columns[j + 1]].ravel(), minlength=256).astype(float)
+        most = max(clip * counts.sum() / 256, 1.0)
+        out[i, j] = (np.minimum(counts, most) + np.maximum(counts - most, 0).sum() / 256).cumsum() * (255 / counts.sum())
+    return out
+
+
+@pytest.mark.parametrize("shape", [(70, 64), (600, 33), (5, 64), (1, 1)])
+def test_tiles_are_counted_together(monkeypatch, shape):
+    image = np.random.default_rng(4).integers(0, 256, shape).astype(np.uint8)
+    rows, columns = (np.linspace(0, n, min(8, n) + 1).astype(int) for n in shape)
+    maps, want = plain_maps(image, rows, columns), np.empty(shape)
+    for y, x in np.ndindex(shape):
+        p, q = (np.interp(v, (b[1:] + b[:-1] - 1) / 2, np.arange(len(b) - 1)) for v, b in ((y, rows), (x, columns)))
+        i, j = int(p), int(q)
+        i2, j2 = min(i + 1, len(rows) - 2), min(j + 1, len(columns) - 2)
+        v = image[y, x]
+        want[y, x] = (maps[i, j, v] * (1 - q + j) + maps[i, j2, v] * (q - j)) * (1 - p + i) + (maps[i2, j, v] * (1 - q + j) + maps[i2, j2, v] * (q - j)) * (p - i)
+    calls = []
+    counted(monkeypatch, calls)
+    assert close(images.equalised(image), np.clip(np.rint(want), 0, 255).astype(np.uint8))
+    assert len(calls) <= -(-shape[0] // images.STRIP)  # one a strip; 64 when each tile had its own
+
+
 def test_bands_of_the_pixel_gate(spark):
     good = dict(sharpness=0.9, exposure=0.95, contrast=0.6, glare=0.0, dpi=210.0, skew=0.0, ink=0.05)
     cases = [({}, "PROCEED", []), ({"contrast": 0.3, "sharpness": 0.5}, "IMAGE_DEGRADED", ["W_SHARPNESS", "W_CONTRAST"]), ({"skew": -5.1}, "REJECT", ["R_SKEW"]), ({"skew": 2.1}, "PROCEED", ["W_SKEW"]), ({"glare": 0.061}, "REJECT", ["R_GLARE"]), ({"dpi": 149.0}, "REJECT", ["R_DPI"]), ({"ink": 0.004}, "PROCEED", ["W_BLANK_PAGE"]), ({"sharpness": None}, "REJECT", ["R_SHARPNESS"])]
