@@ -61,7 +61,7 @@ def upload_flags(spark, sf_dir):
 
 def page_levels(spark, sf_dir):
     """The gate's measures that a histogram gives, of whole pages."""
-    m = images.gate_measures(F.col("image"), F.col("h"), F.col("w"))
+    m = images.level_measures(F.col("image"), F.col("h"), F.col("w"))
     return _pages(spark, sf_dir).select("doc_id", m.alias("m")).select("doc_id", *(F.round(f"m.{n}", 9).alias(n) for n in ("exposure", "contrast", "dpi", "ink")))
 
 

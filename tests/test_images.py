@@ -192,6 +192,22 @@ def test_tiles_are_counted_together(monkeypatch, shape):
     assert len(calls) <= -(-shape[0] // images.STRIP)  # one a strip; 64 when each tile had its own
 
 
+def test_levels_need_a_histogram_only(spark, monkeypatch):
+    """The same as the gate's, without a search for angles or blobs."""
+    rng = np.random.default_rng(6)
+    shots = [page(rng), rng.integers(0, 256, (60, 50)).astype(np.uint8), np.array([[7]], np.uint8), np.full((5, 4), 255, np.uint8)]
+    df = spark.createDataFrame([(i, bytearray(a.tobytes()), *a.shape) for i, a in enumerate(shots)] + [(9, None, 4, 4), (10, bytearray(b"abc"), 2, 2)], "i int, image binary, h int, w int")
+    at, names = (F.col("image"), F.col("h"), F.col("w")), ("exposure", "contrast", "dpi", "ink")
+    for r in df.select("i", images.level_measures(*at).alias("m"), images.gate_measures(*at).alias("g")).collect():
+        assert (r.m is None or r.m.ink is None) == (r.i > 8)
+        assert r.i > 8 or [r.m[n] for n in names] == [r.g[n] for n in names]
+    plan = catalog.QUERIES["page_levels"](spark, SMALL)._jdf.queryExecution().toString()
+    assert "skew" not in plan and "glare" not in plan
+    for name in ("skew_of", "glare", "laplacian_variance"):
+        monkeypatch.delattr(images, name)
+    assert len(images.levels(shots[0])) == 4
+
+
 def test_bands_of_the_pixel_gate(spark):
     good = dict(sharpness=0.9, exposure=0.95, contrast=0.6, glare=0.0, dpi=210.0, skew=0.0, ink=0.05)
     cases = [({}, "PROCEED", []), ({"contrast": 0.3, "sharpness": 0.5}, "IMAGE_DEGRADED", ["W_SHARPNESS", "W_CONTRAST"]), ({"skew": -5.1}, "REJECT", ["R_SKEW"]), ({"skew": 2.1}, "PROCEED", ["W_SKEW"]), ({"glare": 0.061}, "REJECT", ["R_GLARE"]), ({"dpi": 149.0}, "REJECT", ["R_DPI"]), ({"ink": 0.004}, "PROCEED", ["W_BLANK_PAGE"]), ({"sharpness": None}, "REJECT", ["R_SHARPNESS"])]
