@@ -7,19 +7,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import SparkSession
 
-#: Bytes of an Arrow batch that Spark sends to a worker, where a job asks for small ones.
-BATCH_BYTES = 4 << 20
+from assayer.session import BATCH_BYTES, small_batches  # noqa: F401
+
 #: Bytes of text that a worker handles at once, whatever the rows in an Arrow batch.
 SLICE_BYTES = 1 << 20
 
 
-def small_batches(spark: SparkSession) -> None:
-    """From here on the session's Arrow batches have about BATCH_BYTES. By default they may have 64 MB, which every task holds outside the heap, both ways."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-
-
 def bounded(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches so that ``column`` holds at most ``limit`` bytes each; a longer single row stays alone."""
     for batch in batches:

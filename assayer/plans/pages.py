@@ -6,13 +6,14 @@ from pyspark.sql import functions as F
 
 from assayer.functions import images
 from assayer.operators import capture, reconcile
-from assayer.session import table
+from assayer.session import small_batches, table
 
 WIDTH = 64
 
 
 def _pages(spark, sf_dir):
-    """(doc_id, image, h, w): whole texts, padded with white to full rows."""
+    """(doc_id, image, h, w): whole texts, padded with white to full rows, in small Arrow batches."""
+    small_batches(spark)
     raw = F.encode("text", "utf-8")
     rows = F.ceil(F.greatest(F.octet_length(raw), F.lit(1)) / WIDTH).cast("int")
     return table(spark, sf_dir, "documents").select("doc_id", rows.alias("h"), F.lit(WIDTH).alias("w"), raw.alias("raw")).select("doc_id", "h", "w", F.unhex(F.rpad(F.hex("raw"), F.col("h") * WIDTH * 2, F.lit("F"))).alias("image"))

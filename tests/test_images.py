@@ -77,6 +77,19 @@ def test_rectified_pages(spark):
             assert close(own, plain_warp(image, matrix, 48, 40, 255))
 
 
+def test_pages_come_in_small_batches(spark):
+    """40 pages of 1 MB in one task: a worker holds a few at a time, not 64 MB of them."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(key)
+    try:
+        catalog.QUERIES["rectified_pages"](spark, SMALL)
+        many = F.pandas_udf(lambda x: pd.Series([len(x)] * len(x)), "long")
+        pages = spark.range(0, 40, 1, 1).select(F.encode(F.repeat(F.lit("x"), 1 << 20), "utf-8").alias("image"))
+        assert max(r.n for r in pages.select(many("image").alias("n")).collect()) <= 8
+    finally:
+        spark.conf.unset(key)
+
+
 def test_a_page_comes_back_from_its_photograph():
     flat = page(np.random.default_rng(0))
     corners, seen = np.array([(0, 0), (179, 0), (179, 219), (0, 219)], float), np.array([(20, 12), (190, 25), (200, 240), (8, 228)], float)
