@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import itertools
+import tracemalloc
 import unicodedata
 import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 import regex
 from compare import SMALL
@@ -15,6 +17,7 @@ from pyspark.sql import functions as F
 from test_scoring import distance
 
 from assayer import catalog
+from assayer.functions import text
 from assayer.operators import results, rubric, rules, tenancy
 
 
@@ -44,6 +47,28 @@ def test_word_errors(spark):
     assert (got.measured, got.word_errors, got.words) == (len(read), errors, total) and got.wer == pytest.approx(errors / total)
 
 
+def test_words_of_one_row_at_a_time(spark):
+    """A million tokens in a batch: only a row's are Python strings at once; batches themselves have 4 MB."""
+    line = [f"w{i % 700}" for i in range(5000)]
+    read = [*line[:2500], "x", *line[2501:]]
+    a, b = pa.array([line] * 200 + [None]), pa.array([read] * 200 + [line])
+    tracemalloc.start()
+    try:
+        got = text._word_edits.func(a, b)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert got.to_pylist() == [1] * 200 + [None] and peak < 8 << 20
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(key)
+    try:
+        catalog.QUERIES["score_words"](spark, SMALL)
+        many = F.pandas_udf(lambda x: pd.Series([len(x)] * len(x)), "long")
+        assert max(r.n for r in spark.range(0, 40, 1, 1).select(F.repeat(F.lit("x"), 1 << 20).alias("t")).select(many("t").alias("n")).collect()) <= 8
+    finally:
+        spark.conf.unset(key)
+
+
 def plain_sentences(t: str) -> list[str]:
     t = regex.sub(r"(\p{L})-\n(\p{Ll})", r"\1\2", t)
     parts = regex.split(r"\n+(?=\p{Lu}|[-*•]|\(?[0-9a-z]{1,2}[.)])|(?<=[.!?])[ \t\n\x0b\f\r]+(?=\p{Lu})", t)
