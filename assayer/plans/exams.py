@@ -103,22 +103,22 @@ def answer_matches(spark, sf_dir):
 
 def _rubric(spark, sf_dir):
     """(points, questions): embeddings as points of their label's question, every tenth twice; each supplier is a question of one point."""
-    base = table(spark, sf_dir, "embeddings").join(table(spark, sf_dir, "part"), F.col("vec_id") == F.col("p_partkey"))
-    v, own = F.col("vec_id"), F.concat(F.lit("c"), F.col("vec_id"))
+    base = table(spark, sf_dir, "embeddings").join(table(spark, sf_dir, "part").hint("merge"), F.col("vec_id") == F.col("p_partkey"))
+    base = base.withColumn("again", F.explode(F.when(F.pmod("vec_id", F.lit(10)) == 0, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))))
+    v, own, again = F.col("vec_id"), F.concat(F.lit("c"), F.col("vec_id")), F.col("again")
     shapes = [
         F.concat(F.lit("The "), "p_name", F.lit(" is grey and the "), "p_type", F.lit(" holds it")), F.concat(F.lit("Is the "), "p_name", F.lit(" an "), "p_type", F.lit("?")), F.concat(F.lit("The "), "p_name", F.lit(" and the "), "p_type"), F.concat(F.lit("The list is "), F.repeat(F.concat("p_name", F.lit(" ")), 15)),
         F.concat(F.lit("The "), "p_name", F.lit(" does not bend")), F.concat(F.lit("What is the "), "p_name"), F.lit(None).cast("string"),
     ]
     statement = F.coalesce(*(F.when(F.pmod(v, F.lit(12)) == i, s) for i, s in enumerate(shapes)), F.when(F.pmod(v, F.lit(12)) > 6, F.concat(F.lit("The "), "p_name", F.lit(" and its cover is "), "p_type")))
-    requires = F.when(F.pmod(v, F.lit(9)) == 3, "none").when(F.pmod(v, F.lit(27)) == 4, own).when(F.pmod(v, F.lit(20)) == 0, F.concat(own, F.lit("b")))
-    once = base.select(
-        F.concat(F.lit("q"), "label").alias("question"), own.alias("code"), statement.alias("statement"), (F.pmod("p_size", F.lit(5)) + 1).cast("double").alias("marks"), F.array_repeat("p_type", F.pmod(v, F.lit(4)).cast("int")).alias("exemplars"),
-        F.when(F.pmod(v, F.lit(6)) == 0, 1).alias("group_id"), F.when(F.pmod("label", F.lit(2)) == 0, 100_000).otherwise(1).alias("group_max"), requires.alias("requires"), F.col("embedding").cast("array<double>").alias("vector"),
+    requires = F.when(again, F.when(F.pmod(v, F.lit(20)) == 0, own)).when(F.pmod(v, F.lit(9)) == 3, "none").when(F.pmod(v, F.lit(27)) == 4, own).when(F.pmod(v, F.lit(20)) == 0, F.concat(own, F.lit("b")))
+    own_points = base.select(
+        F.concat(F.lit("q"), "label").alias("question"), F.when(again, F.concat(own, F.lit("b"))).otherwise(own).alias("code"), statement.alias("statement"), (F.pmod("p_size", F.lit(5)) + 1).cast("double").alias("marks"), F.array_repeat("p_type", F.pmod(v, F.lit(4)).cast("int")).alias("exemplars"),
+        F.when(F.pmod(v, F.lit(6)) == 0, 1).alias("group_id"), F.when(F.pmod("label", F.lit(2)) == 0, 100_000).otherwise(1).alias("group_max"), requires.alias("requires"), F.transform(F.col("embedding").cast("array<double>"), lambda x: F.when(again, x * 2).otherwise(x)).alias("vector"),
     )
-    twice = once.filter(F.substr("code", F.lit(-1)) == "0").withColumn("requires", F.when(F.expr("cast(substring(code, 2) as bigint) % 20 = 0"), F.col("code"))).withColumn("vector", F.transform("vector", lambda x: x * 2)).withColumn("code", F.concat("code", F.lit("b")))
     lone = table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("question"), F.lit("p").alias("code"), F.concat(F.lit("The supplier is "), "s_name").alias("statement"), (F.pmod("s_suppkey", F.lit(3)) * 10).cast("double").alias("marks"), F.array("s_name", "s_name").alias("exemplars"), F.lit(None).cast("int").alias("group_id"), F.lit(None).cast("int").alias("group_max"), F.lit(None).cast("string").alias("requires"), F.lit(None).cast("array<double>").alias("vector"))
-    points = once.unionByName(twice).unionByName(lone)
-    sums = once.unionByName(twice).groupBy("question").agg(F.sum("marks").alias("total"))
+    points = own_points.unionByName(lone)
+    sums = own_points.groupBy("question").agg(F.sum("marks").alias("total"))
     questions = sums.select("question", F.when(F.col("question") == "q1", F.col("total") + 1).otherwise(F.col("total")).alias("max_marks")).unionByName(table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("question"), F.col("s_nationkey").cast("double").alias("max_marks")))
     return points, questions
 

@@ -179,6 +179,25 @@ def test_alike_points_in_blocks_against_all_pairs(spark, monkeypatch):
     assert got == {(a, b) for (q, a, x), (r, b, y) in itertools.combinations(rows, 2) if q == r and cosine(x, y) > 0.9} and got
 
 
+def test_alike_points_of_one_question_are_found_in_many_tasks(spark, monkeypatch):
+    """All points of a question alike, the cosine of two of them at the limit and one code held twice."""
+    monkeypatch.setattr(rubric, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(rubric, "MATRIX_ROWS", 4, raising=False)
+    rows = [("q", f"c{i}", [3.0 * (i + 1), 4.0 * (i + 1)]) for i in range(150)] + [("q", "c7", [3.0, 4.0]), ("r", "a", [1.0, 0.0]), ("r", "b", [0.9, 0.19**0.5 * (1 + 1e-9)]), ("r", "c", [0.9, 0.19**0.5 * (1 - 1e-9)]), ("r", "d", [None, 1.0]), ("r", "e", [1.0]), ("r", "f", []), (None, "g", [1.0]), (None, "h", [1.0])]
+    got = rubric.alike(spark.createDataFrame(rows, "question string, code string, vector array<double>")).withColumn("task", F.spark_partition_id()).collect()
+    names = sorted(f"c{i}" for i in range(150))
+    assert sorted((r.question, r.a, r.b) for r in got) == sorted([("q", *p) for p in itertools.combinations(names, 2)] + [("q", "c7", "c7"), ("r", "a", "c"), ("r", "b", "c")])
+    assert len({r.task for r in got}) > 8
+
+
+def test_rules_share_their_passes_over_the_points(spark, tmp_path):
+    row = ("q", "a", "The lock is held", 1.0, ["x", "y"], 1, 1, "a", [1.0, 0.0])
+    spark.createDataFrame([row], "question string, code string, statement string, marks double, exemplars array<string>, group_id int, group_max int, requires string, vector array<double>").write.parquet(f"{tmp_path}/points")
+    found = rubric.lint(spark.read.parquet(f"{tmp_path}/points"), spark.createDataFrame([("q", 1.0)], "question string, max_marks double"))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Relation [") <= 11
+    assert {(r.rule, r.code) for r in found.collect()} == {("REQUIRES", "a"), ("HEAVY_POINT", "a")}
+
+
 def test_answer_types(spark):
     rows = [("g = 9.81 m/s^2", "MATCH"), ("Q2: 9.8 m/s²", "MATCH"), ("9.81 m / s^2", "UNIT"), ("981 cm/s^2", "UNIT"), ("9.81", "UNIT"), ("0.981e1 m/s^2.", "MATCH"), ("-9.81 m/s^2", "VALUE"), ("1.2e3 m/s^2", "VALUE"), ("7 m/s^2, no: 9.81 m/s^2 (2 of 3)", "MATCH"), ("see Q2", "ABSENT"), ("", "ABSENT"), (None, "ABSENT")]
     df = spark.createDataFrame(rows, "answer string, want string")
