@@ -22,8 +22,9 @@ VERBS = tuple(
 )
 ASKING = "what why how when where who whom whose which".split()
 NEGATION = r"\b(?:not|never|no|none|nor|neither|cannot|without)\b|n't\b"
-#: Rows of a block when points are compared; a rubric is one block. Rows of a matrix of cosines beside a whole block.
-BLOCK_ROWS, MATRIX_ROWS = 2048, 256
+#: A question's points are compared in blocks of BLOCK_ROWS, in BLOCKS larger ones if there would be more, and in more again if such a block
+#: had over BLOCK_VALUES components; a rubric is one block. MATRIX_ROWS of one block meet another block at a time.
+BLOCK_ROWS, BLOCKS, BLOCK_VALUES, MATRIX_ROWS = 1024, 8, 1 << 21, 256
 
 
 def claims(verbs: Sequence[str] = VERBS) -> str:
@@ -48,12 +49,13 @@ def words(statement: Column) -> Column:
 def alike(points: DataFrame, limit: float = ALIKE, vector: str = "vector") -> DataFrame:
     """(question, a, b): points of a question whose vectors have a cosine above ``limit``; a is the smaller code.
 
-    A question's points are dealt into blocks of about BLOCK_ROWS, and each two blocks meet in a cell of their own, one matrix after another, whose
-    pairs leave as they are found: a rubric is one cell, a question of any size many, spread over all tasks whatever their pairs. Points without
-    a vector, or with one of length 0, are alike to none.
+    A question's points are dealt into blocks, and each two blocks meet in a cell of their own, one matrix after another, whose pairs leave as
+    they are found: a rubric is one cell, a question of any size many, spread over all tasks whatever their pairs. A point is sent to as many cells as
+    there are blocks. Points without a vector, or with one of length 0, are alike to none.
     """
     own = points.filter(F.col(vector).isNotNull() & F.col("code").isNotNull()).select("question", "code", F.col(vector).cast("array<double>").alias("v"))
-    counts = own.groupBy("question").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("blocks"))
+    few = F.least(F.ceil(F.count("*") / BLOCK_ROWS), F.lit(BLOCKS))
+    counts = own.groupBy("question").agg(F.greatest(few, F.ceil(F.sum(F.size("v")) / BLOCK_VALUES)).cast("long").alias("blocks"))
     dealt = own.join(counts, "question").withColumn("block", F.pmod(F.xxhash64("code"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     cell = ["question", "dim", "low", "high"]
     cells = dealt.select("question", F.size("v").alias("dim"), F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), (F.col("block") > F.col("other")).alias("second"), "code", "v")
